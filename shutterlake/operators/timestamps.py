@@ -15,6 +15,8 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shutterlake.functions.barrier import sealed
+
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 DAY_MS = 86_400_000
 #: No real instant lies before the first or after the last of these years.
@@ -47,11 +49,6 @@ def _plain(text: Column) -> Column:
     )
 
 
-def sealed(number: Column) -> Column:
-    """The same number, marked so that a filter on it isn't pushed below, which would repeat the expressions that make it, once for every use."""
-    return number + F.monotonically_increasing_id() * 0
-
-
 def in_range(ms: Column) -> Column:
     """``ms`` if it lies in a possible year, else null."""
     first, last = (int((y - 1970) * 365.2425 + 0.5) for y in (FIRST_YEAR, LAST_YEAR + 1))
@@ -78,7 +75,7 @@ def with_reading(df: DataFrame, column: str, out: str) -> DataFrame:
     """
     keep = df.columns
     c = F.col
-    step = df.withColumn("_text", F.trim(F.regexp_replace(c(column), r"[\s\u00a0]+", " ")))
+    step = df.withColumn("_text", F.trim(F.regexp_replace(c(column), r"[\s\p{Cntrl}\u00a0]+", " ")))
     step = step.withColumn("_plain", _plain(c("_text")))
     step = step.withColumn("_parts", F.when(c("_plain").rlike(FULL), F.split(F.regexp_replace("_plain", FULL, "$1|$2|$3|$4|$5|$6|$7|$8|$9|"), r"\|")))
     part = lambda k: F.get(c("_parts"), F.lit(k))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shutterlake.functions.geo import is_position, with_iso6709
+from shutterlake.operators.places import near_pairs, regions_of
 from shutterlake.operators.records import current_records
 from shutterlake.operators.timestamps import estimate_zones, normalise_timestamps, with_reading, count_to_ms
-from shutterlake.sources.tables import table
+from shutterlake.sources.tables import materialize, table
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,3 +32,19 @@ def p4_zones(spark: SparkSession, d: str) -> DataFrame:
     wall = read.where("r.offset_ms is null and r.wall_ms is not null").select("source", "r.wall_ms", "stored_ms")
     guessed = estimate_zones(wall, libraries.select(F.col("tz_name").alias("zone")))
     return libraries.join(guessed, "source", "left").select(F.col("source").alias("library_id"), "tz_name", F.col("zone").alias("estimated_zone"), "aligned", "violations")
+
+
+def located_files(spark: SparkSession, d: str) -> DataFrame:
+    """(id, lat, lon) of every file with a real position: an image's coordinates, else a video's location."""
+    images = current_records(table(spark, d, "geo_coords"), "file_id", "read_at", ["lat", "lon"]).where(is_position(F.col("lat"), F.col("lon")))
+    videos = with_iso6709(current_records(table(spark, d, "video_info"), "file_id", "probed_at", ["location"]), "location")
+    videos = videos.select("file_id", "lat", "lon").where(is_position(F.col("lat"), F.col("lon"))).join(images, "file_id", "left_anti")
+    return images.unionByName(videos).select(F.col("file_id").alias("id"), "lat", "lon")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files at most 150 m apart, and the regions that contain each file."""
+    points = materialize(located_files(spark, d), "located")
+    near = near_pairs(points, 150.0).select(F.lit("near").alias("relation"), "left_id", "right_id")
+    inside = regions_of(points, table(spark, d, "country_borders")).select(F.lit("in").alias("relation"), F.col("id").alias("left_id"), F.col("region_id").alias("right_id"))
+    return near.unionByName(inside)

@@ -11,5 +11,6 @@ from shutterlake.plans import found
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": found.p4_found,
     "p4_zones": found.p4_zones,
+    "p5_found": found.p5_found,
 }
 SQL: dict[str, str] = {}
