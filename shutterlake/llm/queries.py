@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.llm import sql
 from shutterlake.llm.history import HistoryStore, signatures
+from shutterlake.llm.neighbours import both_hashes, half_floats, hash_signs, nearest
 from shutterlake.operators.records import current_records
 from shutterlake.sources.tables import table
 
@@ -29,7 +30,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return store.match(plans).select(F.col("id").alias("plan_id"), F.col("name").alias("duplicate_of"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar other pictures of each query file, by embedding and by hashes."""
+    asked = table(spark, d, "knn_queries").where("file_id is not null").select("file_id").distinct().withColumn("asked", F.lit(True))
+    files = _files(spark, d, ["embedding", "phash", "dhash"]).join(F.broadcast(asked) if asked.count() < 100_000 else asked, "file_id", "left")
+    out = []
+    for measure, code, decode in (("embedding", F.col("embedding"), half_floats), ("hash", both_hashes(), hash_signs)):
+        found = nearest(files.select(F.col("file_id").alias("id"), code.alias("code"), "asked"), 5, decode)
+        out.append(found.select(F.lit(measure).alias("measure"), F.least("query_id", "id").alias("file_a"), F.greatest("query_id", "id").alias("file_b")))
+    return out[0].unionByName(out[1]).distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
 }
 SQL: dict[str, str] = sql.SQL
