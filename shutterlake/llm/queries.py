@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shutterlake.functions.digests import digest, hash64
+from shutterlake.functions.paths import same_path
 from shutterlake.llm import sql
+from shutterlake.llm.components import close_hashes, components, star_edges
 from shutterlake.llm.history import HistoryStore, signatures
 from shutterlake.llm.neighbours import both_hashes, half_floats, hash_signs, nearest
 from shutterlake.operators.records import current_records
-from shutterlake.sources.tables import table
+from shutterlake.operators.skew import salted_join
+from shutterlake.sources.tables import materialize, table
 
 
 def _files(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
@@ -41,8 +45,24 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1]).distinct()
 
 
+def record_links(spark: SparkSession, d: str) -> DataFrame:
+    """(u, v): links between current records by a match of their paths, equal sha256, or phash at most 2 bits apart; hot values as stars."""
+    files = materialize(_files(spark, d, ["path", "sha256", "phash"]).select(F.col("file_id").alias("node"), same_path(F.col("path")).alias("path"), digest(F.col("sha256")).alias("sha"), hash64(F.col("phash")).alias("phash")), "nodes")
+    pairs = table(spark, d, "match_pairs").where("verdict = 'match'").select(same_path(F.col("left_path")).alias("a"), same_path(F.col("right_path")).alias("b")).distinct()
+    left = salted_join(files.where("path is not null").select(F.col("path").alias("a"), F.col("node").alias("u")), pairs, ["a"])
+    named = salted_join(files.where("path is not null").select(F.col("path").alias("b"), F.col("node").alias("v")), left, ["b"]).select("u", "v")
+    equal = files.select("node", F.explode(F.array(F.col("sha"), F.lower(F.hex("phash")))).alias("value"))
+    return named.unionByName(star_edges(equal, ["value"])).unionByName(close_hashes(files, "phash", "node"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every record that hangs together with another, and the smallest file of its group."""
+    return components(record_links(spark, d)).select(F.col("node").alias("file_id"), F.col("group").alias("group_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p6_found": p6_found,
 }
 SQL: dict[str, str] = sql.SQL

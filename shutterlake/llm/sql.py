@@ -25,5 +25,18 @@ accepted AS (
 plans AS (SELECT * FROM accepted WHERE seq >= 0)
 SELECT p.seq AS plan_id, a.name AS duplicate_of FROM plans p JOIN accepted a ON a.seq < p.seq
 AND (coalesce(a.sha = p.sha, false) OR coalesce(a.pix = p.pix, false) OR coalesce(bit_count(xor(a.ph, p.ph)) <= 4 AND bit_count(xor(a.dh, p.dh)) <= 4, false))
+""",
+    "p6_found": f"""
+WITH RECURSIVE {CURRENT},
+files AS (SELECT file_id, regexp_replace(nfc_normalize(path), '/(\\.?/)+', '/', 'g') AS path, {_digest('sha256')} AS sha, {_hash('phash')} AS ph FROM current),
+pairs AS (SELECT DISTINCT regexp_replace(nfc_normalize(left_path), '/(\\.?/)+', '/', 'g') AS a, regexp_replace(nfc_normalize(right_path), '/(\\.?/)+', '/', 'g') AS b FROM match_pairs WHERE verdict = 'match'),
+edges AS (
+  SELECT x.file_id AS u, y.file_id AS v FROM pairs JOIN files x ON x.path = a JOIN files y ON y.path = b
+  UNION SELECT min(file_id) OVER (PARTITION BY sha), file_id FROM files WHERE sha IS NOT NULL
+  UNION SELECT x.file_id, y.file_id FROM (SELECT ph, min(file_id) AS file_id FROM files WHERE ph IS NOT NULL GROUP BY ph) x JOIN (SELECT ph, min(file_id) AS file_id FROM files WHERE ph IS NOT NULL GROUP BY ph) y ON bit_count(xor(x.ph, y.ph)) <= 2
+  UNION SELECT min(file_id) OVER (PARTITION BY ph), file_id FROM files WHERE ph IS NOT NULL),
+sym AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
+reach AS (SELECT u AS node, u AS seen FROM sym UNION SELECT r.node, s.v FROM reach r JOIN sym s ON r.seen = s.u)
+SELECT node AS file_id, min(seen) AS group_id FROM reach GROUP BY node
 """,
 }
