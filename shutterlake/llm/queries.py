@@ -13,6 +13,7 @@ from shutterlake.llm import sql
 from shutterlake.llm.components import close_hashes, components, star_edges
 from shutterlake.llm.history import HistoryStore, signatures
 from shutterlake.llm.neighbours import both_hashes, half_floats, hash_signs, nearest
+from shutterlake.llm.survivors import Field, survivors, undisputed
 from shutterlake.operators.records import current_records
 from shutterlake.operators.skew import salted_join
 from shutterlake.sources.tables import materialize, table
@@ -45,6 +46,41 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1]).distinct()
 
 
+def _members(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
+    """(group, id, analyzed_at and columns): each distinct member of a group that has a current record."""
+    named = table(spark, d, "group_members").where("group_id is not null and file_id is not null").select(F.col("group_id").alias("group"), "file_id").distinct()
+    return named.join(_files(spark, d, ["analyzed_at", *columns]), "file_id").withColumnRenamed("file_id", "id")
+
+
+def _best(c: str) -> Field:
+    return Field(c, F.col(c), "bigint", rank=F.col(c))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Groups in which one member alone is the best in pixels, EXIF and size: the member that has every value of the built record."""
+    pixels = F.when((F.col("width") > 0) & (F.col("height") > 0), F.col("width").cast("bigint") * F.col("height")).otherwise(0)
+    members = _members(spark, d, ["width", "height", "has_exif", "size"]).select("group", "id", "analyzed_at", pixels.alias("pixels"), F.coalesce("has_exif", F.lit(0)).cast("bigint").alias("exif"), F.coalesce("size", F.lit(0)).alias("bytes"))
+    fields = [_best("pixels"), _best("exif"), _best("bytes")]
+    built = survivors(members, fields, F.lit(1.0), F.lit(0.0))
+    return undisputed(members, built, [f.name for f in fields]).select(F.col("group").alias("group_id"), F.col("id").alias("file_id"))
+
+
+def p3_golden(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving record of every group, each field by trust and recency; a record that failed to decode is trusted less."""
+    members = _members(spark, d, ["width", "height", "has_exif", "size", "camera_make", "camera_model", "img_format", "decode_error"])
+    tidy = lambda c: F.nullif(F.lower(F.trim(F.col(c))), F.lit(""))
+    real = lambda c: F.when(F.col(c) > 0, F.col(c))
+    fields = [
+        Field("width", real("width"), "int"), Field("height", real("height"), "int"), Field("has_exif", F.col("has_exif"), "int", rank=F.col("has_exif")),
+        Field("size", real("size"), "bigint", rank=F.col("size")), Field("camera_make", F.trim("camera_make"), "string", norm=tidy("camera_make")),
+        Field("camera_model", F.trim("camera_model"), "string", norm=tidy("camera_model")), Field("img_format", F.trim("img_format"), "string", norm=tidy("img_format")),
+    ]
+    newest = members.groupBy("group").agg(F.max("analyzed_at").alias("newest"), F.count(F.lit(1)).alias("members"))
+    aged = members.join(newest.select("group", "newest"), "group")
+    built = survivors(aged, fields, F.when(F.col("decode_error").isNull(), 1.0).otherwise(0.25), (F.col("newest") - F.col("analyzed_at")) / 86400)
+    return built.join(newest.select("group", "members"), "group").withColumnRenamed("group", "group_id")
+
+
 def record_links(spark: SparkSession, d: str) -> DataFrame:
     """(u, v): links between current records by a match of their paths, equal sha256, or phash at most 2 bits apart; hot values as stars."""
     files = materialize(_files(spark, d, ["path", "sha256", "phash"]).select(F.col("file_id").alias("node"), same_path(F.col("path")).alias("path"), digest(F.col("sha256")).alias("sha"), hash64(F.col("phash")).alias("phash")), "nodes")
@@ -63,6 +99,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_golden": p3_golden,
     "p6_found": p6_found,
 }
 SQL: dict[str, str] = sql.SQL

@@ -15,6 +15,16 @@ def _hash(c: str) -> str:
     return f"nullif(CASE WHEN regexp_matches(trim({c}), '^[0-9a-fA-F]{{1,16}}$') THEN ('0x' || trim({c}))::UBIGINT END, 0)"
 
 
+_GOLDEN = {
+    "width": ("CASE WHEN width > 0 THEN width END::VARCHAR", None, "NULL", "INTEGER"),
+    "height": ("CASE WHEN height > 0 THEN height END::VARCHAR", None, "NULL", "INTEGER"),
+    "has_exif": ("has_exif::VARCHAR", None, "has_exif", "INTEGER"),
+    "size": ("CASE WHEN size > 0 THEN size END::VARCHAR", None, "size", "BIGINT"),
+    **{c: (f"trim({c})", f"nullif(lower(trim({c})), '')", "NULL", "VARCHAR") for c in ("camera_make", "camera_model", "img_format")},
+}
+_LONG = " UNION ALL ".join(f"SELECT grp, w, '{n}' AS field, {v} AS value, {k or v} AS norm, ({r})::DOUBLE AS rnk FROM aged" for n, (v, k, r, _) in _GOLDEN.items())
+_BACK = ", ".join(f"max(CASE WHEN field = '{n}' THEN value END)::{t} AS {n}" for n, (_, _, _, t) in _GOLDEN.items())
+
 SQL: dict[str, str] = {
     "p1_found": f"""
 WITH {CURRENT},
@@ -38,5 +48,24 @@ edges AS (
 sym AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
 reach AS (SELECT u AS node, u AS seen FROM sym UNION SELECT r.node, s.v FROM reach r JOIN sym s ON r.seen = s.u)
 SELECT node AS file_id, min(seen) AS group_id FROM reach GROUP BY node
+""",
+    "p3_found": f"""
+WITH {CURRENT},
+members AS (
+  SELECT DISTINCT m.group_id, c.file_id, CASE WHEN width > 0 AND height > 0 THEN width::BIGINT * height ELSE 0 END AS px, coalesce(has_exif, 0) AS exif, coalesce(size, 0) AS size
+  FROM group_members m JOIN current c ON c.file_id = m.file_id WHERE m.group_id IS NOT NULL),
+best AS (SELECT group_id, max(px) AS px, max(exif) AS exif, max(size) AS size FROM members GROUP BY group_id HAVING count(*) >= 2)
+SELECT m.group_id, min(m.file_id) AS file_id FROM members m JOIN best b ON b.group_id = m.group_id AND b.px = m.px AND b.exif = m.exif AND b.size = m.size
+GROUP BY m.group_id HAVING count(*) = 1
+""",
+    "p3_golden": f"""
+WITH {CURRENT},
+members AS (SELECT DISTINCT m.group_id AS grp, c.file_id, analyzed_at, width, height, has_exif, size, camera_make, camera_model, img_format, decode_error FROM group_members m JOIN current c ON c.file_id = m.file_id WHERE m.group_id IS NOT NULL),
+aged AS (SELECT *, floor((CASE WHEN decode_error IS NULL THEN 1000000 ELSE 250000 END) / pow(2, least(20, greatest(0, floor((max(analyzed_at) OVER (PARTITION BY grp) - analyzed_at) / 86400 / 180)))))::BIGINT AS w FROM members),
+long AS ({_LONG}),
+counted AS (SELECT grp, field, norm, max(value) AS value, max(rnk) AS rnk, sum(w) AS votes, count(*) AS n FROM long WHERE norm IS NOT NULL GROUP BY grp, field, norm),
+best AS (SELECT *, row_number() OVER (PARTITION BY grp, field ORDER BY rnk DESC NULLS LAST, votes DESC, n DESC, norm DESC) AS k FROM counted),
+back AS (SELECT grp, {_BACK} FROM best WHERE k = 1 GROUP BY grp)
+SELECT s.grp AS group_id, s.n AS members, b.* EXCLUDE (grp) FROM (SELECT grp, count(*) AS n FROM members GROUP BY grp) s LEFT JOIN back b ON b.grp = s.grp
 """,
 }
