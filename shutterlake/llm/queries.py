@@ -13,6 +13,7 @@ from shutterlake.llm import sql
 from shutterlake.llm.components import close_hashes, components, star_edges
 from shutterlake.llm.history import HistoryStore, signatures
 from shutterlake.llm.neighbours import both_hashes, half_floats, hash_signs, nearest
+from shutterlake.llm.quality import text_quality
 from shutterlake.llm.survivors import Field, survivors, undisputed
 from shutterlake.operators.records import current_records
 from shutterlake.operators.skew import salted_join
@@ -96,11 +97,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return components(record_links(spark, d)).select(F.col("node").alias("file_id"), F.col("group").alias("group_id"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which more than half isn't running sentences."""
+    return text_quality(table(spark, d, "documents")).where("not_prose > 0.5").select("doc_id")
+
+
+def p9_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The quality statistics of every document."""
+    return text_quality(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_golden": p3_golden,
     "p6_found": p6_found,
+    "p9_found": p9_found,
+    "p9_stats": p9_stats,
 }
 SQL: dict[str, str] = sql.SQL
