@@ -12,6 +12,7 @@ from shutterlake.functions.paths import same_path
 from shutterlake.llm import sql
 from shutterlake.llm.components import close_hashes, components, star_edges
 from shutterlake.llm.history import HistoryStore, signatures
+from shutterlake.llm.leaks import leaks, without_leaks
 from shutterlake.llm.neighbours import both_hashes, half_floats, hash_signs, nearest
 from shutterlake.llm.quality import text_quality
 from shutterlake.llm.survivors import Field, survivors, undisputed
@@ -97,6 +98,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return components(record_links(spark, d)).select(F.col("node").alias("file_id"), F.col("group").alias("group_id"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that share at least 12 consecutive words with an evaluation item."""
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The leaking documents with the leaked spans taken out."""
+    return without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents of which more than half isn't running sentences."""
     return text_quality(table(spark, d, "documents")).where("not_prose > 0.5").select("doc_id")
@@ -113,6 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_golden": p3_golden,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_clean": p7_clean,
     "p9_found": p9_found,
     "p9_stats": p9_stats,
 }
