@@ -13,6 +13,7 @@ from shutterlake.llm import sql
 from shutterlake.llm.components import close_hashes, components, star_edges
 from shutterlake.llm.history import HistoryStore, signatures
 from shutterlake.llm.leaks import leaks, without_leaks
+from shutterlake.llm.mixing import mix, shares
 from shutterlake.llm.neighbours import both_hashes, half_floats, hash_signs, nearest
 from shutterlake.llm.quality import text_quality
 from shutterlake.llm.survivors import Field, survivors, undisputed
@@ -108,6 +109,17 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used, so that every source has its target share of all tokens."""
+    mixed, _ = mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixed.select("doc_id", "source", "tokens", "rate", "repeats")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mixture reaches, by source."""
+    return shares(*mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents of which more than half isn't running sentences."""
     return text_quality(table(spark, d, "documents")).where("not_prose > 0.5").select("doc_id")
@@ -126,6 +138,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_clean": p7_clean,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_stats": p9_stats,
 }
