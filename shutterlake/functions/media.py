@@ -151,14 +151,14 @@ def human_size(size: Column) -> Column:
     value = size.cast("double")
     text = F.when(size < 0, "-").when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        text = text.when(value / 1024.0**k < 1024, F.format_string(f"%.2f {unit}", value / 1024.0**k))
-    return text.otherwise(F.format_string("%.2f PB", value / 1024.0**5))
+        text = text.when(value / 1024.0**k < 1024, F.concat(F.call_function("format_number", value / 1024.0**k, F.lit("0.00")), F.lit(f" {unit}")))
+    return text.otherwise(F.concat(F.call_function("format_number", value / 1024.0**5, F.lit("0.00")), F.lit(" PB")))
 
 
 def human_duration(seconds: Column) -> Column:
     """'HH:MM:SS'; below zero counts as zero."""
-    s = F.when(seconds.isNotNull(), F.greatest(F.lit(0), F.floor(seconds))).cast("bigint")
-    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("bigint"), F.floor(s / 60).cast("bigint") % 60, s % 60)
+    s = F.greatest(F.lit(0), F.floor(seconds)).cast("bigint")
+    return F.when(seconds.isNotNull(), F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("bigint"), F.floor(s / 60).cast("bigint") % 60, s % 60))
 
 
 def frame_values(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shutterlake.functions.barrier import sealed
 from shutterlake.functions.digests import bits_apart
 from shutterlake.functions.media import PROFILES, Profile, category_rank, classify, classify_video, color_similarity, frame_similarity, rounded, search_radius, similarity_percent, wide_distance
 from shutterlake.operators.graph import connected
@@ -92,8 +93,8 @@ def aspect_close(wa: Column, ha: Column, wb: Column, hb: Column, tolerance: floa
 
 def _scored(pairs: DataFrame, profile: Profile) -> DataFrame:
     """``pairs`` (aliased a and b) with the score of each signal, the combined score, and whether it is one picture in two sizes."""
-    named = pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("file_id", "width", "height")], *[v.alias(k) for k, v in signals("a", "b").items()])
-    named = named.withColumn("score", weighted_score(profile, {k: F.col(k) for k in ("phash", "dhash", "ahash", "bhash", "color")}))
+    named = pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("file_id", "width", "height")], *[sealed(v).alias(k) for k, v in signals("a", "b").items()])
+    named = named.withColumn("score", sealed(weighted_score(profile, {k: F.col(k) for k in ("phash", "dhash", "ahash", "bhash", "color")})))
     wide = F.abs(F.col("a_width") - F.col("b_width")) / F.greatest("a_width", "b_width") >= 0.10
     resized = (F.col("score") >= 96.0) & aspect_close(F.col("a_width"), F.col("a_height"), F.col("b_width"), F.col("b_height")) & F.coalesce(wide, F.lit(False))
     return named.withColumn("resized", resized)
@@ -144,10 +145,18 @@ def video_pairs(videos: DataFrame, threshold: float = 84.0, within: float = 2.0)
     framed = videos.where("frames is not null")
     near = duration_pairs(framed, within)
     of = lambda s: framed.select(F.col("file_id").alias(s), F.col("frames").alias(f"f{s}"))
-    scored = near.join(of("a"), "a").join(of("b"), "b").withColumn("percent", frame_similarity(F.col("fa"), F.col("fb")))
+    scored = near.join(of("a"), "a").join(of("b"), "b").withColumn("percent", sealed(frame_similarity(F.col("fa"), F.col("fb"))))
     return scored.where(F.col("percent") >= threshold).select("a", "b", "percent")
 
 
+def nearest_videos(videos: DataFrame, within: float = 2.0) -> DataFrame:
+    """(file_id, other, percent): for each video the one of like duration whose frames are most alike, the smaller id on ties."""
+    pairs = video_pairs(videos, 0.0, within)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "percent"))
+    best = both.groupBy("a").agg(F.max(F.struct("percent", (-F.col("b")).alias("b"))).alias("r"))
+    return best.select(F.col("a").alias("file_id"), (-F.col("r.b")).alias("other"), F.col("r.percent").alias("percent"))
+
+
 def video_groups(videos: DataFrame, pairs: DataFrame, threshold: float = 84.0) -> DataFrame:
     """(root, files, percent, category): videos linked by equal bytes or alike frames.
 

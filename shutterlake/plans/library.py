@@ -156,6 +156,11 @@ def video_pairs(spark: SparkSession, d: str) -> DataFrame:
     return grouping.video_pairs(_videos(spark, d))
 
 
+def nearest_videos(spark: SparkSession, d: str) -> DataFrame:
+    """The most alike video of each video."""
+    return grouping.nearest_videos(_videos(spark, d))
+
+
 def video_groups(spark: SparkSession, d: str) -> DataFrame:
     """Videos linked by bytes or frames."""
     v = materialize(_videos(spark, d), "videos")
@@ -362,7 +367,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_stats, scan_selection, size_candidates, dimension_candidates, exact_groups, layered_groups, layered_members, rough_counters, dashboard, group_browser, hamming_pairs, similar_pairs, similar_clusters,
-        color_matches, duration_candidates, video_pairs, video_groups, keep_scores, keep_recommendation, file_traits, labels, import_status, plan_summary, import_names, rename_names, capture_dates, organize_plan, geocode,
+        color_matches, duration_candidates, video_pairs, nearest_videos, video_groups, keep_scores, keep_recommendation, file_traits, labels, import_status, plan_summary, import_names, rename_names, capture_dates, organize_plan, geocode,
         folder_reuse, iso6709, cache_lookup, cache_upsert, cache_prune, history_recent, history_summary, decisions, deletion_preview, category_review, export_rows, export_json, undo_plan, phash_compare,
     )
 }

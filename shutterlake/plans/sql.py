@@ -233,6 +233,7 @@ FROM anchors JOIN ends USING (root) JOIN sizes USING (root) JOIN up USING (root)
     "color_matches": f"WITH {LAYERS}, firsts AS (SELECT key, min(file_id) AS first FROM members GROUP BY key) SELECT m.file_id, first, {_color('a.color', 'b.color')} AS similarity FROM members m JOIN firsts USING (key) JOIN files a ON a.file_id = m.file_id JOIN files b ON b.file_id = first WHERE m.file_id <> first",
     "duration_candidates": f"WITH {VIDEOS} SELECT DISTINCT unnest([a, b]) AS file_id FROM likely",
     "video_pairs": f"WITH {VIDEOS} SELECT * FROM vgood",
+    "nearest_videos": f"WITH {VIDEOS}, two AS (SELECT a, b, percent FROM vpairs UNION ALL SELECT b, a, percent FROM vpairs) SELECT a AS file_id, b AS other, percent FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY percent DESC, b) AS k FROM two) WHERE k = 1",
     "video_groups": f"""WITH RECURSIVE {VIDEOS}, {_reach("SELECT min(file_id) OVER (PARTITION BY sha) AS u, file_id AS v FROM videos WHERE sha IS NOT NULL UNION ALL SELECT a, b FROM vgood")},
 held AS (SELECT root, count(*) AS files, max(coalesce(duration, 0)) - min(coalesce(duration, 0)) <= 0.75 AS same, count(sha) = count(*) AND min(sha) = max(sha) AS one FROM linked JOIN videos v ON v.file_id = node GROUP BY root),
 least AS (SELECT root, min(percent) AS percent FROM vgood JOIN linked ON node = a GROUP BY root)
