@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from shutterlake.functions.media import base_name, extension, folder
 
 CAPTURE = r"^(\d{4})[:-](\d{2})[:-](\d{2})[ T](\d{2}):(\d{2})(?::(\d{2}))?$"
-STRFTIME = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%B": "MMMM", "%b": "MMM", "%A": "EEEE", "%a": "EEE", "%p": "a", "%I": "hh"}
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 INVALID = r'[<>:"|?*\\/\x00]'
 
 
@@ -25,28 +27,28 @@ def capture_datetime(text: Column) -> Column:
 
 
 def capture_dates(files: DataFrame) -> DataFrame:
-    """(file_id, captured, date_source): the date that the picture or video carries, else its mtime; ``files`` has kind, date_taken, creation_time, mtime."""
+    """(file_id, captured, date_source): the date that the picture or video carries, else its mtime in UTC; ``files`` has kind, date_taken, creation_time, mtime."""
     taken = F.when(F.col("kind") == "image", capture_datetime(F.col("date_taken")))
     made = F.when(F.col("kind") == "video", capture_datetime(F.col("creation_time")))
-    stored = F.when(F.abs("mtime") < 1e11, F.date_trunc("second", F.timestamp_seconds(F.col("mtime"))).cast("timestamp_ntz"))
+    stored = F.when(F.abs("mtime") < 1e11, F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.floor("mtime").cast("decimal(18,6)")))
     source = F.when(taken.isNotNull(), "exif").when(made.isNotNull(), "video_creation").when(stored.isNotNull(), "file_mtime")
     return files.select("file_id", F.coalesce(taken, made, stored).alias("captured"), source.alias("date_source"))
 
 
-def java_pattern(pattern: str, fallback: str = "%Y%m%d_%H%M%S") -> str:
-    """A strftime pattern as a datetime pattern of Spark; slashes become '-', an unknown directive the fallback."""
+def strftime(stamp: Column, pattern: str, fallback: str = "%Y%m%d_%H%M%S") -> Column:
+    """A timestamp_ntz by a strftime pattern, whatever the session's time zone; slashes become '-', an unknown directive the fallback."""
     pattern = pattern.replace("/", "-").replace("\\", "-").strip() or fallback
-    out, k = [], 0
-    while k < len(pattern):
-        if pattern[k] == "%":
-            if pattern[k : k + 2] not in STRFTIME:
-                return java_pattern(fallback)
-            out.append(STRFTIME[pattern[k : k + 2]])
-            k += 2
-        else:
-            out.append("'" + pattern[k].replace("'", "''") + "'" if pattern[k].isalpha() else pattern[k])
-            k += 1
-    return "".join(out)
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    name = lambda names, n, size: F.get(F.array(*[F.lit(x[:size]) for x in names]), n)
+    made = {
+        "%Y": F.lpad(F.year(stamp).cast("string"), 4, "0"), "%y": two(F.year(stamp) % 100), "%m": two(F.month(stamp)), "%d": two(F.dayofmonth(stamp)), "%H": two(F.hour(stamp)), "%M": two(F.minute(stamp)), "%S": two(F.second(stamp)),
+        "%j": F.lpad(F.dayofyear(stamp).cast("string"), 3, "0"), "%I": two((F.hour(stamp) + 11) % 12 + 1), "%p": F.when(F.hour(stamp) < 12, "AM").otherwise("PM"), "%%": F.lit("%"),
+        "%B": name(MONTHS, F.month(stamp) - 1, 9), "%b": name(MONTHS, F.month(stamp) - 1, 3), "%A": name(DAYS, F.weekday(stamp), 9), "%a": name(DAYS, F.weekday(stamp), 3),
+    }
+    parts = re.findall(r"%.?|[^%]+", pattern)
+    if any(p[0] == "%" and p not in made for p in parts):
+        return strftime(stamp, fallback)
+    return F.concat(*[made.get(p, F.lit(p)) for p in parts])
 
 
 def tidy_extension(ext: Column) -> Column:
@@ -56,7 +58,7 @@ def tidy_extension(ext: Column) -> Column:
 
 
 def formatted_name(captured: Column, pattern: str, prefix: str, ext: Column) -> Column:
-    body = F.regexp_replace(F.date_format(captured, java_pattern(pattern)), r'[<>:"|?*\x00]', "")
+    body = F.regexp_replace(strftime(captured, pattern), r'[<>:"|?*\x00]', "")
     return F.concat(F.lit(prefix), F.trim(body), ext)
 
 

@@ -240,7 +240,7 @@ def organize_plan(spark: SparkSession, d: str) -> DataFrame:
     country = countries_of(points, table(spark, d, "country_borders"))
     roots = current_records(table(spark, d, "file_cache"), "file_id", "analyzed_at", ["library_id"]).join(F.broadcast(table(spark, d, "libraries").select("library_id", "root")), "library_id").select("file_id", "root")
     f = _dated(spark, d).where("captured is not null").join(roots, "file_id").join(country.withColumnRenamed("id", "file_id"), "file_id", "left")
-    target = F.concat_ws("/", "root", placement.sanitized(F.col("country")), F.date_format("captured", "yyyy"), F.date_format("captured", "yyyy-MM"))
+    target = F.concat_ws("/", "root", placement.sanitized(F.col("country")), placement.strftime(F.col("captured"), "%Y"), placement.strftime(F.col("captured"), "%Y-%m"))
     return f.select("file_id", target.alias("dest_dir"), F.when(folder(F.col("path")) == target, "unchanged").otherwise("move").alias("status"))
 
 
