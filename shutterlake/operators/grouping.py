@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,28 +45,38 @@ def numbered_groups(members: DataFrame, files: DataFrame) -> DataFrame:
     return sized.select(F.row_number().over(order).cast("bigint").alias("group_id"), "key", "category", "files", "total_size", "unit_size", "reclaimable")
 
 
-def _blocked(rows: DataFrame, condition: Column, block_rows: int = 8192) -> DataFrame:
-    """All pairs (a.*, b.*) of ``rows`` with a.file_id < b.file_id that meet ``condition``.
+def close_pairs(files: DataFrame, radius: int, block_rows: int = 8192) -> DataFrame:
+    """(a, b, distance, similarity): pictures, a < b, whose phash differs in at most ``radius`` bits.
 
-    The radius of the search leaves no blocking key that could miss nothing, so
-    every pair is compared, but in blocks: rows are dealt into B blocks, and
-    each pair of blocks is one key of an equi-join. No task sees more than two blocks.
+    At the radii of this search no blocking key is selective without missing
+    pairs, so every pair is compared, but in blocks: rows are dealt into blocks
+    of about ``block_rows``, each two blocks meet in one task, and whole blocks
+    are compared at once in batches. A task holds two blocks, whatever the input.
     """
+    rows = files.where("phash is not null and file_id is not null").select("file_id", "phash")
     blocks = max(1, -(-rows.count() // block_rows))
-    dealt = rows.withColumn("_block", F.pmod(F.xxhash64("file_id"), F.lit(blocks)).cast("int"))
-    low, high = F.least("_block", "_o"), F.greatest("_block", "_o")
-    spread = lambda df: df.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"_i": low, "_j": high}).drop("_o")
-    a, b = spread(dealt).alias("a"), spread(dealt).alias("b")
-    same = (F.col("a._i") == F.col("b._i")) & (F.col("a._j") == F.col("b._j"))
-    across = (F.col("a._block") != F.col("b._block")) | (F.col("a._i") == F.col("a._j"))
-    return a.join(b, same & across & (F.col("a.file_id") < F.col("b.file_id")) & condition)
-
-
-def close_pairs(files: DataFrame, radius: int) -> DataFrame:
-    """(a, b, distance, similarity): pictures whose phash differs in at most ``radius`` bits."""
-    apart = bits_apart(F.col("a.phash"), F.col("b.phash"))
-    found = _blocked(files.where("phash is not null").select("file_id", "phash"), apart <= radius)
-    return found.select(F.col("a.file_id").alias("a"), F.col("b.file_id").alias("b"), apart.cast("bigint").alias("distance"), similarity_percent(apart).alias("similarity"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("file_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    meet = dealt.select("file_id", "phash", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame["block"].to_numpy() == frame["i"].iloc[0]
+        ids, hashes = frame["file_id"].to_numpy(), frame["phash"].to_numpy().view(np.uint64)
+        one = frame["i"].iloc[0] == frame["j"].iloc[0]
+        left_ids, left = ids[first], hashes[first]
+        right_ids, right = (left_ids, left) if one else (ids[~first], hashes[~first])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for start in range(0, len(left), 256):
+            apart = np.bitwise_count(left[start : start + 256, None] ^ right[None, :])
+            x, y = np.nonzero(apart <= radius)
+            a, b = left_ids[start + x], right_ids[y]
+            keep = a < b if one else a != b
+            found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], apart[x, y][keep].astype(np.int64)))
+        parts = [np.concatenate(p) for p in zip(*found)] if found else [np.array([], np.int64)] * 3
+        return pd.DataFrame(dict(zip(("a", "b", "distance"), parts)))
+
+    # a fixed number of partitions, as the few bytes here would otherwise be merged into one task
+    spread = meet.repartition(min(2000, blocks * (blocks + 1)), "i", "j")
+    return spread.groupBy("i", "j").applyInPandas(compare, "a bigint, b bigint, distance bigint").withColumn("similarity", similarity_percent(F.col("distance")))
 
 
 def signals(a: str, b: str) -> dict[str, Column]:
@@ -105,7 +117,8 @@ def similar_pairs(files: DataFrame, profile: Profile = PROFILES["medium"]) -> Da
 
     ``files`` has the signals as columns. Pairs whose block hash is less than 55 % similar are dropped; a missing one passes.
     """
-    near = _blocked(files.where("phash is not null"), bits_apart(F.col("a.phash"), F.col("b.phash")) <= search_radius(profile))
+    close = close_pairs(files, search_radius(profile)).select("a", "b").alias("p")
+    near = close.join(files.alias("a"), F.col("p.a") == F.col("a.file_id")).join(files.alias("b"), F.col("p.b") == F.col("b.file_id"))
     scored = _scored(near, profile).where((F.coalesce("bhash", F.lit(100.0)) >= 55) & (F.col("score") >= profile.bands.similar))
     return scored.select(F.col("a_file_id").alias("a"), F.col("b_file_id").alias("b"), "score", "resized", classify(F.col("score"), profile.bands).alias("category"))
 

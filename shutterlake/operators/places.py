@@ -110,14 +110,16 @@ def near_pairs(points: DataFrame, radius_m: float, rows_per_leaf: int = 20_000,
     ``points`` has id, lat, lon, each id once and only real positions. Equal
     positions are taken together first, so a spot with very many ids costs no
     more to search than any other; its pairs come from a salted join. The k-d
-    splits are fitted on ``sample_rows`` positions (those of the smallest hash,
-    a bounded sample); every position is routed, with halo copies beside the cuts.
+    splits are fitted on about ``sample_rows`` positions (drawn by hash, twice as
+    many at most); every position is routed, with halo copies beside the cuts.
     """
     spark = points.sparkSession
     members = points.select("lat", "lon", "id")
     spots = members.groupBy("lat", "lon").agg(F.min("id").alias("spot"), F.count(F.lit(1)).alias("n"))
-    sample = spots.orderBy(F.xxhash64("lat", "lon"), "spot").limit(sample_rows).select("lat", "lon").toPandas()
-    leaves = max(1, min(len(sample) // 8, -(-spots.count() // rows_per_leaf)))
+    count = spots.count()
+    every = max(1, count // sample_rows)
+    sample = spots.where(F.pmod(F.xxhash64("lat", "lon"), F.lit(every)) == 0).select("lat", "lon").limit(2 * sample_rows).toPandas()
+    leaves = max(1, min(len(sample) // 8, -(-count // rows_per_leaf)))
     chord = 2 * np.sin(radius_m / EARTH_M / 2) * (1 + 1e-6) + 1e-12
     nodes = split_space(unit_vectors(sample["lat"].to_numpy(float), sample["lon"].to_numpy(float)), leaves)
 
