@@ -65,11 +65,14 @@ def nearest(vectors: DataFrame, k: int, decode: Decoder, prefix: int = 16, poste
     is a query too), each id once. Every row is indexed; rows that don't decode
     take part in nothing. Equal similarities go by id. ``prefix`` pivots make an
     order, a vector is posted under ``posted`` of them, a query reads ``probed``
-    files and reranks ``reranked`` of each and all that tie with the last.
+    files and reranks ``reranked`` of each and all that tie with the last. The
+    pivots come from a sample of some four rows a pivot, drawn by id.
     """
     source = vectors.where("id is not null and code is not null").select("id", "code", F.coalesce("asked", F.lit(False)).alias("asked"))
-    count = pivot_count(source.count())
-    sample = source.orderBy(F.xxhash64("code"), "id").limit(4 * count).select("code").toPandas()
+    rows = source.count()
+    count = pivot_count(rows)
+    every = max(1, rows // (4 * count))
+    sample = source.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id", "code").limit(8 * count).toPandas().sort_values("id")
     _, drawn = decode(sample["code"].drop_duplicates())
     pivots = drawn[:count]
     empty = "query_id bigint, id bigint, similarity double"

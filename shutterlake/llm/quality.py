@@ -200,6 +200,8 @@ def chunks(text: str, size: int) -> Iterator[str]:
         end = start + size
         near = re.compile(r"\s").search(text, end, min(len(text), end + 2000))
         end = near.start() if near else min(len(text), end + 2000)
+        if text[end - 1 : end + 1] == "\r\n":
+            end += 1
         yield text[start:end]
         start = end
     yield text[start:]
@@ -242,7 +244,7 @@ def text_quality(documents: DataFrame, chunk_chars: int = 16_384, huge_chars: in
     beyond ``huge_chars`` are dealt over tasks in chunks and their states merged
     64 at a time, then by document; all others are read where they are, chunk by
     chunk, without a shuffle. Chunks never change the result but for a word of
-    more than 2000 characters that a cut divides.
+    more than 2000 characters or a tag with blanks that a cut divides.
     """
     known = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     names = [x.split()[0] for x in STATS.split(", ")]
