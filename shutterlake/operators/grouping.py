@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.barrier import sealed
 from shutterlake.functions.digests import bits_apart
 from shutterlake.functions.media import PROFILES, Profile, category_rank, classify, classify_video, color_similarity, frame_similarity, rounded, search_radius, similarity_percent, wide_distance
 from shutterlake.operators.graph import connected
+from shutterlake.operators.numbering import numbered
 
 
 def exact_groups(files: DataFrame) -> DataFrame:
     """(group_id, sha, files, unit_size, reclaimable): digests with two files or more, most bytes of copies first."""
     found = files.where("sha is not null").groupBy("sha").agg(F.count(F.lit(1)).alias("files"), F.min("size").alias("unit_size"), F.min("path").alias("first_path")).where("files >= 2")
     found = found.withColumn("reclaimable", (F.col("files") - 1) * F.col("unit_size"))
-    numbered = F.row_number().over(Window.orderBy(F.desc("reclaimable"), "first_path")).cast("bigint")
-    return found.select(numbered.alias("group_id"), "sha", "files", "unit_size", "reclaimable")
+    return numbered(found, [F.desc("reclaimable"), "first_path"], "group_id").select("group_id", "sha", "files", "unit_size", "reclaimable")
 
 
 def exact_layers(files: DataFrame) -> DataFrame:
@@ -41,8 +41,8 @@ def numbered_groups(members: DataFrame, files: DataFrame) -> DataFrame:
     sized = members.join(files.select("file_id", "size", "path"), "file_id").groupBy("key", "category").agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").alias("total_size"), F.min("size").alias("unit_size"), (F.sum("size") - F.max("size")).alias("reclaimable"), F.min("path").alias("first_path")
     )
-    order = Window.orderBy(F.desc(category_rank(F.col("category"))), F.desc("reclaimable"), "first_path")
-    return sized.select(F.row_number().over(order).cast("bigint").alias("group_id"), "key", "category", "files", "total_size", "unit_size", "reclaimable")
+    order = [F.desc(category_rank(F.col("category"))), F.desc("reclaimable"), "first_path"]
+    return numbered(sized, order, "group_id").select("group_id", "key", "category", "files", "total_size", "unit_size", "reclaimable")
 
 
 def close_pairs(files: DataFrame, radius: int, block_rows: int = 8192) -> DataFrame:
@@ -186,3 +186,39 @@ def video_groups(videos: DataFrame, pairs: DataFrame, threshold: float = 84.0) -
     out = held.join(least, "root", "left").withColumn("percent", F.coalesce("percent", F.lit(threshold)))
     category = F.when(F.col("one"), "file_identical").otherwise(classify_video(F.col("percent"), threshold, F.col("same")))
     return out.select("root", "files", "percent", category.alias("category"))
+
+
+def embedding_percent(a: Column, b: Column) -> Column:
+    """Cosine of two hex texts of half floats in percent, 0 at least; null if either is malformed, zero, or of another length."""
+    return F.pandas_udf(_embedding_percent, "double")(a, b)
+
+
+def _embedding_percent(a: pd.Series, b: pd.Series) -> pd.Series:
+    def read(text: str | None) -> np.ndarray | None:
+        try:
+            v = np.frombuffer(bytes.fromhex(text), "<f2").astype(float) if isinstance(text, str) and text else None
+        except ValueError:
+            return None
+        return v if v is not None and np.isfinite(v).all() and (v * v).sum() > 1e-18 else None
+
+    def one(x: np.ndarray | None, y: np.ndarray | None) -> float | None:
+        if x is None or y is None or len(x) != len(y):
+            return None
+        return round(100.0 * min(1.0, max(0.0, float(x @ y / np.sqrt((x @ x) * (y @ y))))), 1)
+
+    return pd.Series([one(read(x), read(y)) for x, y in zip(a, b)], dtype="float64")
+
+
+def voted_pairs(files: DataFrame, embeddings: DataFrame, profile: Profile = PROFILES["medium"]) -> DataFrame:
+    """(a, b, score, vote, category): close pairs after the vote of their embeddings (file_id, embedding).
+
+    A vote below 55 drops the pair; one of 90 or more lifts a lower score to the similar band; without a vote the score alone counts.
+    """
+    close = close_pairs(files, search_radius(profile)).select("a", "b").alias("p")
+    near = close.join(files.alias("a"), F.col("p.a") == F.col("a.file_id")).join(files.alias("b"), F.col("p.b") == F.col("b.file_id"))
+    scored = _scored(near, profile).where(F.coalesce("bhash", F.lit(100.0)) >= 55).select("a_file_id", "b_file_id", "score")
+    of = lambda s: embeddings.select(F.col("file_id").alias(f"{s}_file_id"), F.col("embedding").alias(f"{s}_e"))
+    voted = scored.join(of("a"), "a_file_id", "left").join(of("b"), "b_file_id", "left").withColumn("vote", embedding_percent(F.col("a_e"), F.col("b_e")))
+    lifted = F.when(F.col("vote") >= 90, F.greatest("score", F.lit(profile.bands.similar))).otherwise(F.col("score"))
+    kept = voted.where("vote is null or vote >= 55").withColumn("score", lifted).where(F.col("score") >= profile.bands.similar)
+    return kept.select(F.col("a_file_id").alias("a"), F.col("b_file_id").alias("b"), "score", "vote", classify(F.col("score"), profile.bands).alias("category"))

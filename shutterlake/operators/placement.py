@@ -6,10 +6,11 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.media import base_name, extension, folder
+from shutterlake.operators.numbering import numbered_within
 
 CAPTURE = r"^(\d{4})[:-](\d{2})[:-](\d{2})[ T](\d{2}):(\d{2})(?::(\d{2}))?$"
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
@@ -99,12 +100,17 @@ def import_status(batch: DataFrame, library: DataFrame) -> DataFrame:
     with the same pixels, then the library's picture of equal dimensions and pixels.
     """
     rows = batch.where("error is null")
-    earlier = lambda key: F.first("name").over(Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("same", F.when(F.col("sha").isNotNull(), earlier(["sha"])))
+
+    def earlier(df: DataFrame, key: str, out: str) -> DataFrame:
+        """The name of the first row of the same key, for all rows but that one."""
+        first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("seq", "name")).alias("_first"))
+        return df.join(first, key, "left").withColumn(out, F.when(F.col("seq") > F.col("_first.seq"), F.col("_first.name"))).drop("_first")
+
+    rows = earlier(rows, "sha", "same")
     exact = library.where("sha is not null").groupBy("size", "sha").agg(F.min("path").alias("exact"))
     rows = rows.join(exact, ["size", "sha"], "left")
     fresh = F.col("same").isNull() & F.col("exact").isNull() & (F.col("kind") == "image") & F.col("pixels").isNotNull()
-    rows = rows.withColumn("fresh", fresh).withColumn("twin", F.when(F.col("fresh"), earlier(["fresh", "pixels"])))
+    rows = earlier(rows.withColumn("fresh", fresh).withColumn("_look", F.when(fresh, F.col("pixels"))), "_look", "twin")
     pixel = library.where("pixels is not null").groupBy("width", "height", "pixels").agg(F.min("path").alias("pixel"))
     rows = rows.join(pixel, ["width", "height", "pixels"], "left").withColumn("pixel", F.when(F.col("fresh"), F.col("pixel")))
     status = F.when(F.col("same").isNotNull(), "duplicate_in_batch").when(F.col("exact").isNotNull(), "duplicate_exact").when(F.col("twin").isNotNull(), "duplicate_in_batch").when(F.col("pixel").isNotNull(), "duplicate_pixel").otherwise("new")
@@ -120,10 +126,10 @@ def unique_names(plans: DataFrame, taken: DataFrame) -> DataFrame:
     the k-th gets the k-th free number. A stem's spelling is its first plan's.
     """
     keyed = plans.withColumn("key", folded(F.col("dest_name")))
-    group = Window.partitionBy("dest_dir", "key")
     stem = lambda c: F.regexp_replace(c, r"(?<=[^.])\.[^.]*$", "")
     there = taken.select("dest_dir", folded(F.col("name")).alias("key")).distinct()
-    keyed = keyed.withColumns({"n": F.count(F.lit(1)).over(group), "base": F.first("dest_name").over(group.orderBy("seq")), "k": F.row_number().over(group.orderBy("stamp", "source"))})
+    groups = keyed.groupBy("dest_dir", "key").agg(F.count(F.lit(1)).alias("n"), F.min_by("dest_name", "seq").alias("base"))
+    keyed = numbered_within(keyed, ["dest_dir", "key"], ["stamp", "source", "seq"], "k").join(groups, ["dest_dir", "key"])
     keyed = keyed.join(there.withColumn("there", F.lit(True)), ["dest_dir", "key"], "left")
     many = keyed.where("n > 1 or there")
     # the taken numbers of each group: names like stem_NN.ext of the same folder
@@ -131,7 +137,7 @@ def unique_names(plans: DataFrame, taken: DataFrame) -> DataFrame:
     numbers = used.groupBy("dest_dir", "key").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
     many = many.join(numbers, ["dest_dir", "key"], "left")
     # the k-th free number: k plus the taken numbers that come no later
-    free = F.aggregate(F.coalesce("numbers", F.array().cast("array<int>")), F.col("k"), lambda at, t: F.when(t <= at, at + 1).otherwise(at))
+    free = F.aggregate(F.coalesce("numbers", F.array().cast("array<int>")), F.col("k").cast("int"), lambda at, t: F.when(t <= at, at + 1).otherwise(at))
     ext = F.regexp_extract("base", r"(?<=[^.])(\.[^.]*)$", 1)
     named = many.select("seq", "dest_dir", F.concat(stem(F.col("base")), F.lit("_"), F.when(free < 10, F.concat(F.lit("0"), free.cast("string"))).otherwise(free.cast("string")), ext).alias("dest_name"), F.lit(True).alias("suffixed"))
     return keyed.where("n = 1 and there is null").select("seq", "dest_dir", "dest_name", F.lit(False).alias("suffixed")).unionByName(named)
@@ -145,9 +151,8 @@ def renamed(plans: DataFrame) -> DataFrame:
     first of a free name stays bare.
     """
     key = plans.withColumns({"key": F.lower("wanted"), "stays": F.col("old_name") == F.col("wanted")})
-    place = F.row_number().over(Window.partitionBy("directory", "key").orderBy(F.desc("stays"), "stamp", F.lower("old_name")))
     stem, ext = F.regexp_replace("wanted", r"(?<=[^.])\.[^.]*$", ""), F.regexp_extract("wanted", r"(?<=[^.])(\.[^.]*)$", 1)
-    numbered = key.withColumn("k", place)
+    placed = numbered_within(key, ["directory", "key"], [F.desc("stays"), "stamp", F.lower("old_name"), "old_name", "file_id"], "k")
     name = F.when(F.col("k") == 1, F.col("wanted")).otherwise(F.concat(stem, F.lit("_"), F.col("k").cast("string"), ext))
     status = F.when(F.col("stays") & (F.col("k") == 1), "unchanged").when(F.col("k") == 1, "pending").otherwise("suffixed")
-    return numbered.select("file_id", name.alias("new_name"), status.alias("status"))
+    return placed.select("file_id", name.alias("new_name"), status.alias("status"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.media import BAD_FOLDERS, COPY_HINTS, LOSSLESS, LOSSY, base_name, contains_any, folder, rounded
+from shutterlake.operators.skew import salted_join
+from shutterlake.sources.tables import materialize
 
 
 def traits(files: DataFrame) -> DataFrame:
@@ -33,11 +35,11 @@ def keep_scores(members: DataFrame, files: DataFrame) -> DataFrame:
     within 2 s, 6 or -14 by name, -10 for a bad folder, 3 for the least depth,
     2 for a path at most 4 longer than the shortest.
     """
-    rows = members.join(files.select("file_id", "size", "mtime"), "file_id").join(traits(files), "file_id")
-    group = Window.partitionBy("key", "category")
-    top, low = (lambda c: F.max(c).over(group)), (lambda c: F.min(c).over(group))
+    rows = materialize(members.join(files.select("file_id", "size", "mtime"), "file_id").join(traits(files), "file_id"), "traits")
     exact = F.col("category") == "file_identical"
-    rows = rows.withColumns({f"top_{c}": top(c) for c in ("pixels", "size", "bitrate", "format_rank", "metadata_points")} | {f"low_{c}": low(c) for c in ("pixels", "size", "bitrate", "format_rank", "metadata_points", "mtime", "depth", "path_length")})
+    high, low = ("pixels", "size", "bitrate", "format_rank", "metadata_points"), ("pixels", "size", "bitrate", "format_rank", "metadata_points", "mtime", "depth", "path_length")
+    ends = rows.groupBy("key", "category").agg(*[F.max(c).alias(f"top_{c}") for c in high], *[F.min(c).alias(f"low_{c}") for c in low])
+    rows = salted_join(ends, rows, ["key", "category"])
     best = lambda c: (F.col(c) == F.col(f"top_{c}")) & (F.col(f"low_{c}") < F.col(f"top_{c}"))
     points: list[Column] = [
         F.when((F.col("top_pixels") > 0) & ~exact, F.lit(30.0) * F.col("pixels") / F.col("top_pixels")).otherwise(0.0),
@@ -59,8 +61,10 @@ def recommendations(scores: DataFrame) -> DataFrame:
     Confidence is 52 plus 2.4 times the margin over the runner-up, within 35 and
     96, and at most 55 for identical files without a decisive reason. Ties go to the older, then the smaller file.
     """
-    order = Window.partitionBy("key", "category").orderBy(F.desc("score"), "mtime", "file_id")
-    ranked = scores.withColumns({"place": F.row_number().over(order), "second": F.lead("score").over(order)}).where("place = 1 and second is not null")
+    best = scores.groupBy("key", "category").agg(F.max(F.struct("score", (-F.col("mtime")).alias("mtime"), (-F.col("file_id")).alias("file_id"), "decisive")).alias("r"))
+    best = best.select("key", "category", F.col("r.score").alias("best"), (-F.col("r.file_id")).alias("keep"), F.col("r.decisive").alias("sound"))
+    others = salted_join(best, scores, ["key", "category"]).where("file_id <> keep")
+    ranked = others.groupBy("key", "category", "keep").agg(F.max("best").alias("score"), F.max("score").alias("second"), F.first("sound").alias("decisive"))
     sure = F.floor(F.greatest(F.lit(35.0), F.least(F.lit(96.0), F.lit(52.0) + (F.col("score") - F.col("second")) * 2.4))).cast("int")
     capped = F.when((F.col("category") == "file_identical") & ~F.col("decisive"), F.least(sure, F.lit(55))).otherwise(sure)
-    return ranked.select("key", "category", F.col("file_id").alias("keep"), rounded(F.col("score")).alias("score"), capped.alias("confidence"))
+    return ranked.select("key", "category", "keep", rounded(F.col("score")).alias("score"), capped.alias("confidence"))

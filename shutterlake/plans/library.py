@@ -10,6 +10,7 @@ from shutterlake.functions.geo import with_iso6709
 from shutterlake.functions.media import EXACT, base_name, category_rank, color_bins, color_similarity, confidence, extension, folder, frame_values, human_duration, human_size, kind_of, similarity_percent, wide_hash
 from shutterlake.operators import cache, grouping, placement, recommend
 from shutterlake.operators.geocode import countries_of
+from shutterlake.operators.numbering import numbered
 from shutterlake.operators.records import current_records
 from shutterlake.plans.found import located_files
 from shutterlake.sources.tables import materialize, table
@@ -66,7 +67,7 @@ def exact_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def _layers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     f = files(spark, d)
-    return f, grouping.exact_layers(f.select("file_id", "sha", "pixels"))
+    return f, materialize(grouping.exact_layers(f.select("file_id", "sha", "pixels")), "layers")
 
 
 def layered_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +107,7 @@ def group_browser(spark: SparkSession, d: str) -> DataFrame:
         F.every(F.col("kind") == "image").alias("pictures"), F.some(F.contains(F.lower("path"), F.lit("img"))).alias("hit"),
     )
     kept = g.where("pictures and hit and files >= 3 and category = 'file_identical'")
-    return kept.select(F.row_number().over(Window.orderBy(F.desc("reclaimable"), "first_path")).cast("bigint").alias("place"), "files", "reclaimable", "first_path", F.format_string("%s (%d)", human_size(F.col("reclaimable")), F.col("files")).alias("label"))
+    return numbered(kept, [F.desc("reclaimable"), "first_path"], "place").select("place", "files", "reclaimable", "first_path", F.format_string("%s (%d)", human_size(F.col("reclaimable")), F.col("files")).alias("label"))
 
 
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +134,12 @@ def similar_clusters(spark: SparkSession, d: str) -> DataFrame:
     return grouping.similar_clusters(rest, materialize(grouping.similar_pairs(rest), "similar"))
 
 
+def embedding_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Alike pictures after the vote of their embeddings."""
+    e = current_records(table(spark, d, "file_cache"), "file_id", "analyzed_at", ["embedding"])
+    return grouping.voted_pairs(materialize(_unassigned(spark, d)[1], "pictures"), e)
+
+
 def color_matches(spark: SparkSession, d: str) -> DataFrame:
     """Colour similarity of each member of an exact group with the group's first file."""
     f, members = _layers(spark, d)
@@ -176,7 +183,7 @@ def keep_scores(spark: SparkSession, d: str) -> DataFrame:
 def keep_recommendation(spark: SparkSession, d: str) -> DataFrame:
     """The file to keep of every exact group, and how sure that is."""
     f, members = _layers(spark, d)
-    return recommend.recommendations(recommend.keep_scores(members, f)).select("category", "keep", "confidence")
+    return recommend.recommendations(materialize(recommend.keep_scores(members, f), "scores")).select("category", "keep", "confidence")
 
 
 def file_traits(spark: SparkSession, d: str) -> DataFrame:
@@ -367,7 +374,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_stats, scan_selection, size_candidates, dimension_candidates, exact_groups, layered_groups, layered_members, rough_counters, dashboard, group_browser, hamming_pairs, similar_pairs, similar_clusters,
-        color_matches, duration_candidates, video_pairs, nearest_videos, video_groups, keep_scores, keep_recommendation, file_traits, labels, import_status, plan_summary, import_names, rename_names, capture_dates, organize_plan, geocode,
+        embedding_votes, color_matches, duration_candidates, video_pairs, nearest_videos, video_groups, keep_scores, keep_recommendation, file_traits, labels, import_status, plan_summary, import_names, rename_names, capture_dates, organize_plan, geocode,
         folder_reuse, iso6709, cache_lookup, cache_upsert, cache_prune, history_recent, history_summary, decisions, deletion_preview, category_review, export_rows, export_json, undo_plan, phash_compare,
     )
 }

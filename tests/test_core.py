@@ -99,3 +99,39 @@ def test_cache(spark):
     assert {(r["path"], r["hit"], r["sha256"]) for r in lookup(scan, old, ["sha256"]).collect()} == {("a", True, "x"), ("b", False, None), ("c", False, None)}
     assert rows(upsert(old, spark.createDataFrame([("b", 2, 2.0, "n")], shape))) == {("a", 100, 1234.5678, "x"), ("b", 2, 2.0, "n"), ("gone", 1, 1.0, "z")}
     assert rows(prune(old, scan).select("path")) == {("a",), ("b",)}
+
+
+def test_numbering_equals_windows(spark):
+    from pyspark.sql import Window
+
+    from shutterlake.operators.numbering import numbered, numbered_within
+
+    df = spark.createDataFrame([(k * 7919 % 1000, k % 3) for k in range(1000)] + [(5000 + k, 9) for k in range(500)], "v int, g int").repartition(5)
+    want = df.withColumn("n", F.row_number().over(Window.orderBy(F.desc("v"))).cast("bigint"))
+    assert rows(numbered(df, [F.desc("v")], "n")) == rows(want)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("v")).cast("bigint"))
+    assert rows(numbered_within(df, ["g"], ["v"], "n").select("v", "g", "n")) == rows(want)
+    assert numbered(df.limit(0), ["v"], "n").count() == 0
+
+
+def test_embedding_percent(spark):
+    import numpy as np
+
+    from shutterlake.operators.grouping import embedding_percent
+
+    hexed = lambda *v: np.array(v, "<f2").tobytes().hex()
+    data = [(hexed(1, 0), hexed(2, 0)), (hexed(1, 0), hexed(-1, 0)), (hexed(1, 0), hexed(1, 1, 1)), (None, hexed(1, 0)), ("zz", hexed(1, 0)), (hexed(0, 0), hexed(1, 0)), (hexed(1, 1), hexed(1, 0))]
+    got = [r[0] for r in spark.createDataFrame(data, "a string, b string").select(embedding_percent(F.col("a"), F.col("b"))).collect()]
+    assert got == [100.0, 0.0, None, None, None, None, 70.7]
+
+
+def test_similarity_layers_without_rows(spark):
+    from shutterlake.operators import grouping
+
+    shape = "file_id bigint, path string, size bigint, mtime double, sha string, pixels string, phash bigint, dhash bigint, ahash bigint, bhash array<bigint>, color array<int>, width int, height int"
+    none = spark.createDataFrame([], shape)
+    assert grouping.exact_groups(none).count() == grouping.exact_layers(none).count() == grouping.similar_pairs(none).count() == 0
+    two = spark.createDataFrame([(1, "/a", 5, 1.0, None, None, 7, 7, 7, [1, 2, 3, -4], None, 4000, 3000), (2, "/b", 4, 1.0, None, None, 7, 7, 7, [1, 2, 3, -4], None, 1000, 750), (3, "/c", 4, 1.0, None, None, None, 7, None, None, None, None, None)], shape)
+    pairs = grouping.similar_pairs(two)
+    assert rows(pairs) == {(1, 2, 100.0, True, "visually_identical")}
+    assert rows(grouping.similar_clusters(two, pairs)) == {(1, 1, 2, 100.0, 100.0, "resized_duplicate")}
