@@ -11,6 +11,9 @@ compared with itself. Equal digests are found by equality.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,39 +44,51 @@ def block_keys(most: int, first: Column, second: Column) -> Column:
     return F.array(*[F.lit((i * n + j) << (2 * width)).bitwiseOR(F.shiftleft(block(first, i), width)).bitwiseOR(block(second, j)) for i in range(n) for j in range(n)])
 
 
+def _class() -> Column:
+    """The key of a signature; nulls count, as the hash by itself skips them."""
+    blank = {"sha": F.lit(""), "pixels": F.lit(""), "phash": F.lit(0), "dhash": F.lit(0)}
+    return F.xxhash64(*[F.coalesce(F.col(c), blank[c]) for c in SIGNATURE])
+
+
 class HistoryStore:
     """Everything accepted so far: classes of equal signatures, their members, and the block tables of their fingerprints.
 
-    Files live in the shared folder, one folder a kind, each batch appended.
     A class is a distinct (sha, pixels, phash, dhash); copies share one class,
-    so that a hot content is looked up once, whatever its number of copies.
+    so that a hot content is looked up once, whatever its number of copies. The
+    block tables are one table bucketed by block: a batch is shuffled to the
+    buckets, the history stays where it is. Files live in the shared folder;
+    classes and members in a folder for each batch, which a repeated append
+    replaces. ``buckets`` is fixed when the store is made.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, most_bits: int = 4) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, most_bits: int = 4, buckets: int = 24) -> None:
         self.spark, self.path, self.most = spark, path or scratch_path(spark, "history"), most_bits
-        self.empty = True
-
-    def _read(self, kind: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{kind}")
-
-    def append(self, batch: DataFrame) -> None:
-        """Accept a batch (id, seq, name and signature; see :func:`signatures`)."""
-        keyed = batch.withColumn("cls", F.xxhash64(*SIGNATURE))
-        keyed.select("cls", "seq", "name").write.mode("append").parquet(f"{self.path}/members")
-        classes = keyed.where("sha is not null or pixels is not null or phash is not null").select("cls", *SIGNATURE).dropDuplicates(["cls"])
-        if not self.empty:
-            classes = classes.join(self._read("classes").select("cls"), "cls", "left_anti")
-        new = materialize(classes, "new-classes")
-        new.write.mode("append").parquet(f"{self.path}/classes")
-        prints = new.where("phash is not null and dhash is not null").select("phash", "dhash").distinct()
-        if not self.empty:
-            prints = prints.join(self._read("prints"), ["phash", "dhash"], "left_anti")
-        prints.write.mode("append").parquet(f"{self.path}/prints")
-        self.empty = False
-
-    def _tables(self, prints: DataFrame, suffix: str) -> DataFrame:
-        keyed = prints.select("phash", "dhash", F.explode(block_keys(self.most, F.col("phash"), F.col("dhash"))).alias("block"))
-        return keyed.select("block", F.col("phash").alias(f"p{suffix}"), F.col("dhash").alias(f"d{suffix}"))
+        self.blocks = "history_" + hashlib.sha1(self.path.encode()).hexdigest()[:16]
+        self.buckets = buckets
+        if not spark.catalog.tableExists(self.blocks):
+            spark.sql(f"CREATE TABLE {self.blocks} (block BIGINT, print BIGINT) USING parquet CLUSTERED BY (block) INTO {buckets} BUCKETS LOCATION '{self.path}/blocks'")
+
+    def _read(self, kind: str, but: str = "") -> DataFrame | None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return None
+        return self.spark.read.option("basePath", f"{self.path}/{kind}").parquet(f"{self.path}/{kind}").where(F.col("batch") != but).drop("batch")
+
+    def append(self, batch: DataFrame, name: str | None = None) -> None:
+        """Accept a batch (id, seq, name and signature; see :func:`signatures`); ``name`` makes it repeatable."""
+        at = f"batch=b{name or uuid.uuid4().hex}"
+        keyed = batch.withColumn("cls", _class())
+        keyed.select("cls", "seq", "name").write.mode("overwrite").parquet(f"{self.path}/members/{at}")
+        classes = _known(keyed)
+        old = self._read("classes", at[6:])
+        if old is not None:
+            classes = classes.join(old.select("cls"), "cls", "left_anti")
+        classes.write.mode("overwrite").parquet(f"{self.path}/classes/{at}")
+        prints = self.spark.read.parquet(f"{self.path}/classes/{at}").where("print is not null").select("print", "phash", "dhash").dropDuplicates(["print"])
+        if old is not None:
+            prints = prints.join(old.select("print"), "print", "left_anti")
+        posted = prints.select(F.explode(block_keys(self.most, F.col("phash"), F.col("dhash"))).alias("block"), "print")
+        posted.repartition(self.buckets, "block").write.insertInto(self.blocks)
 
     def match(self, batch: DataFrame) -> DataFrame:
         """(id, name): each record of the batch with every earlier record, smaller in seq, of the store that is the same or nearly so.
@@ -81,22 +96,30 @@ class HistoryStore:
         The batch may already be part of the store, as when several batches are
         replayed at once: seq keeps a record from matching itself or a later one.
         Classes are matched first; records come in only at the end, by a join
-        that spreads the members of a hot class.
+        that spreads the members of a hot class. A store without batches matches nothing.
         """
-        keyed = batch.withColumn("cls", F.xxhash64(*SIGNATURE))
-        mine = materialize(keyed.where("sha is not null or pixels is not null or phash is not null").select("cls", *SIGNATURE).dropDuplicates(["cls"]), "batch-classes")
+        keyed = batch.withColumn("cls", _class())
         theirs = self._read("classes")
+        if theirs is None:
+            return keyed.select("id", "name").limit(0)
+        mine = materialize(_known(keyed), "batch-classes")
         links = []
-        for evidence in ("sha", "pixels"):
+        for evidence in ("sha", "pixels", "print"):
             a = mine.where(F.col(evidence).isNotNull()).select(evidence, F.col("cls").alias("a"))
             links.append(a.join(theirs.where(F.col(evidence).isNotNull()).select(evidence, F.col("cls").alias("b")), evidence).select("a", "b"))
-        wanted = mine.where("phash is not null and dhash is not null")
-        near = self._tables(wanted.select("phash", "dhash").distinct(), "1").join(self._tables(self._read("prints"), "2"), "block")
-        near = near.where((bits_apart(F.col("p1"), F.col("p2")) <= self.most) & (bits_apart(F.col("d1"), F.col("d2")) <= self.most)).select("p1", "d1", "p2", "d2").distinct()
-        a = wanted.select(F.col("cls").alias("a"), F.col("phash").alias("p1"), F.col("dhash").alias("d1"))
-        b = theirs.where("phash is not null and dhash is not null").select(F.col("cls").alias("b"), F.col("phash").alias("p2"), F.col("dhash").alias("d2"))
-        links.append(near.join(a, ["p1", "d1"]).join(b, ["p2", "d2"]).select("a", "b"))
-        pairs = links[0].unionByName(links[1]).unionByName(links[2]).distinct()
+        asked = mine.where("print is not null").select(F.col("print").alias("p"), "phash", "dhash").dropDuplicates(["p"])
+        asked = asked.select(F.explode(block_keys(self.most, F.col("phash"), F.col("dhash"))).alias("block"), "p")
+        hits = self.spark.table(self.blocks).join(asked.hint("shuffle_hash"), "block").where("print <> p").select("p", F.col("print").alias("q")).distinct()
+        of = lambda df, s: df.where("print is not null").select(F.col("print").alias({"a": "p", "b": "q"}[s]), F.col("cls").alias(s), F.col("phash").alias(f"h{s}"), F.col("dhash").alias(f"d{s}"))
+        near = hits.join(of(mine, "a"), "p").join(of(theirs, "b"), "q")
+        links.append(near.where((bits_apart(F.col("ha"), F.col("hb")) <= self.most) & (bits_apart(F.col("da"), F.col("db")) <= self.most)).select("a", "b"))
+        pairs = links[0].unionByName(links[1]).unionByName(links[2]).unionByName(links[3]).distinct()
         left = salted_join(pairs, keyed.select(F.col("cls").alias("a"), "id", F.col("seq").alias("my_seq")), ["a"])
         right = self._read("members").select(F.col("cls").alias("b"), "seq", "name")
         return salted_join(left, right, ["b"]).where("seq < my_seq").select("id", "name")
+
+
+def _known(keyed: DataFrame) -> DataFrame:
+    """The distinct classes of records with something to match by, and the fingerprint's key of those with both hashes."""
+    kept = keyed.where("sha is not null or pixels is not null or (phash is not null and dhash is not null)").select("cls", *SIGNATURE).dropDuplicates(["cls"])
+    return kept.withColumn("print", F.when(F.col("phash").isNotNull() & F.col("dhash").isNotNull(), F.xxhash64("phash", "dhash")))
