@@ -100,10 +100,24 @@ def test_block_keys_miss_nothing(spark):
 def test_history_of_nothing(spark):
     none = signatures(spark.createDataFrame([], RECORD), "id", F.lit(-1), "name")
     store = HistoryStore(spark)
+    assert store.match(none).count() == 0
     store.append(none)
     assert store.match(none).count() == 0
 
 
+def test_a_repeated_append_counts_once(spark):
+    rng = random.Random(9)
+    sign = lambda data, order: signatures(spark.createDataFrame(data, RECORD), "id", order, "name")
+    old, new = _records(rng, 60), _records(rng, 30, 1000)
+    store = HistoryStore(spark)
+    for _ in range(2):
+        store.append(sign(old, F.lit(-1)), "first")
+    again = HistoryStore(spark, store.path)
+    again.append(sign(new, F.col("id")), "second")
+    found = again.match(sign(new, F.col("id"))).collect()
+    assert len(found) == len(set(found)) and set(map(tuple, found)) == _brute(old + new, lambda i: i if i >= 1000 else -1)
+
+
 # 2. neighbours
 
 
