@@ -27,11 +27,18 @@ def capture_datetime(text: Column) -> Column:
     return F.when(core.rlike(CAPTURE) & ~core.startswith("0000"), whole.try_cast("timestamp_ntz"))
 
 
+def count_in_seconds(count: Column) -> Column:
+    """A count since 1970 in seconds, milli-, micro- or nanoseconds as seconds; unlike ``count_to_ms`` it drops no year and no unset 0, only NaN and what no unit explains."""
+    size = F.abs(count)
+    return F.when(size < 1e11, count).when(size < 1e14, count / 1e3).when(size < 1e17, count / 1e6).when(size < 1e20, count / 1e9)
+
+
 def capture_dates(files: DataFrame) -> DataFrame:
-    """(file_id, captured, date_source): the date that the picture or video carries, else its mtime in UTC; ``files`` has kind, date_taken, creation_time, mtime."""
+    """(file_id, captured, date_source): the date that the picture or video carries, else its mtime in UTC, whatever its unit; ``files`` has kind, date_taken, creation_time, mtime."""
     taken = F.when(F.col("kind") == "image", capture_datetime(F.col("date_taken")))
     made = F.when(F.col("kind") == "video", capture_datetime(F.col("creation_time")))
-    stored = F.when(F.abs("mtime") < 1e11, F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.floor("mtime").cast("decimal(18,6)")))
+    seconds = F.floor(count_in_seconds(F.col("mtime"))).cast("decimal(18,6)")
+    stored = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
     source = F.when(taken.isNotNull(), "exif").when(made.isNotNull(), "video_creation").when(stored.isNotNull(), "file_mtime")
     return files.select("file_id", F.coalesce(taken, made, stored).alias("captured"), source.alias("date_source"))
 

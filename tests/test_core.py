@@ -1,5 +1,7 @@
 """Shared helpers, grouping and placement on small fixtures."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from shutterlake.functions.digests import digest, hash64
@@ -8,7 +10,7 @@ from shutterlake.functions.media import Bands
 from shutterlake.functions.paths import same_path
 from shutterlake.operators.cache import lookup, prune, upsert
 from shutterlake.operators.graph import connected
-from shutterlake.operators.placement import import_status, renamed, reused_folders, strftime, unique_names
+from shutterlake.operators.placement import capture_dates, import_status, renamed, reused_folders, strftime, unique_names
 from shutterlake.operators.records import current_records
 from shutterlake.operators.skew import salted_join
 from tests.helpers import rows
@@ -135,3 +137,12 @@ def test_similarity_layers_without_rows(spark):
     pairs = grouping.similar_pairs(two)
     assert rows(pairs) == {(1, 2, 100.0, True, "visually_identical")}
     assert rows(grouping.similar_clusters(two, pairs)) == {(1, 1, 2, 100.0, 100.0, "resized_duplicate")}
+
+
+def test_capture_dates_read_mtimes_of_any_unit(spark):
+    at = 1_500_000_000
+    counts = [at + 0.75, (at + 0.75) * 1e3, (at + 0.75) * 1e6, at * 1e9, 0.0, -1.0, 1e8, float("nan"), None]
+    files = spark.createDataFrame([(k, "image", None, None, c) for k, c in enumerate(counts)], "file_id long, kind string, date_taken string, creation_time string, mtime double")
+    got = {r["file_id"]: (r["captured"], r["date_source"]) for r in capture_dates(files).collect()}
+    utc = lambda s: (datetime(1970, 1, 1) + timedelta(seconds=s), "file_mtime")
+    assert got == {**{k: utc(at) for k in range(4)}, 4: utc(0), 5: utc(-1), 6: utc(10**8), 7: (None, None), 8: (None, None)}
