@@ -12,6 +12,7 @@ from shutterlake.operators import cache, grouping, placement, recommend
 from shutterlake.operators.geocode import countries_of
 from shutterlake.operators.numbering import numbered
 from shutterlake.operators.records import current_records
+from shutterlake.operators.skew import salted_join
 from shutterlake.plans.found import located_files
 from shutterlake.sources.tables import materialize, table
 
@@ -111,11 +112,18 @@ def group_browser(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pictures with different phashes at most 15 bits apart, a row a pair of distinct hashes, named by their smallest files."""
+    """Pictures with different phashes at most 15 bits apart, a row a pair of distinct hashes, named by their smallest files; ``hamming_members`` has the others."""
     f = files(spark, d).where("phash is not null").groupBy("phash").agg(F.min("file_id").alias("file_id"))
     return grouping.close_pairs(f, 15)
 
 
+def hamming_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with a phash, and the file that names its hash in ``hamming_pairs``; files of one representative are 0 bits apart."""
+    rows = materialize(files(spark, d).where("phash is not null and file_id is not null").select("file_id", "phash"), "hashes")
+    names = rows.groupBy("phash").agg(F.min("file_id").alias("representative"))
+    return salted_join(names, rows, ["phash"]).select("file_id", "representative")
+
+
 def _unassigned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All files, and the pictures that no exact layer holds."""
     f = materialize(files(spark, d), "files")
@@ -373,7 +381,7 @@ def phash_compare(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_stats, scan_selection, size_candidates, dimension_candidates, exact_groups, layered_groups, layered_members, rough_counters, dashboard, group_browser, hamming_pairs, similar_pairs, similar_clusters,
+        scan_stats, scan_selection, size_candidates, dimension_candidates, exact_groups, layered_groups, layered_members, rough_counters, dashboard, group_browser, hamming_pairs, hamming_members, similar_pairs, similar_clusters,
         embedding_votes, color_matches, duration_candidates, video_pairs, nearest_videos, video_groups, keep_scores, keep_recommendation, file_traits, labels, import_status, plan_summary, import_names, rename_names, capture_dates, organize_plan, geocode,
         folder_reuse, iso6709, cache_lookup, cache_upsert, cache_prune, history_recent, history_summary, decisions, deletion_preview, category_review, export_rows, export_json, undo_plan, phash_compare,
     )
