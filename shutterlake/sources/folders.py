@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -53,10 +55,35 @@ def select(files: DataFrame, options: ScanOptions, root: str = "") -> DataFrame:
     return kept
 
 
-def digests(spark: SparkSession, root: str, most_bytes: int = 2**30) -> DataFrame:
-    """(path, sha256) of every file of at most ``most_bytes`` below a folder; sizes are pushed to the listing."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most_bytes)
-    return found.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), F.sha2("content", 256).alias("sha256"))
+def digests(spark: SparkSession, root: str, most_bytes: int | None = None, whole_bytes: int = 2**30) -> DataFrame:
+    """(path, sha256) of every file below a folder, or of those of at most ``most_bytes`` if given.
+
+    Files of at most ``whole_bytes`` are read as one value each; longer ones are
+    streamed in blocks inside a task, so no task holds one. Streaming opens the
+    file by its path and fails for file systems other than mounted ones. Sizes
+    are pushed to the listing.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    if most_bytes is not None:
+        found = found.where(F.col("length") <= most_bytes)
+    path = F.regexp_replace("path", r"^file:/+", "/")
+    whole = found.where(F.col("length") <= whole_bytes).select(path.alias("path"), F.sha2("content", 256).alias("sha256"))
+    long = found.where(F.col("length") > whole_bytes).select(path.alias("path"))
+    return whole.unionByName(long.mapInPandas(_stream_digests, "path string, sha256 string"))
+
+
+def _stream_digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield pd.DataFrame({"path": frame["path"], "sha256": [streamed_digest(p) for p in frame["path"]]})
+
+
+def streamed_digest(path: str, block: int = 2**20) -> str:
+    """SHA-256 of a file of any size, read in blocks."""
+    made = hashlib.sha256()
+    with open(path, "rb", buffering=0) as f:
+        while data := f.read(block):
+            made.update(data)
+    return made.hexdigest()
 
 
 def borders(spark: SparkSession, path: str, tolerance: float = 0.01) -> DataFrame:

@@ -26,6 +26,28 @@ def test_scan_and_digests(spark, tmp_path):
     assert {r["sha256"] for r in digests(spark, str(tmp_path), 10).collect()} == {hashlib.sha256(b"x" * n).hexdigest() for n in (5, 10)}
 
 
+def test_digests_of_files_of_any_size(spark, tmp_path):
+    made = {}
+    for name, size in (("small.jpg", 10), ("a b+c%20é.mov", 3 * 2**20 + 7), ("sub/long.mov", 2**20)):
+        at = tmp_path / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(bytes(k % 251 for k in range(size)))
+        made[name] = hashlib.sha256(at.read_bytes()).hexdigest()
+    got = digests(spark, str(tmp_path), whole_bytes=100).collect()
+    assert {r["path"].removeprefix(f"{tmp_path}/"): r["sha256"] for r in got} == made and len(got) == 3
+    assert rows(digests(spark, str(tmp_path))) == {tuple(r) for r in got}
+
+
+def test_digests_beyond_a_gibibyte(spark, tmp_path):
+    with open(tmp_path / "long.mov", "wb") as f:
+        f.truncate(2**30 + 1)  # sparse
+    expected = hashlib.sha256()
+    for _ in range(1024):
+        expected.update(bytes(2**20))
+    expected.update(b"\0")
+    assert [r["sha256"] for r in digests(spark, str(tmp_path)).collect()] == [expected.hexdigest()]
+
+
 def test_borders(spark, tmp_path):
     square = [[0, 0], [5, 0.0001], [10, 0], [10, 10], [0, 10], [0, 0]]
     made = {"type": "FeatureCollection", "features": [{"properties": {"NAME": "Zed"}, "geometry": {"type": "Polygon", "coordinates": [square]}}, {"properties": {"ADMIN": "Alpha", "NAME": "x"}, "geometry": {"type": "MultiPolygon", "coordinates": [[square], [[[1, 1], [2, 2], [1, 1]]]]}}, {"properties": {}, "geometry": {"type": "Point", "coordinates": [1, 2]}}]}
