@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\W_]+")
+CLEAN = ["doc_id", "removed_words", "kept", "clean_text"]
+CLEAN_SHAPE = "doc_id bigint, removed_words bigint, kept boolean, clean_text string"
 
 
 def plain(text: str) -> str:
@@ -107,20 +109,21 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = 12, most_chars: int =
     return known.mapInPandas(scan, shape)
 
 
+def _grams(key: str, n: int):
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for ident, text in zip(frame[key].tolist(), frame["text"]):
+                words = words_of(text)
+                for start in range(0, len(words) - n + 1, 20_000):
+                    cuts = [" ".join(words[k : k + n]) for k in range(start, min(start + 20_000, len(words) - n + 1))]
+                    yield pd.DataFrame({key: [ident] * len(cuts), "gram": pd.Series(cuts, dtype=object)})
+
+    return cut
+
+
 def _leaks_by_join(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    def grams(key: str):
-        def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for ident, text in zip(frame[key].tolist(), frame["text"]):
-                    words = words_of(text)
-                    for start in range(0, len(words) - n + 1, 20_000):
-                        cuts = [" ".join(words[k : k + n]) for k in range(start, min(start + 20_000, len(words) - n + 1))]
-                        yield pd.DataFrame({key: [ident] * len(cuts), "gram": pd.Series(cuts, dtype=object)})
-
-        return cut
-
-    wanted = items.where("item_id is not null and text is not null").select("item_id", "text").mapInPandas(grams("item_id"), "item_id bigint, gram string").distinct()
-    found = documents.mapInPandas(grams("doc_id"), "doc_id bigint, gram string").join(wanted, "gram")
+    wanted = items.where("item_id is not null and text is not null").select("item_id", "text").mapInPandas(_grams("item_id", n), "item_id bigint, gram string").distinct()
+    found = documents.mapInPandas(_grams("doc_id", n), "doc_id bigint, gram string").join(wanted, "gram")
     return found.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows"))
 
 
@@ -130,10 +133,12 @@ def without_leaks(documents: DataFrame, items: DataFrame, n: int = 12, most_char
     A span is a maximal run of words covered by shared windows; it goes with
     what stands between its words. A document more than ``drop_share`` of whose
     words leaked isn't kept (clean_text null). Documents without leaks aren't listed.
+    Items of more than ``most_chars`` characters are joined by window, as in :func:`leaks`.
     """
+    known = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     windows = _windows(items, n, most_chars)
     if windows is None:
-        raise ValueError("the items exceed most_chars; remove documents by leaks() instead")
+        return _without_leaks_by_join(known, items, n, drop_share)
 
     def clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -142,16 +147,49 @@ def without_leaks(documents: DataFrame, items: DataFrame, n: int = 12, most_char
                 if not windows.hits(words_of(text)):
                     continue
                 placed = placed_words(text)
-                covered = bytearray(len(placed))
-                for k, _ in windows.hits([w for w, _, _ in placed]):
-                    covered[k : k + n] = b"\x01" * n
-                pieces, at, gone = [], 0, sum(covered)
-                for m in re.finditer(rb"\x01+", bytes(covered)):
-                    pieces.append(text[at : placed[m.start()][1]])
-                    at = placed[m.end() - 1][2]
-                kept = gone <= drop_share * len(placed)
-                out.append((doc, gone, kept, "".join(pieces) + text[at:] if kept else None))
-            yield pd.DataFrame(out, columns=["doc_id", "removed_words", "kept", "clean_text"])
+                out.append((doc, *_cut(text, placed, [k for k, _ in windows.hits([w for w, _, _ in placed])], n, drop_share)))
+            yield pd.DataFrame(out, columns=CLEAN)
 
-    known = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return known.mapInPandas(clean, "doc_id bigint, removed_words bigint, kept boolean, clean_text string")
+    return known.mapInPandas(clean, CLEAN_SHAPE)
+
+
+def _cut(text: str, placed: list[tuple[str, int, int]], starts: list[int], n: int, drop_share: float) -> tuple[int, bool, str | None]:
+    """(removed_words, kept, clean_text) of a text whose windows at ``starts`` are shared."""
+    covered = bytearray(len(placed))
+    for k in starts:
+        covered[k : k + n] = b"\x01" * n
+    pieces, at, gone = [], 0, sum(covered)
+    for m in re.finditer(rb"\x01+", bytes(covered)):
+        pieces.append(text[at : placed[m.start()][1]])
+        at = placed[m.end() - 1][2]
+    kept = gone <= drop_share * len(placed)
+    return gone, kept, "".join(pieces) + text[at:] if kept else None
+
+
+def _without_leaks_by_join(documents: DataFrame, items: DataFrame, n: int, drop_share: float) -> DataFrame:
+    """Windows are joined with their positions; a document's own words are cut by the positions found."""
+
+    def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for doc, mark, text in zip(frame["doc_id"].tolist(), frame["mark"].tolist(), frame["text"]):
+                words, plainly = [w for w, _, _ in placed_words(text)], words_of(text)
+                # where the two readings differ, the plain one tells whether the document leaks (position -1)
+                for read, at in [(words, 0)] + ([(plainly, None)] if plainly != words else []):
+                    for start in range(0, len(read) - n + 1, 20_000):
+                        ks = range(start, min(start + 20_000, len(read) - n + 1))
+                        yield pd.DataFrame({"doc_id": [doc] * len(ks), "mark": mark, "k": [-1 if at is None else k for k in ks], "gram": pd.Series([" ".join(read[k : k + n]) for k in ks], dtype=object)})
+
+    def clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for doc, text, ks in zip(frame["doc_id"], frame["text"], frame["ks"]):
+                placed = placed_words(text)
+                if -1 in ks or words_of(text) == [w for w, _, _ in placed]:
+                    out.append((doc, *_cut(text, placed, [k for k in ks if k >= 0], n, drop_share)))
+            yield pd.DataFrame(out, columns=CLEAN)
+
+    marked = documents.withColumn("mark", F.xxhash64("text"))
+    wanted = items.where("item_id is not null and text is not null").select("item_id", "text").mapInPandas(_grams("item_id", n), "item_id bigint, gram string").select("gram").distinct()
+    shared = marked.mapInPandas(grams, "doc_id bigint, mark bigint, k bigint, gram string").join(wanted, "gram")
+    found = shared.groupBy("doc_id", "mark").agg(F.collect_set("k").alias("ks"))
+    return marked.join(found, ["doc_id", "mark"]).select("doc_id", "text", "ks").mapInPandas(clean, CLEAN_SHAPE)

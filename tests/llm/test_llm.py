@@ -307,3 +307,13 @@ def test_agreement_with_raters(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels, "doc_id")
     judged = text_quality(docs).join(labels, "doc_id").select(((F.col("not_prose") > 0.5) == (F.col("v") > 0)).alias("same")).agg(F.avg(F.col("same").cast("int"))).first()[0]
     assert judged >= 0.95  # raters err
+
+
+def test_leaks_are_cut_alike_by_set_and_by_join(spark):
+    item = "One two three four five six seven eight nine ten eleven twelve thirteen."
+    texts = [f"Before, {item} After it come words that stay, and as many more of them as were taken out of here before.", f"{item} x", "A ONE, two three", f"Σάς ÉTÉ ½ {item.upper()} {'stay ' * 30}{item} end", "ﬁne " * 5 + item + " kept" * 20]
+    documents = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(0, "another text of the same id"), (9, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (3, None)], "item_id long, text string")
+    by_set, by_join = rows(without_leaks(documents, items)), rows(without_leaks(documents, items, most_chars=1))
+    assert by_join == by_set and {r[0] for r in by_set} == {0, 1, 3, 4}
+    assert {r[0]: r[2] for r in by_set} == {0: True, 1: False, 3: True, 4: True}
