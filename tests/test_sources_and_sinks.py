@@ -1,6 +1,7 @@
 """Folders, border data, reports, streams and pixel signatures."""
 
 import hashlib
+import html
 import json
 
 import numpy as np
@@ -69,6 +70,18 @@ def test_reports(spark, tmp_path):
     assert "/b&lt;i&gt;" in page and "<i>" not in page
 
 
+def test_html_lists_every_group_and_file(spark, tmp_path):
+    made = [(1, f"/a{k:03}<i>") for k in range(120)] + [(1501, "/b"), (1502, "/c"), (1502, "/c2")]
+    members = spark.createDataFrame([(g, "similar", p) for g, p in made], "group_id int, category string, path string").repartition(5)
+    totals = spark.createDataFrame([("similar", 3, 123, 5)], "category string, groups int, files int, reclaimable int")
+    sinks.write_html(totals, members, str(tmp_path / "all.html"))
+    page = (tmp_path / "all.html").read_text()
+    assert [page.count(f"<li>{html.escape(p)}</li>") for _, p in made] == [1] * 123 and page.count("<h2>") == 3 and page.count("<ul>") == page.count("</ul>") == 4
+    assert page.index("#1 similar (120)") < page.index("/a000") < page.index("/a119") < page.index("#1501 similar (1)") < page.index("#1502 similar (2)") < page.index("/c2")
+    assert "Left out here: 2 groups, 73 files." in sinks.html_report(totals, members)
+    assert "Left out" not in sinks.html_report(totals, members.where("path = '/a000<i>'"))
+
+
 def test_ingest_skips_what_is_known(spark, tmp_path):
     shape = "path string, size int, mtime double, analyzed_at double, sha256 string"
     source, store, mark = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "mark")
