@@ -47,6 +47,11 @@ def stored(spark: SparkSession, store: str) -> DataFrame:
     return current_records(rows, "path", "analyzed_at", [c for c in rows.columns if c != "path"]).select(*rows.columns)
 
 
-def first_copies(stream: DataFrame, digest: str, stamp: str, late: str = "2 days") -> DataFrame:
-    """The first row of each digest, as long as copies come within ``late`` of each other; state is kept no longer."""
-    return stream.where(F.col(digest).isNotNull()).withWatermark(stamp, late).dropDuplicatesWithinWatermark([digest])
+def first_copies(stream: DataFrame, digest: str, stamp: str | None = None, late: str | None = None) -> DataFrame:
+    """The first row of each digest to arrive, however late it comes and however long after it the copies.
+
+    Every digest seen stays in the query's state, so the state grows with the
+    distinct digests; a store on disk (RocksDB) suits long streams. ``stamp``
+    and ``late``, which bounded the state, have no effect any more.
+    """
+    return stream.where(F.col(digest).isNotNull()).dropDuplicates([digest])

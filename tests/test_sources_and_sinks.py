@@ -103,6 +103,15 @@ def test_first_copies(spark, tmp_path):
     assert sorted(r["sha"] for r in spark.table("firsts").collect()) == ["x", "y"]
 
 
+def test_first_copies_of_late_and_distant_rows(spark, tmp_path):
+    source, out, mark, shape = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark"), "sha string, n int, at timestamp"
+    for batch in ([("x", 1, 20)], [("y", 2, 21)], [("late", 3, 1), ("x", 4, 40)], [("x", 5, 80), ("late", 6, 2)]):
+        spark.createDataFrame(batch, "sha string, n int, day int").select("sha", "n", F.timestamp_seconds(F.col("day") * 86400).alias("at")).coalesce(1).write.mode("append").parquet(source)
+        firsts = first_copies(spark.readStream.schema(shape).parquet(source), "sha", "at")
+        assert firsts.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(tuple(r) for r in spark.read.parquet(out).select("sha", "n").collect()) == [("late", 3), ("x", 1), ("y", 2)]
+
+
 def test_pixel_hashes(spark):
     rng = np.random.default_rng(0)
     grey = {n: rng.integers(0, 256, n).astype(float).tolist() for n in (64, 72, 256, 1024)}
