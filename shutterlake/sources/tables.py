@@ -14,8 +14,15 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint folder, or a temporary one where none is set (tests only)."""
+    """The folder all executors share: the session's checkpoint folder.
+
+    Where none is set, a session whose executors are threads of this process
+    (``local[...]``) gets a temporary one; any other is refused, as a folder of
+    one machine would lose the rows of the others.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="shutterlake-")
         spark.sparkContext.setCheckpointDir(folder)
