@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +30,31 @@ def _files(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Plans whose content is already accepted, by a current file or by an earlier plan."""
     wanted = ["sha256", "pixel_digest", "phash", "dhash"]
-    files = signatures(_files(spark, d, ["path", *wanted]), "file_id", F.lit(-1), "path")
-    plans = table(spark, d, "import_plans").where("plan_id is not null").select("plan_id", "source_path", *wanted)
-    plans = signatures(plans.groupBy("plan_id").agg(F.max(F.struct("source_path", *wanted)).alias("r")).select("plan_id", "r.*"), "plan_id", F.col("plan_id"), "source_path")
-    store = HistoryStore(spark)
-    store.append(files)
-    store.append(plans)
-    return store.match(plans).select(F.col("id").alias("plan_id"), F.col("name").alias("duplicate_of"))
+    files = materialize(signatures(_files(spark, d, ["path", *wanted]), "file_id", F.lit(-1), "path"), "accepted-files")
+    plans = table(spark, d, "import_plans").where("plan_id is not null").groupBy("plan_id").agg(F.max(F.struct("source_path", *wanted)).alias("r"), F.min("batch_no").alias("batch"))
+    plans = signatures(plans.select("plan_id", "r.*", F.coalesce("batch", F.lit(0)).alias("batch")), "plan_id", F.col("plan_id"), "source_path", "batch")
+    return replay(HistoryStore(spark, expected_rows=files.count()), files, plans).select(F.col("id").alias("plan_id"), F.col("name").alias("duplicate_of"))
+
+
+def replay(store: HistoryStore, files: DataFrame, plans: DataFrame, arrivals: int = 2) -> DataFrame:
+    """(id, name): plans matched as they come in, after the files and all plans before them.
+
+    Batches (``batch``) come in by number; where there are more than
+    ``arrivals``, successive ones come in together, which bounds the number of
+    jobs and leaves the rows as they are: a record never matches a later one.
+    """
+    store.append(files, "files")
+    plans = materialize(plans, "plans")
+    step = plans.agg(F.min("batch").alias("first"), F.max("batch").alias("last")).first()
+    first, last = step["first"] or 0, step["last"] or 0
+    out = []
+    for k in range(arrivals):
+        low, high = first + (last + 1 - first) * k // arrivals, first + (last + 1 - first) * (k + 1) // arrivals
+        if low < high:
+            batch = plans.where((F.col("batch") >= low) & (F.col("batch") < high))
+            store.append(batch.drop("batch"), f"plans-{low}-{high}")
+            out.append(store.match(batch.drop("batch")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

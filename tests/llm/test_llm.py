@@ -118,6 +118,46 @@ def test_a_repeated_append_counts_once(spark):
     assert len(found) == len(set(found)) and set(map(tuple, found)) == _brute(old + new, lambda i: i if i >= 1000 else -1)
 
 
+def test_an_interrupted_append_loses_no_link(spark, monkeypatch):
+    sign = lambda data, order: signatures(spark.createDataFrame(data, RECORD), "id", order, "name")
+    record = lambda k, p, sha: (k, f"f{k}", f"{sha:064x}", None, f"{p:x}", "ff", "x")
+    one, two, late = [record(1, 1023, 7)], [record(2, 1023, 8)], [record(1003, 1022, 9)]
+    store = HistoryStore(spark)
+    put = HistoryStore._put
+    for broken in ("prints", "equal", "members"):
+
+        def fail(self, kind, rows, batch, records):
+            put(self, kind, rows, batch, records)
+            if kind == broken:  # noqa: B023
+                raise OSError("lost")
+
+        monkeypatch.setattr(HistoryStore, "_put", fail)
+        with pytest.raises(OSError):
+            store.append(sign(one, F.lit(-1)), "one")
+        assert store.accepted() == [] and store.match(sign(late, F.col("id"))).count() == 0
+    monkeypatch.setattr(HistoryStore, "_put", put)
+    assert store.append(sign(two, F.lit(-1)), "two")
+    assert rows(store.match(sign(late, F.col("id")))) == {(1003, "f2")}
+    assert store.append(sign(one, F.lit(-1)), "one") and not store.append(sign(one, F.lit(-1)), "one")
+    assert rows(store.match(sign(late, F.col("id")))) == {(1003, "f1"), (1003, "f2")}
+    assert store._shelf("prints").count() == 25 and store._shelf("members").count() == 2
+
+
+def test_hot_contents_are_dealt_over_buckets(spark, monkeypatch):
+    from shutterlake.llm import history
+
+    monkeypatch.setattr(history, "ROWS_PER_SALT", 20)
+    rng = random.Random(11)
+    old = [(k, f"f{k}", f"{rng.randrange(1, 3):064x}", None, f"{1 << rng.randrange(6):x}", "ff", "x") for k in range(300)]
+    new = [(1000 + k, f"f{1000 + k}", f"{rng.randrange(2, 5):064x}", None, f"{3 << rng.randrange(40):x}", "fe", "x") for k in range(30)]
+    sign = lambda data, order: signatures(spark.createDataFrame(data, RECORD), "id", order, "name")
+    store = HistoryStore(spark, expected_rows=300)
+    store.append(sign(old, F.lit(-1)))
+    store.append(sign(new, F.col("id")))
+    assert store._shelf("members").agg(F.max("salt")).first()[0] > 0
+    assert rows(store.match(sign(new, F.col("id")))) == _brute(old + new, lambda i: i if i >= 1000 else -1)
+
+
 # 2. neighbours
 
 
