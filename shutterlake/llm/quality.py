@@ -12,42 +12,61 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Articles, and other closed-class words of English, Spanish, German and French.
-ARTICLES = frozenset("the a an el la los las un una der die das den dem ein eine einen einer le les une".split())
-CLOSED = frozenset(
-    """and at but by for from had has have he her his i in is it its my of on or our she so that their they this to us was we were what when where which who with you your are as be been not up than then
-    al con cuando de del desde en era fue había hasta lo mi muy más nos para pero por porque que se si sin sobre su todo y ya no como
-    als am auf aus bei bis dass es für hat ich ihr im in ist mit nach nicht noch nur sie sich sind und uns unsere vom von war waren wenn wie wir wo zu zum zur
-    au aux avait avec ce ces cette d'un dans de des du elle en est et il ils je mais mon ne nous on ou où par pas plus pour qu'il que qui sa se ses son sur tout était y à""".split()
-)
-COMMON = ARTICLES | CLOSED
-#: After these another article or closed-class word may follow, as they are also pronouns.
-PRONOUNS = frozenset("der die das den dem einer".split())
-#: Words that don't follow an article in a sentence.
-LEADS = ARTICLES - PRONOUNS - {"an"}
-UNFIT = (ARTICLES | CLOSED) - frozenset("ya más plus que muy todo tout no in y es lo mi se au zum zur vom im am so or ou où on son sur si su du de plus".split()) | frozenset("of and to in that was we is it for on at by with from but not i you they she he are be had has up as the a y de en que con por se no lo pero".split())
-#: After "a", which is a preposition or a verb elsewhere.
-UNFIT_A = frozenset("of and to in that was we is it for on at by with from but not i you they she he are be had has up the a an or".split())
-
-WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+# Letters of scripts that write words without blanks, each a word by itself, and marks that belong to the letter before.
+SOLID = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+MARKS = "\u0300-\u036f\u0591-\u05bd\u0610-\u061a\u064b-\u065f\u0900-\u0963\u0970-\u09e3\u0a01-\u0a65\u0a70-\u0ae3\u0b01-\u0b65\u0b71-\u0be5\u0c00-\u0c65\u0c80-\u0ce5\u0d00-\u0d65"
+WORD = re.compile(rf"[{SOLID}]|(?:[^\W\d_{SOLID}]|[{MARKS}])+(?:['’-](?:[^\W\d_{SOLID}]|[{MARKS}])+)*")
 MARK = re.compile(r"^\s*(?:[-*+•–—·]|\(?\d{1,4}[.):]|[a-zA-Z][.)])\s+")
 STAMP = re.compile(r"^\s*\[?\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?\]?\s*")
-TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 ENTITY = re.compile(r"&(?:#\d{1,6}|#x[0-9a-fA-F]{1,5}|[a-zA-Z]{2,8});")
 FIELD = re.compile(r"^\s*[\"']?[\w .]{1,30}[\"']?\s*[:=]\s*\S")
+BLANKS = re.compile(r"\s+")
+BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
+STOPS, COMMAS = ".!?…。！？؟।", ",;，、；،"
+CLOSERS = " \t\xa0\u3000\"'»”’)]）」』"
+#: What a line may have of its head looked at, blanks taken as one.
+HEAD = 80
 
 #: Additive counts of a line or part of one.
-COUNTS = ("chars", "letters", "digits", "blanks", "symbols", "words", "wordchars", "common", "articles", "unfit", "commas", "stops", "tags")
-SUMS = ("lines", "prose", "loose", "loose_articles", "loose_unfit", "short", "short_lines", "prose_lines", "other", "stopped", "marked", "seen_chars", "seen_words", "seen_wordchars", "seen_common", "seen_symbols", "seen_digits")
+COUNTS = ("chars", "letters", "digits", "blanks", "symbols", "words", "wordchars", "solid", "common", "pairs", "fit", "commas", "stops", "tags")
+SUMS = ("lines", "prose", "loose", "loose_pairs", "loose_fit", "short", "short_lines", "prose_lines", "other", "stopped", "marked", "seen_chars", "seen_words", "seen_wordchars", "seen_common", "seen_symbols", "seen_digits")
+#: A pair's fit is kept in so many parts of a bit, so that sums don't depend on their order.
+PARTS = 16
 
 
-def _count(text: str) -> tuple[dict[str, int], str, str]:
-    """The counts of a stretch without line breaks, its first and its last word."""
+class Lexicon:
+    """The commonest words of a corpus, and how well each two of them follow one another in it.
+
+    ``fit`` of two words is how many times more often, in bits, they stand side
+    by side than they would by chance; from -3 to 3. It is positive on average
+    in sentences and not in shuffled words, in any language that the corpus
+    holds. Words of other languages are unknown and tell nothing.
+    """
+
+    def __init__(self, words: list[str], counts: np.ndarray, core: int = 50) -> None:
+        self.size, self.core = len(words), core
+        self.index = {w: k for k, w in enumerate(words)}
+        before, after, every = counts.sum(1, keepdims=True), counts.sum(0, keepdims=True), max(counts.sum(), 1)
+        chance = before * after / every
+        bits = np.log2((counts + 0.5) / (chance + 0.5)) if self.size else np.zeros((0, 0))
+        self.fit = np.clip(np.rint(bits * PARTS), -3 * PARTS, 3 * PARTS).astype(int).ravel().tolist()
+
+    def pair(self, a: str, b: str) -> int | None:
+        """The fit of two words, null unless both are known."""
+        i, j = self.index.get(a, -1), self.index.get(b, -1)
+        return self.fit[i * self.size + j] if i >= 0 and j >= 0 else None
+
+
+def _stripped(text: str) -> tuple[str, int]:
+    """The text of a stretch without markup, and the characters that tags took."""
     tags = 0
     if "<" in text:
         plain = TAG.sub(" ", text)
@@ -56,123 +75,187 @@ def _count(text: str) -> tuple[dict[str, int], str, str]:
         text = ENTITY.sub("'", text)
     if "**" in text or "__" in text or "`" in text:
         text = text.replace("**", "").replace("__", "").replace("`", "")
+    return text, tags
+
+
+def line_words(text: str) -> list[str]:
+    return WORD.findall(_stripped(text)[0].lower())
+
+
+def learn_lexicon(documents: DataFrame, size: int = 400, least_documents: int = 3) -> Lexicon:
+    """The lexicon of all documents (text): the ``size`` words that most of them hold, and the counts of their pairs.
+
+    Documents are counted by word in the JVM, partial counts before the
+    shuffle; pairs by one matrix a task, summed. ``size`` words and their
+    square's counts go to the driver, whatever the corpus.
+    """
+    texts = documents.where("text is not null").select("text")
+    held = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+(?:['’-]\p{L}+)*)"), F.lit(1)))).alias("w"))
+    top = held.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents).orderBy(F.desc("n"), "w").limit(size)
+    words = [r["w"] for r in top.collect()]
+    index, v = {w: k for k, w in enumerate(words)}, len(words)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros(v * v, np.int64)
+        for frame in frames:
+            for text in frame["text"]:
+                at: list[int] = []
+                for line in BREAK.split(text):
+                    at += [index.get(w, -1) for w in line_words(line)]
+                    at.append(-1)
+                known = np.array(at)
+                both = (known[:-1] >= 0) & (known[1:] >= 0)
+                np.add.at(found, known[:-1][both] * v + known[1:][both], 1)
+        at = np.flatnonzero(found)
+        yield pd.DataFrame({"at": at, "n": found[at]})
+
+    counts = np.zeros(v * v, np.int64)
+    if v:
+        summed = texts.mapInPandas(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+        counts[summed["at"].to_numpy(int)] = summed["n"].to_numpy(int)
+    return Lexicon(words, counts.reshape(v, v))
+
+
+def _count(text: str, lexicon: Lexicon) -> tuple[dict[str, int], str, str]:
+    """The counts of a stretch without line breaks, its first and its last word."""
+    text, tags = _stripped(text)
     words = WORD.findall(text.lower())
-    articles = unfit = common = 0
-    before = ""
+    common = pairs = fit = solid = 0
+    before, index, fits, v, core = -1, lexicon.index, lexicon.fit, lexicon.size, lexicon.core
     for w in words:
-        if before in LEADS and w in (UNFIT_A if before == "a" else UNFIT):
-            unfit += 1
-        if w in COMMON:
-            common += 1
-            if w in LEADS:
-                articles += 1
-        before = w
+        k = index.get(w, -1)
+        if k >= 0:
+            common += k < core
+            if before >= 0:
+                pairs += 1
+                fit += fits[before * v + k]
+        before = k
     wordchars = sum(map(len, words))
-    letters = wordchars
+    if not text.isascii():
+        solid = sum(len(w) == 1 and w > "\u0dff" for w in words)
     digits = sum(map(text.count, "0123456789"))
     blanks = text.count(" ") + text.count("\t")
-    commas, stops = text.count(",") + text.count(";"), text.count(".") + text.count("!") + text.count("?") + text.count("…")
-    counts = (len(text), letters, digits, blanks, max(0, len(text) - letters - digits - blanks), len(words), wordchars, common, articles, unfit, commas, stops, tags)
+    commas, stops = sum(map(text.count, COMMAS)), sum(map(text.count, STOPS))
+    counts = (len(text), wordchars, digits, blanks, max(0, len(text) - wordchars - digits - blanks), len(words), wordchars, solid, common, pairs, fit, commas, stops, tags)
     return dict(zip(COUNTS, counts)), words[0] if words else "", words[-1] if words else ""
 
 
 class Line:
     """A line, or the part of it seen so far."""
 
-    __slots__ = ("n", "first", "last", "head", "tail")
+    __slots__ = ("n", "first", "last", "head", "end")
 
-    def __init__(self, text: str = "") -> None:
-        self.n, self.first, self.last = _count(text)
-        self.head, self.tail = text[:80], text[-4:]
+    def __init__(self, text: str, lexicon: Lexicon) -> None:
+        self.n, self.first, self.last = _count(text, lexicon)
+        self.head = BLANKS.sub(" ", text)[:HEAD]
+        self.end = text.rstrip(CLOSERS)[-1:]
 
-    def join(self, other: Line) -> Line:
-        seam = self.last in LEADS and other.first in (UNFIT_A if self.last == "a" else UNFIT)
+    def join(self, other: Line, lexicon: Lexicon) -> Line:
+        seam = lexicon.pair(self.last, other.first)
         for k in COUNTS:
             self.n[k] += other.n[k]
-        self.n["unfit"] += seam
+        if seam is not None:
+            self.n["pairs"] += 1
+            self.n["fit"] += seam
         self.first, self.last = self.first or other.first, other.last or self.last
-        if len(self.head) < 80:
-            self.head = (self.head + other.head)[:80]
-        self.tail = (self.tail + other.tail)[-4:]
+        if len(self.head) < HEAD:
+            self.head = BLANKS.sub(" ", self.head + other.head)[:HEAD]
+        self.end = other.end or self.end
         return self
 
     def dump(self) -> list:
-        return [[self.n[k] for k in COUNTS], self.first, self.last, self.head, self.tail]
+        return [[self.n[k] for k in COUNTS], self.first, self.last, self.head, self.end]
 
     @staticmethod
     def load(x: list) -> Line:
         line = Line.__new__(Line)
-        line.n, line.first, line.last, line.head, line.tail = dict(zip(COUNTS, x[0])), x[1], x[2], x[3], x[4]
+        line.n, line.first, line.last, line.head, line.end = dict(zip(COUNTS, x[0])), x[1], x[2], x[3], x[4]
         return line
 
 
-def judge(line: Line, sums: dict[str, int]) -> None:
+@dataclass(frozen=True)
+class Rules:
+    """Bounds of the rules by which a line is no running sentence."""
+
+    odd: float = 0.12  # symbols besides punctuation, of all but blanks
+    figures: float = 0.2
+    letters: float = 0.72
+    word: float = 13.0  # mean length
+    phrase: float = 4.5  # words between commas in an enumeration
+    enumerated: float = 0.38  # common words below which phrases are an enumeration
+    fit: float = -0.4  # bits a pair below which words are shuffled
+    pairs: int = 8  # known pairs by which a line can be judged by itself
+    loose_pairs: int = 6  # the same of all lines too short for that
+
+
+RULES = Rules()
+
+
+def judge(line: Line, sums: dict[str, int], rules: Rules = RULES) -> None:
     """Add a whole line to the sums: as prose, as something else, or as too short to tell by itself."""
     n = line.n
-    solid = n["chars"] - n["blanks"]
-    if not solid and not n["tags"]:
+    full = n["chars"] - n["blanks"]
+    if not full and not n["tags"]:
         sums["lines"] += 1
         return
     weight = n["chars"] + n["tags"]
     head = line.head
     mark, stamp = bool(MARK.match(head)), STAMP.match(head)
-    ended = line.tail.rstrip().rstrip("\"'»”)")[-1:] in (".", "!", "?", "…", ":")
-    words, commas = n["words"], n["commas"]
+    words, commas, common = n["words"], n["commas"], n["common"]
     sums["lines"] += 1
-    sums["stopped"] += ended
+    sums["stopped"] += line.end != "" and (line.end in STOPS or line.end == ":")
     sums["marked"] += mark
     for k in ("chars", "words", "wordchars", "common", "symbols", "digits"):
         sums[f"seen_{k}"] += n[k]
     figures = max(0, n["digits"] - (4 if stamp else 0))
     odd = max(0, n["symbols"] - commas - n["stops"] - (4 if stamp else 0) - n["chars"] // 40)
-    wordlike = words and n["wordchars"] / words < 13 and n["letters"] >= 0.72 * solid
-    other = not wordlike or odd > 0.12 * solid or figures > 0.2 * solid or n["tags"] > 0.5 * weight or "#" in head[:2] or head.lstrip()[:1] in "{}|/\\" or "importer:" in head
-    if n["chars"] >= 16 and n["blanks"] * 24 < n["chars"] and (n["digits"] or n["chars"] > 40):
-        other = True  # no blanks: encoded
-    if not other:
+    wordlike = words and n["wordchars"] / words < rules.word and n["letters"] >= rules.letters * full
+    other = not wordlike or odd > rules.odd * full or figures > rules.figures * full or n["tags"] > 0.5 * weight or "#" in head[:2] or head.lstrip()[:1] in "{}|/\\"
+    spaced = n["chars"] - n["solid"]
+    if spaced >= 16 and n["blanks"] * 24 < spaced and (n["digits"] or spaced > 40):
+        other = True  # no blanks where words have them: encoded
+    if not other and 2 * n["solid"] < words:
         phrases = words / (commas + 1)
-        if commas >= 2 and phrases < 4.5 and n["common"] < 0.42 * words:
-            other = True  # enumerated
-        elif mark and (words < 7 or commas and phrases < 4.5 and words < 12 and n["common"] < 0.4 * words):
+        if commas >= 2 and phrases < rules.phrase and common < rules.enumerated * words:
+            other = True
+        elif mark and (words < 7 or commas and phrases < rules.phrase and words < 12 and common < rules.enumerated * words):
             other = True  # an item of a list
         elif FIELD.match(head) and words < 9:
             other = True  # a name and its value
-        elif words >= 12 and n["common"] < 0.12 * words:
-            other = True  # words, but no sentences
     if other:
         sums["other"] += weight
     elif words < 6:
         sums["short"] += weight
         sums["short_lines"] += 1
-    elif n["articles"] >= 6:
-        sums["other" if n["unfit"] > 0.16 * n["articles"] else "prose"] += weight
+    elif n["pairs"] >= rules.pairs:
+        sums["other" if n["fit"] < rules.fit * PARTS * n["pairs"] else "prose"] += weight
         sums["prose_lines"] += 1
     else:
         sums["loose"] += weight
-        sums["loose_articles"] += n["articles"]
-        sums["loose_unfit"] += n["unfit"]
+        sums["loose_pairs"] += n["pairs"]
+        sums["loose_fit"] += n["fit"]
         sums["prose_lines"] += 1
 
 
 class State:
     """What is known of a stretch of text: judged sums, and the open lines at its ends (one and the same if it has no break)."""
 
-    def __init__(self, text: str) -> None:
-        parts = re.split(r"\r\n|[\n\r\x0b\x0c\x85  ]", text)
+    def __init__(self, text: str, lexicon: Lexicon, rules: Rules = RULES) -> None:
+        parts = BREAK.split(text)
         self.sums = dict.fromkeys(SUMS, 0)
-        self.head = Line(parts[0])
-        self.tail = Line(parts[-1]) if len(parts) > 1 else None
+        self.head = Line(parts[0], lexicon)
+        self.tail = Line(parts[-1], lexicon) if len(parts) > 1 else None
         for part in parts[1:-1]:
-            judge(Line(part), self.sums)
+            judge(Line(part, lexicon), self.sums, rules)
 
-    def merge(self, other: State) -> State:
+    def merge(self, other: State, lexicon: Lexicon, rules: Rules = RULES) -> State:
         for k in SUMS:
             self.sums[k] += other.sums[k]
         open_line = self.tail or self.head
-        open_line.join(other.head)
+        open_line.join(other.head, lexicon)
         if other.tail is not None:
             if self.tail is not None:
-                judge(self.tail, self.sums)
+                judge(self.tail, self.sums, rules)
             self.tail = other.tail
         return self
 
@@ -193,24 +276,33 @@ class State:
         return state
 
 
-def chunks(text: str, size: int) -> Iterator[str]:
-    """Pieces of about ``size`` characters, cut before white space if there is any near, and never within a line end."""
+def chunks(text: str, size: int, near: int = 4096) -> Iterator[str]:
+    """Pieces of about ``size`` characters: cut at a line's start if one begins within ``near`` characters, else before white space outside tags, never within a line end."""
     start = 0
     while len(text) - start > size:
         end = start + size
-        near = re.compile(r"\s").search(text, end, min(len(text), end + 2000))
-        end = near.start() if near else min(len(text), end + 2000)
-        if text[end - 1 : end + 1] == "\r\n":
-            end += 1
+        last = min(len(text), end + near)
+        line = text.find("\n", end - 1, last - 1)
+        if line >= 0:
+            end = line + 1
+        else:
+            held = text.rfind("<", start, end) > text.rfind(">", start, end)
+            blank = re.compile(r"\s").search(text, end, last)
+            if held:  # not within what may be a tag
+                close = text.find(">", end, last)
+                blank = re.compile(r"\s").search(text, close, last) if close >= 0 else blank
+            end = blank.start() if blank else last
+            if text[end - 1 : end + 1] == "\r\n":
+                end += 1
         yield text[start:end]
         start = end
     yield text[start:]
 
 
-def outcome(sums: dict[str, int]) -> dict[str, float]:
+def outcome(sums: dict[str, int], rules: Rules = RULES) -> dict[str, float]:
     """Ratios and the share of characters that aren't running sentences. Blank texts have none (0)."""
     other, prose = sums["other"], sums["prose"]
-    if sums["loose_unfit"] > max(1, 0.16 * sums["loose_articles"]):
+    if sums["loose_pairs"] >= rules.loose_pairs and sums["loose_fit"] < rules.fit * PARTS * sums["loose_pairs"]:
         other += sums["loose"]
     else:
         prose += sums["loose"]
@@ -226,36 +318,42 @@ def outcome(sums: dict[str, int]) -> dict[str, float]:
     }
 
 
-def _local(text: str, size: int) -> State:
+def _local(text: str, size: int, lexicon: Lexicon, rules: Rules = RULES) -> State:
     whole = None
     for piece in chunks(text, size):
-        state = State(piece)
-        whole = state if whole is None else whole.merge(state)
+        state = State(piece, lexicon, rules)
+        whole = state if whole is None else whole.merge(state, lexicon, rules)
     return whole
 
 
 STATS = "n_words bigint, mean_word_length double, symbol_ratio double, digit_ratio double, stopped_lines double, marked_lines double, common_words double, not_prose double"
 
 
-def text_quality(documents: DataFrame, chunk_chars: int = 16_384, huge_chars: int = 262_144) -> DataFrame:
+def text_quality(documents: DataFrame, lexicon: Lexicon | None = None, rules: Rules = RULES, chunk_chars: int = 16_384, huge_chars: int = 262_144) -> DataFrame:
     """(doc_id, n_words, ratios, not_prose) of every document (doc_id, text); null ids and texts are left out.
 
-    ``not_prose`` is the share of characters outside running sentences. Texts
-    beyond ``huge_chars`` are dealt over tasks in chunks and their states merged
-    64 at a time, then by document; all others are read where they are, chunk by
-    chunk, without a shuffle. Chunks never change the result but for a word of
-    more than 2000 characters or a tag with blanks that a cut divides.
+    ``not_prose`` is the share of characters outside running sentences. What is
+    known of words comes from ``lexicon``, which is learnt from all
+    ``documents`` unless given; no language is built in. Texts beyond
+    ``huge_chars`` are dealt over tasks in chunks and their states merged 64 at
+    a time, then by document; all others are read where they are, chunk by
+    chunk, without a shuffle. Chunks never change the result but for a word or
+    a tag of more than 4096 characters that a cut divides.
     """
     known = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    lexicon = lexicon or learn_lexicon(known)
     names = [x.split()[0] for x in STATS.split(", ")]
 
     def row(doc: int, state: State) -> list:
-        found = outcome(state.close())
+        judge(state.head, state.sums, rules)
+        if state.tail is not None:
+            judge(state.tail, state.sums, rules)
+        found = outcome(state.sums, rules)
         return [doc, *[found[n] for n in names]]
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([row(d, _local(t, chunk_chars)) for d, t in zip(frame["doc_id"], frame["text"])], columns=["doc_id", *names])
+            yield pd.DataFrame([row(d, _local(t, chunk_chars, lexicon, rules)) for d, t in zip(frame["doc_id"], frame["text"])], columns=["doc_id", *names])
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -265,13 +363,13 @@ def text_quality(documents: DataFrame, chunk_chars: int = 16_384, huge_chars: in
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "k": frame["k"], "state": [_local(t, chunk_chars).dump() for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "k": frame["k"], "state": [_local(t, chunk_chars, lexicon, rules).dump() for t in frame["text"]]})
 
     def fold(frame: pd.DataFrame) -> State:
         merged = None
         for text in frame.sort_values("k")["state"]:
             state = State.load(text)
-            merged = state if merged is None else merged.merge(state)
+            merged = state if merged is None else merged.merge(state, lexicon, rules)
         return merged
 
     def some(frame: pd.DataFrame) -> pd.DataFrame:

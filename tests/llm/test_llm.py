@@ -15,7 +15,7 @@ from shutterlake.llm.history import HistoryStore, block_keys, signatures
 from shutterlake.llm.leaks import _leaks_by_join, leaks, placed_words, without_leaks, words_of
 from shutterlake.llm.mixing import mix, shares
 from shutterlake.llm.neighbours import both_hashes, half_floats, hash_signs, nearest
-from shutterlake.llm.quality import State, chunks, outcome, text_quality
+from shutterlake.llm.quality import Lexicon, State, chunks, learn_lexicon, outcome, text_quality
 from shutterlake.llm.survivors import Field, survivors, undisputed
 from tests.helpers import DATA, canonical, duck, rows
 
@@ -315,38 +315,72 @@ def test_mixture_meets_targets(spark):
 # 9. quality
 
 
-def test_chunks_do_not_change_the_outcome(spark):
+@pytest.fixture(scope="module")
+def lexicon(spark):
+    return learn_lexicon(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_the_lexicon_tells_sentences_from_shuffled_words(lexicon):
+    mean = lambda text: np.mean([f for f in map(lexicon.pair, text.split(), text.split()[1:]) if f is not None])
+    assert lexicon.size == 400 and mean("we went back to the house because it was cold and we had to be at the station") > 8 > 0 > mean("the of and to the was a in is we the an of to and it the")
+    assert Lexicon([], np.zeros((0, 0))).pair("a", "b") is None
+
+
+def test_chunks_do_not_change_the_outcome(spark, lexicon):
     texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    texts += ["<a href='x y'>one <b>two</b> three words and more of them</a> " * 40, "It was cold.    \t \n" * 30, "  ".join(["«It was cold.»"] * 50) + " " * 90]
     for text in texts:
-        whole = outcome(State(text).close())
+        whole = outcome(State(text, lexicon).close())
         for size in (7, 64, 1000):
             merged = None
             for piece in chunks(text, size):
-                part = State.load(State(piece).dump())
-                merged = part if merged is None else merged.merge(part)
+                part = State.load(State(piece, lexicon).dump())
+                merged = part if merged is None else merged.merge(part, lexicon)
             assert outcome(merged.close()) == whole
+        assert "".join(chunks(text, 50)) == text
 
 
-def test_quality_spread_over_tasks_equals_local(spark):
+def test_quality_spread_over_tasks_equals_local(spark, lexicon):
     d = spark.read.parquet(f"{DATA}/documents.parquet")
     d = d.unionByName(d.limit(1).withColumns({"doc_id": F.lit(-5).cast("bigint"), "text": F.repeat(F.lit("We went to the lake and it was cold. "), 9000)}))
-    assert rows(text_quality(d)) == rows(text_quality(d, chunk_chars=300, huge_chars=500))
+    assert rows(text_quality(d, lexicon)) == rows(text_quality(d, lexicon, chunk_chars=300, huge_chars=500))
 
 
-def test_prose_and_the_rest(spark):
+def test_prose_and_the_rest(spark, lexicon):
     texts = {
         1: "We reached the lake at noon and my aunt pointed at the boat, so I took a picture of it.\nIt was cold.", 2: "a.jpg,12,34\nb.jpg,56,78\nc.jpg,99,11\n" * 9, 3: "- the lake\n- a boat\n- June\n- my aunt\n- the sea\n", 4: "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo0NTY3ODkw\n" * 6,
-        5: "el the of and the a de lake in the of boat a the and we la que the of an the is a the was the of and to a the", 6: "- I sat by the lake for an hour and it was quiet.\n- Then we went back to the house to sleep.", 7: "", 8: "   \n\n ",
+        5: "el the of the and a de lake in the of boat a the and we la que the of an the is a the was the of and to a the", 6: "- I sat by the lake for an hour and it was quiet.\n- Then we went back to the house to sleep.", 7: "", 8: "   \n\n ",
     }
-    got = {r["doc_id"]: r["not_prose"] for r in text_quality(spark.createDataFrame([*texts.items(), (9, None), (None, "x")], "doc_id bigint, text string")).collect()}
+    got = {r["doc_id"]: r["not_prose"] for r in text_quality(spark.createDataFrame([*texts.items(), (9, None), (None, "x")], "doc_id bigint, text string"), lexicon).collect()}
     assert {k for k, v in got.items() if v > 0.5} == {2, 3, 4, 5} and set(got) == set(texts)
 
 
+def test_prose_of_languages_that_the_corpus_lacks(spark, lexicon):
+    texts = [
+        "Wczoraj poszliśmy nad jezioro, bo pogoda była piękna i nikt nie chciał siedzieć w domu. Wieczorem wróciliśmy zmęczeni, ale bardzo zadowoleni z całego dnia.",
+        "Вчера мы ходили на озеро, потому что погода была хорошая и никто не хотел сидеть дома. Вечером мы вернулись уставшие, но очень довольные.",
+        "昨日は天気がとても良かったので、家族と一緒に湖まで歩いて行きました。夕方になると少し寒くなったので、急いで家に帰りました。\n今日は雨が降っているので、家で写真を整理しています。",
+        "Ieri siamo andati al lago perché il tempo era bello e nessuno voleva restare a casa. La sera siamo tornati stanchi ma molto contenti.",
+        "Ontem fomos ao lago porque o tempo estava bonito e ninguém queria ficar em casa. À noite voltamos cansados mas muito contentes.",
+        "昨天天气很好，所以我们一起去湖边散步。晚上回家的时候大家都很累，但是非常高兴。\n今天下雨了，我们在家里整理照片。",
+        "Eilen kävimme järvellä, koska sää oli kaunis eikä kukaan halunnut jäädä kotiin. Illalla palasimme väsyneinä mutta tyytyväisinä.",
+        "कल हम झील पर गए क्योंकि मौसम अच्छा था और कोई भी घर पर बैठना नहीं चाहता था। शाम को हम थके हुए लौटे लेकिन बहुत खुश थे।",
+        "Χθες πήγαμε στη λίμνη γιατί ο καιρός ήταν ωραίος και κανείς δεν ήθελε να μείνει σπίτι. Το βράδυ γυρίσαμε κουρασμένοι αλλά χαρούμενοι.",
+    ]
+    got = {r["doc_id"]: r for r in text_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), lexicon).collect()}
+    assert all(r["not_prose"] < 0.5 and r["stopped_lines"] == 1 for r in got.values())
+
+
+def test_blanks_at_the_ends_of_lines_hide_no_stop(spark, lexicon):
+    d = spark.createDataFrame([(1, "And so it was cold.      \nWe left at once.\t\t  ")], "doc_id bigint, text string")
+    assert text_quality(d, lexicon).first()["stopped_lines"] == 1
+
+
 def test_agreement_with_raters(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/doc_labels.parquet").groupBy("doc_id").agg((F.count_if(F.col("verdict") == "not_prose") - F.count_if(F.col("verdict") == "prose")).alias("v")).where("v <> 0")
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels, "doc_id")
-    judged = text_quality(docs).join(labels, "doc_id").select(((F.col("not_prose") > 0.5) == (F.col("v") > 0)).alias("same")).agg(F.avg(F.col("same").cast("int"))).first()[0]
-    assert judged >= 0.95  # raters err
+    every = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    judged = text_quality(every.join(labels, "doc_id"), learn_lexicon(every)).join(labels, "doc_id").select(((F.col("not_prose") > 0.5) == (F.col("v") > 0)).alias("same")).agg(F.avg(F.col("same").cast("int"))).first()[0]
+    assert judged >= 0.98  # raters err
 
 
 def test_leaks_are_cut_alike_by_set_and_by_join(spark):
