@@ -11,20 +11,28 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.media import base_name, extension, folder
 from shutterlake.operators.numbering import numbered_within
+from shutterlake.sources.tables import materialize
 
-CAPTURE = r"^(\d{4})[:-](\d{2})[:-](\d{2})[ T](\d{2}):(\d{2})(?::(\d{2}))?$"
+#: A camera's spelling, or the ISO one, which may be compact and may end in 'Z' or an offset.
+CAPTURE = r"^(\d{4})[:-]?(\d{1,2})[:-]?(\d{1,2})\s+(\d{1,2})(?::?(\d{1,2})(?::?(\d{1,2}))?)?(?:[Zz]|-\d{2}(?::?\d{2}(?::?\d{2})?)?)?$"
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 INVALID = r'[<>:"|?*\\/\x00]'
 
 
 def capture_datetime(text: Column) -> Column:
-    """A camera's wall clock as timestamp_ntz; what follows the seconds (fraction or '+' offset) is dropped, as is anything unreadable."""
-    core = F.regexp_replace(F.trim(F.regexp_replace(text, r"\x00", "")), r"[.+].*$", "")
-    part = lambda k: F.regexp_extract(core, CAPTURE, k)
-    second = F.when(part(6) == "", "00").otherwise(part(6))
-    whole = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), part(4), F.lit(":"), part(5), F.lit(":"), second)
-    return F.when(core.rlike(CAPTURE) & ~core.startswith("0000"), whole.try_cast("timestamp_ntz"))
+    """A camera's wall clock as timestamp_ntz; a fraction and a zone after the seconds are dropped; null for what is unreadable or starts with 0000."""
+    core = F.trim(F.regexp_replace(F.replace(F.trim(F.regexp_replace(text, r"\x00", "")), F.lit("T"), F.lit(" ")), r"[.+].*$", ""))
+    # one rewriting: what doesn't match stays as it is, and what then isn't a date and a time is null
+    whole = F.regexp_replace(F.regexp_replace(F.regexp_replace(core, CAPTURE, "@$1-$2-$3 $4:$5:$6"), "::$", ":00:00"), ":$", ":00")
+    return F.when(whole.startswith("@") & ~whole.startswith("@0000"), F.substring(whole, 2, 40).try_cast("timestamp_ntz"))
+
+
+def best_capture(original: Column, digitized: Column, plain: Column) -> tuple[Column, Column]:
+    """(wall clock, source) of a picture's three date fields: as taken, as digitised, as last written."""
+    read = [(capture_datetime(c), n) for c, n in ((original, "exif_original"), (digitized, "exif_digitized"), (plain, "exif_datetime"))]
+    source = F.when(read[0][0].isNotNull(), read[0][1]).when(read[1][0].isNotNull(), read[1][1]).when(read[2][0].isNotNull(), read[2][1])
+    return F.coalesce(*[c for c, _ in read]), source
 
 
 def count_in_seconds(count: Column) -> Column:
@@ -59,10 +67,10 @@ def strftime(stamp: Column, pattern: str, fallback: str = "%Y%m%d_%H%M%S") -> Co
     return F.concat(*[made.get(p, F.lit(p)) for p in parts])
 
 
-def tidy_extension(ext: Column) -> Column:
-    """Lower case; all spellings of JPEG are '.jpg'."""
-    low = F.lower(ext)
-    return F.when(low.isin(".jpeg", ".jpe", ".jfif"), ".jpg").otherwise(low)
+def tidy_extension(ext: Column, lower: bool = True) -> Column:
+    """Lower case, unless case is kept; all spellings of JPEG are '.jpg' ('.JPG' where case is kept)."""
+    jpeg = F.lower(ext).isin(".jpeg", ".jpe", ".jfif") if lower else F.lower(ext).isin(".jpg", ".jpeg", ".jpe", ".jfif")
+    return F.when(jpeg, ".jpg" if lower else ".JPG").otherwise(F.lower(ext) if lower else ext)
 
 
 def formatted_name(captured: Column, pattern: str, prefix: str, ext: Column) -> Column:
@@ -90,11 +98,20 @@ def folded(text: Column) -> Column:
     return F.pandas_udf(_fold, "string")(text)
 
 
-def reused_folders(wanted: DataFrame, existing: DataFrame) -> DataFrame:
-    """(name, folder): each distinct wanted name, sanitised, spelled as the existing folder that folds alike (the smallest such), else as it is."""
-    names = wanted.select("name").distinct().withColumn("clean", sanitized(F.col("name")))
-    known = existing.where("name is not null").select(folded(F.col("name")).alias("key"), F.col("name").alias("there")).groupBy("key").agg(F.min("there").alias("there"))
-    return names.withColumn("key", folded(F.col("clean"))).join(known, "key", "left").select("name", F.coalesce("there", "clean").alias("folder"))
+def reused_folders(wanted: DataFrame, existing: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(name, folder): each distinct wanted name, by its alias if it has one, sanitised, spelled as the existing folder that folds alike (the smallest such), else as it is.
+
+    ``aliases`` has name and alias; names fold alike, blank aliases don't count, the smallest of several wins.
+    """
+    names = wanted.select("name").distinct()
+    called = F.col("name")
+    if aliases is not None:
+        known = aliases.where("name is not null and trim(alias) <> ''").groupBy(folded(F.trim("name")).alias("_key")).agg(F.min(F.trim("alias")).alias("_alias"))
+        names = names.withColumn("_key", folded(F.col("name"))).join(known, "_key", "left").drop("_key")
+        called = F.coalesce("_alias", "name")
+    names = names.select("name", sanitized(called).alias("clean"))
+    there = existing.where("name is not null").groupBy(folded(F.col("name")).alias("key")).agg(F.min("name").alias("there"))
+    return names.withColumn("key", folded(F.col("clean"))).join(there, "key", "left").select("name", F.coalesce("there", "clean").alias("folder"))
 
 
 def import_status(batch: DataFrame, library: DataFrame) -> DataFrame:
@@ -124,42 +141,115 @@ def import_status(batch: DataFrame, library: DataFrame) -> DataFrame:
     return rows.select("seq", status.alias("status"), F.coalesce("same", "exact", "twin", "pixel").alias("duplicate_of"))
 
 
+def _stem(name: Column) -> Column:
+    return F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", "")
+
+
+def _suffix(name: Column) -> Column:
+    return F.regexp_extract(name, r"(?<=[^.])(\.[^.]*)$", 1)
+
+
+def _free_number(k: Column, numbers: Column) -> Column:
+    """The k-th number from 1 that isn't in the sorted ``numbers``: k plus the taken ones that come no later."""
+    return F.aggregate(F.coalesce(numbers, F.array().cast("array<int>")), k.cast("int"), lambda at, t: F.when(t <= at, at + 1).otherwise(at))
+
+
+def _numbers(names: DataFrame, folder_column: str, pattern: str) -> DataFrame:
+    """(folder, key, number): of names (folder, key) like stem_N.ext, the N under the key stem.ext."""
+    return names.select(folder_column, F.regexp_replace("key", pattern, "$2").alias("_of"), F.regexp_extract("key", pattern, 1).try_cast("int").alias("number")).where("number > 0").withColumnRenamed("_of", "key")
+
+
+def _sorted_numbers(numbers: DataFrame, folder_column: str) -> DataFrame:
+    return numbers.groupBy(folder_column, "key").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
+
+
 def unique_names(plans: DataFrame, taken: DataFrame) -> DataFrame:
     """(seq, dest_dir, dest_name, suffixed): names made unique in their folder.
 
     ``plans`` has seq, dest_dir, dest_name, stamp, source; ``taken`` dest_dir
-    and name of files already there. A lone free name stays bare; otherwise all
-    that fold alike get _01, _02, ... by (stamp, source), skipping taken names:
-    the k-th gets the k-th free number. A stem's spelling is its first plan's.
+    and name of files already there. What a plan's own source leaves in the
+    folder that it is bound for isn't taken: it moves with the plan. A lone free
+    name stays bare; otherwise all that fold alike get _01, _02, ... by (stamp,
+    source), skipping names taken or kept bare: the k-th gets the k-th free
+    number. A stem's spelling is its first plan's.
     """
-    keyed = plans.withColumn("key", folded(F.col("dest_name")))
-    stem = lambda c: F.regexp_replace(c, r"(?<=[^.])\.[^.]*$", "")
-    there = taken.select("dest_dir", folded(F.col("name")).alias("key")).distinct()
+    keyed = materialize(plans.withColumn("key", folded(F.col("dest_name"))), "wanted-names")
+    left = keyed.where(folder(F.col("source")) == F.col("dest_dir")).select("dest_dir", folded(base_name(F.col("source"))).alias("key")).distinct()
+    there = taken.select("dest_dir", folded(F.col("name")).alias("key")).distinct().join(left, ["dest_dir", "key"], "left_anti")
     groups = keyed.groupBy("dest_dir", "key").agg(F.count(F.lit(1)).alias("n"), F.min_by("dest_name", "seq").alias("base"))
-    keyed = numbered_within(keyed, ["dest_dir", "key"], ["stamp", "source", "seq"], "k").join(groups, ["dest_dir", "key"])
-    keyed = keyed.join(there.withColumn("there", F.lit(True)), ["dest_dir", "key"], "left")
-    many = keyed.where("n > 1 or there")
-    # the taken numbers of each group: names like stem_NN.ext of the same folder
-    used = there.select("dest_dir", F.regexp_replace("key", r"_(\d{2}|[1-9]\d{2,})(\.[^.]*)?$", "$2").alias("key"), F.regexp_extract("key", r"_(\d{2}|[1-9]\d{2,})(?:\.[^.]*)?$", 1).try_cast("int").alias("number")).where("number > 0")
-    numbers = used.groupBy("dest_dir", "key").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
-    many = many.join(numbers, ["dest_dir", "key"], "left")
-    # the k-th free number: k plus the taken numbers that come no later
-    free = F.aggregate(F.coalesce("numbers", F.array().cast("array<int>")), F.col("k").cast("int"), lambda at, t: F.when(t <= at, at + 1).otherwise(at))
-    ext = F.regexp_extract("base", r"(?<=[^.])(\.[^.]*)$", 1)
-    named = many.select("seq", "dest_dir", F.concat(stem(F.col("base")), F.lit("_"), F.when(free < 10, F.concat(F.lit("0"), free.cast("string"))).otherwise(free.cast("string")), ext).alias("dest_name"), F.lit(True).alias("suffixed"))
-    return keyed.where("n = 1 and there is null").select("seq", "dest_dir", "dest_name", F.lit(False).alias("suffixed")).unionByName(named)
-
-
-def renamed(plans: DataFrame) -> DataFrame:
+    groups = materialize(groups.join(there.withColumn("there", F.lit(True)), ["dest_dir", "key"], "left"), "name-groups")
+    bare = groups.where("n = 1 and there is null").select("dest_dir", "key")
+    many = groups.where("n > 1 or there").drop("n", "there")
+    many = many.join(_sorted_numbers(_numbers(there.unionByName(bare), "dest_dir", r"_(\d{2}|[1-9]\d{2,})(\.[^.]*)?$"), "dest_dir"), ["dest_dir", "key"], "left")
+    ranked = numbered_within(keyed.join(many.select("dest_dir", "key"), ["dest_dir", "key"], "left_semi"), ["dest_dir", "key"], ["stamp", "source", "seq"], "k")
+    free = _free_number(F.col("k"), F.col("numbers"))
+    name = F.concat(_stem(F.col("base")), F.lit("_"), F.when(free < 10, F.concat(F.lit("0"), free.cast("string"))).otherwise(free.cast("string")), _suffix(F.col("base")))
+    named = ranked.join(many, ["dest_dir", "key"]).select("seq", "dest_dir", name.alias("dest_name"), F.lit(True).alias("suffixed"))
+    return keyed.join(bare, ["dest_dir", "key"], "left_semi").select("seq", "dest_dir", "dest_name", F.lit(False).alias("suffixed")).unionByName(named)
+
+
+def renamed(plans: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """(file_id, new_name, status): names by date in place, made unique in their folder by _2, _3, ...
 
-    ``plans`` has file_id, directory, old_name, wanted, stamp. Those already
-    named so keep their name; the rest follow by (stamp, lower old name); the
-    first of a free name stays bare.
+    ``plans`` has file_id, directory, old_name, wanted, stamp; ``taken``
+    directory and name of the files in the folders. The plans' own old names
+    aren't taken, as the renaming frees them; those of other files are. Those
+    already named as wanted keep their name; the rest follow by (stamp, lower
+    old name) and take the first free of wanted, _2, _3, ..., where names that
+    other plans want bare aren't free.
     """
     key = plans.withColumns({"key": F.lower("wanted"), "stays": F.col("old_name") == F.col("wanted")})
-    stem, ext = F.regexp_replace("wanted", r"(?<=[^.])\.[^.]*$", ""), F.regexp_extract("wanted", r"(?<=[^.])(\.[^.]*)$", 1)
     placed = numbered_within(key, ["directory", "key"], [F.desc("stays"), "stamp", F.lower("old_name"), "old_name", "file_id"], "k")
-    name = F.when(F.col("k") == 1, F.col("wanted")).otherwise(F.concat(stem, F.lit("_"), F.col("k").cast("string"), ext))
-    status = F.when(F.col("stays") & (F.col("k") == 1), "unchanged").when(F.col("k") == 1, "pending").otherwise("suffixed")
-    return placed.select("file_id", name.alias("new_name"), status.alias("status"))
+    # what blocks _N: the names that stay, and those that other plans want bare; the bare name is number 1
+    pattern = r"_([2-9]|[1-9]\d+)(\.[^.]*)?$"
+    numbers = _numbers(key.select("directory", "key").distinct(), "directory", pattern)
+    if taken is not None:
+        freed = plans.select("directory", F.lower("old_name").alias("key")).distinct()
+        kept = taken.select("directory", F.lower("name").alias("key")).distinct().join(freed, ["directory", "key"], "left_anti")
+        numbers = numbers.unionByName(_numbers(kept, "directory", pattern)).unionByName(kept.withColumn("number", F.lit(1)))
+    numbers = _sorted_numbers(numbers, "directory")
+    free = _free_number(F.col("k"), F.col("numbers"))
+    out = placed.join(numbers, ["directory", "key"], "left").withColumn("free", F.when(F.col("stays") & (F.col("k") == 1), 1).otherwise(free))
+    name = F.when(F.col("free") == 1, F.col("wanted")).otherwise(F.concat(_stem(F.col("wanted")), F.lit("_"), F.col("free").cast("string"), _suffix(F.col("wanted"))))
+    status = F.when(F.col("stays") & (F.col("k") == 1), "unchanged").when(F.col("free") == 1, "pending").otherwise("suffixed")
+    return out.select("file_id", name.alias("new_name"), status.alias("status"))
+
+
+def organized(files: DataFrame, taken: DataFrame, pattern: str) -> DataFrame:
+    """(file_id, dest_dir, dest_name, status): each file's folder <root>/<country>/<year>/<year-month> and name by date.
+
+    ``files`` has file_id, path, root, country (null for none), captured;
+    ``taken`` dest_dir and name of all files there are. A file that is where it
+    belongs, before or after names are made unique, is 'unchanged'; others
+    'move', or 'move_suffixed' where the name needs a number. Carrying the plan
+    out and planning again changes nothing.
+    """
+    target = F.concat_ws("/", "root", sanitized(F.col("country")), strftime(F.col("captured"), "%Y"), strftime(F.col("captured"), "%Y-%m"))
+    wanted = formatted_name(F.col("captured"), pattern, "", tidy_extension(extension(F.col("path"))))
+    bound = materialize(files.select("file_id", "path", "captured", target.alias("dest_dir"), wanted.alias("bare")), "bound")
+    at = lambda name: F.concat_ws("/", "dest_dir", name)
+    going = bound.where(F.col("path") != at("bare")).select(F.col("file_id").alias("seq"), "dest_dir", F.col("bare").alias("dest_name"), F.col("captured").alias("stamp"), F.col("path").alias("source"))
+    named = unique_names(going, taken).select(F.col("seq").alias("file_id"), "dest_name", "suffixed")
+    out = bound.join(named, "file_id", "left").withColumn("dest_name", F.coalesce("dest_name", "bare"))
+    status = F.when(F.col("path") == at("dest_name"), "unchanged").when(F.col("suffixed"), "move_suffixed").otherwise("move")
+    return out.select("file_id", "dest_dir", "dest_name", status.alias("status"))
+
+
+def import_plan(plans: DataFrame, taken: DataFrame, pattern: str) -> DataFrame:
+    """(plan_id, status, duplicate_of, folder, dest_dir, dest_name): the whole plan of a batch.
+
+    ``plans`` has plan_id, source_path, plan_ts, root, folder (the country's),
+    and of :func:`import_status` status and duplicate_of (null for files that
+    couldn't be read: 'error'). Only new files are given unique names; a new
+    file without date or library is 'undated' and keeps its name.
+    """
+    state = F.coalesce(F.col("status"), F.lit("error"))
+    target = F.when(F.col("plan_ts").isNotNull() & F.col("root").isNotNull(), F.concat_ws("/", "root", "folder", strftime(F.col("plan_ts"), "%Y"), strftime(F.col("plan_ts"), "%Y-%m")))
+    bare = formatted_name(F.col("plan_ts"), pattern, "", tidy_extension(extension(F.col("source_path"))))
+    bound = materialize(plans.select("plan_id", "source_path", "plan_ts", "folder", "duplicate_of", state.alias("status"), target.alias("dest_dir"), bare.alias("bare")), "bound")
+    fresh = bound.where("status = 'new' and dest_dir is not null and bare is not null").select(F.col("plan_id").alias("seq"), "dest_dir", F.col("bare").alias("dest_name"), F.col("plan_ts").alias("stamp"), F.col("source_path").alias("source"))
+    named = unique_names(fresh, taken).select(F.col("seq").alias("plan_id"), "dest_name", "suffixed")
+    out = bound.join(named, "plan_id", "left")
+    status = F.when((F.col("status") == "new") & F.col("dest_dir").isNull(), "undated").when(F.col("suffixed"), "new_suffixed").otherwise(F.col("status"))
+    name = F.when((F.col("status") == "error") | F.col("dest_dir").isNull(), base_name(F.col("source_path"))).otherwise(F.coalesce("dest_name", "bare"))
+    return out.select("plan_id", status.alias("status"), "duplicate_of", "folder", F.when(F.col("status") != "error", F.col("dest_dir")).alias("dest_dir"), name.alias("dest_name"))

@@ -230,14 +230,6 @@ def import_names(spark: SparkSession, d: str) -> DataFrame:
     return placement.unique_names(plans, there).select(F.col("seq").alias("plan_id"), "dest_name", "suffixed")
 
 
-def rename_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names by capture date for every current file in its own folder."""
-    f = _dated(spark, d)
-    wanted = placement.formatted_name(F.col("captured"), "%Y%m%d_%H%M%S", "", placement.tidy_extension(extension(F.col("path"))))
-    plans = f.where("captured is not null").select("file_id", folder(F.col("path")).alias("directory"), base_name(F.col("path")).alias("old_name"), wanted.alias("wanted"), F.col("captured").alias("stamp"))
-    return placement.renamed(plans)
-
-
 def _dated(spark: SparkSession, d: str) -> DataFrame:
     probes = current_records(table(spark, d, "video_info"), "file_id", "probed_at", ["creation_time"])
     f = files(spark, d).select("file_id", "path", "kind", "mtime", "date_taken").join(probes, "file_id", "left")
@@ -249,16 +241,6 @@ def capture_dates(spark: SparkSession, d: str) -> DataFrame:
     return _dated(spark, d).select("file_id", "captured", "date_source")
 
 
-def organize_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Each dated file's folder <country>/<year>/<year-month> under its library, and whether it is there already."""
-    points = located_files(spark, d)
-    country = countries_of(points, table(spark, d, "country_borders"))
-    roots = current_records(table(spark, d, "file_cache"), "file_id", "analyzed_at", ["library_id"]).join(F.broadcast(table(spark, d, "libraries").select("library_id", "root")), "library_id").select("file_id", "root")
-    f = _dated(spark, d).where("captured is not null").join(roots, "file_id").join(country.withColumnRenamed("id", "file_id"), "file_id", "left")
-    target = F.concat_ws("/", "root", placement.sanitized(F.col("country")), placement.strftime(F.col("captured"), "%Y"), placement.strftime(F.col("captured"), "%Y-%m"))
-    return f.select("file_id", target.alias("dest_dir"), F.when(folder(F.col("path")) == target, "unchanged").otherwise("move").alias("status"))
-
-
 def geocode(spark: SparkSession, d: str) -> DataFrame:
     """The country of each located file."""
     return countries_of(located_files(spark, d), table(spark, d, "country_borders")).withColumnRenamed("id", "file_id")
@@ -382,7 +364,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_stats, scan_selection, size_candidates, dimension_candidates, exact_groups, layered_groups, layered_members, rough_counters, dashboard, group_browser, hamming_pairs, hamming_members, similar_pairs, similar_clusters,
-        embedding_votes, color_matches, duration_candidates, video_pairs, nearest_videos, video_groups, keep_scores, keep_recommendation, file_traits, labels, import_status, plan_summary, import_names, rename_names, capture_dates, organize_plan, geocode,
+        embedding_votes, color_matches, duration_candidates, video_pairs, nearest_videos, video_groups, keep_scores, keep_recommendation, file_traits, labels, import_status, plan_summary, import_names, capture_dates, geocode,
         folder_reuse, iso6709, cache_lookup, cache_upsert, cache_prune, history_recent, history_summary, decisions, deletion_preview, category_review, export_rows, export_json, undo_plan, phash_compare,
     )
 }

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.plans import found, library, sql
+from shutterlake.plans import found, library, placing, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **library.QUERIES,
+    **placing.QUERIES,
     "p4_found": found.p4_found,
     "p4_zones": found.p4_zones,
     "p5_found": found.p5_found,
 }
-SQL: dict[str, str] = sql.SQL
+SQL: dict[str, str] = {**sql.SQL, **placing.SQL}

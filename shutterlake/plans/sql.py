@@ -133,21 +133,22 @@ points AS (
   FROM members JOIN files USING (file_id) JOIN traits t USING (file_id) WINDOW g AS (PARTITION BY key, category))
 """
 PLANS = f"plans AS (SELECT DISTINCT ON (plan_id) *, {_digest('sha256')} AS sha, {_digest('pixel_digest')} AS pixels FROM import_plans WHERE plan_id IS NOT NULL)"
-_CAPTURE = "^(\\d{4})[:-](\\d{2})[:-](\\d{2})[ T](\\d{2}):(\\d{2})(?::(\\d{2}))?$"
+_FORMATS = ("%Y:%m:%d %H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y:%m:%d %H:%M", "%Y-%m-%d %H:%M", "%Y%m%d %H%M%S", "%Y-%m-%d %H")
 
 
 def _capture(c: str) -> str:
-    core = f"regexp_replace(trim(replace({c}, chr(0), '')), '[.+].*$', '')"
-    part = lambda k: f"regexp_extract({core}, '{_CAPTURE}', {k})"
-    whole = f"{part(1)} || '-' || {part(2)} || '-' || {part(3)} || ' ' || {part(4)} || ':' || {part(5)} || ':' || (CASE WHEN {part(6)} = '' THEN '00' ELSE {part(6)} END)"
-    return f"CASE WHEN regexp_matches({core}, '{_CAPTURE}') AND {core} NOT LIKE '0000%' THEN TRY_CAST({whole} AS TIMESTAMP) END"
+    """By trial of one format after the other, with what may follow the seconds taken off first."""
+    core = f"trim(string_split(string_split(replace(trim(replace({c}, chr(0), '')), 'T', ' '), '.')[1], '+')[1])"
+    bare = f"regexp_replace({core}, '^(.* [0-9:]+)([Zz]|-[0-9]{{2}}:?[0-9]{{2}})$', '\\1')"
+    tried = ", ".join(f"try_strptime({bare}, '{f}')" for f in _FORMATS)
+    return f"CASE WHEN {core} NOT LIKE '0000%' THEN coalesce({tried}) END"
 
 
 DATED = f"""
 {FILES},
 probes AS (SELECT file_id, creation_time FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY probed_at DESC) AS rn FROM video_info) WHERE rn = 1),
 read AS (SELECT f.file_id, f.path, CASE WHEN kind = 'image' THEN {_capture('date_taken')} END AS taken, CASE WHEN kind = 'video' THEN {_capture('creation_time')} END AS made,
-  CASE WHEN abs(mtime) < 1e11 THEN date_trunc('second', make_timestamp((mtime * 1000000)::BIGINT)) END AS stored FROM files f LEFT JOIN probes p ON p.file_id = f.file_id),
+  CASE WHEN abs(mtime) < 1e20 THEN make_timestamp(floor(CASE WHEN abs(mtime) < 1e11 THEN mtime WHEN abs(mtime) < 1e14 THEN mtime / 1e3 WHEN abs(mtime) < 1e17 THEN mtime / 1e6 ELSE mtime / 1e9 END)::BIGINT * 1000000) END AS stored FROM files f LEFT JOIN probes p ON p.file_id = f.file_id),
 dated AS (SELECT file_id, path, coalesce(taken, made, stored) AS captured, CASE WHEN taken IS NOT NULL THEN 'exif' WHEN made IS NOT NULL THEN 'video_creation' WHEN stored IS NOT NULL THEN 'file_mtime' END AS date_source FROM read)
 """
 _ISO = "^([+-])(\\d+)(\\.\\d+)?([+-])(\\d+)(\\.\\d+)?(?:[+-][\\d.]+)?(?:CRS[^/]*)?/?$"
@@ -259,15 +260,7 @@ slots AS (SELECT dest_dir, key, base, unnest(range(1, n + 100)) AS i, n FROM (SE
 free AS (SELECT dest_dir, key, base, i, row_number() OVER (PARTITION BY dest_dir, key ORDER BY i) AS k FROM slots s WHERE NOT EXISTS (SELECT 1 FROM there t WHERE t.dest_dir = s.dest_dir AND t.key = {_fold("regexp_replace(base, '\\.[^.]*$', '') || format('_{:02d}', i) || regexp_extract(base, '\\.[^.]*$')")}))
 SELECT plan_id, dest_name, false AS suffixed FROM q WHERE n = 1 AND NOT there
 UNION ALL SELECT plan_id, regexp_replace(q.base, '\\.[^.]*$', '') || format('_{{:02d}}', i) || regexp_extract(q.base, '\\.[^.]*$'), true FROM q JOIN free f ON f.dest_dir = q.dest_dir AND f.key = q.key AND f.k = q.k WHERE n > 1 OR there""",
-    "rename_names": f"""WITH {DATED},
-p AS (SELECT file_id, captured, {FOLDER} AS directory, {NAME} AS old_name, strftime(captured, '%Y%m%d_%H%M%S') || (CASE WHEN {EXT} IN ('.jpeg', '.jpe', '.jfif') THEN '.jpg' ELSE {EXT} END) AS wanted FROM dated WHERE captured IS NOT NULL),
-n AS (SELECT *, row_number() OVER (PARTITION BY directory, lower(wanted) ORDER BY (old_name = wanted) DESC, captured, lower(old_name)) AS k FROM p)
-SELECT file_id, CASE WHEN k = 1 THEN wanted ELSE regexp_replace(wanted, '\\.[^.]*$', '') || '_' || k || regexp_extract(wanted, '\\.[^.]*$') END AS new_name, CASE WHEN k = 1 AND old_name = wanted THEN 'unchanged' WHEN k = 1 THEN 'pending' ELSE 'suffixed' END AS status FROM n""",
     "capture_dates": f"WITH {DATED} SELECT file_id, captured, date_source FROM dated",
-    "organize_plan": f"""WITH {DATED}, {GEOCODE},
-t AS (SELECT d.file_id, {FOLDER.replace('path', 'd.path')} AS dir, root || '/' || coalesce(country, 'Sin ubicación') || '/' || strftime(captured, '%Y') || '/' || strftime(captured, '%Y-%m') AS dest_dir
-  FROM dated d JOIN current c ON c.file_id = d.file_id JOIN libraries l ON l.library_id = c.library_id LEFT JOIN geo g ON g.file_id = d.file_id WHERE captured IS NOT NULL)
-SELECT file_id, dest_dir, CASE WHEN dir = dest_dir THEN 'unchanged' ELSE 'move' END AS status FROM t""",
     "geocode": f"WITH {GEOCODE} SELECT file_id, country FROM geo",
     "folder_reuse": f"""WITH w AS (SELECT DISTINCT country AS name, coalesce(nullif(trim(trim(regexp_replace(country, '[<>:"|?*\\\\/]', '', 'g')), '.'), ''), 'Sin ubicación') AS clean FROM import_plans),
 e AS (SELECT {_fold('country')} AS key, min(country) AS there FROM country_borders GROUP BY 1) SELECT name, coalesce(there, clean) AS folder FROM w LEFT JOIN e ON e.key = {_fold('clean')}""",
