@@ -30,6 +30,7 @@ ENTITY = re.compile(r"&(?:#\d{1,6}|#x[0-9a-fA-F]{1,5}|[a-zA-Z]{2,8});")
 FIELD = re.compile(r"^\s*[\"']?[\w .]{1,30}[\"']?\s*[:=]\s*\S")
 BLANKS = re.compile(r"\s+")
 BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
+TOKEN = re.compile(rf"{WORD.pattern}|[\n\r\x0b\x0c\x85\u2028\u2029]")
 STOPS, COMMAS = ".!?…。！？؟।", ",;，、；،"
 CLOSERS = " \t\xa0\u3000\"'»”’)]）」』"
 #: What a line may have of its head looked at, blanks taken as one.
@@ -78,10 +79,6 @@ def _stripped(text: str) -> tuple[str, int]:
     return text, tags
 
 
-def line_words(text: str) -> list[str]:
-    return WORD.findall(_stripped(text)[0].lower())
-
-
 def learn_lexicon(documents: DataFrame, size: int = 400, least_documents: int = 3) -> Lexicon:
     """The lexicon of all documents (text): the ``size`` words that most of them hold, and the counts of their pairs.
 
@@ -96,16 +93,15 @@ def learn_lexicon(documents: DataFrame, size: int = 400, least_documents: int =
     index, v = {w: k for k, w in enumerate(words)}, len(words)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = np.zeros(v * v, np.int64)
+        found, get = np.zeros(v * v, np.int64), index.get
         for frame in frames:
+            at: list[int] = []
             for text in frame["text"]:
-                at: list[int] = []
-                for line in BREAK.split(text):
-                    at += [index.get(w, -1) for w in line_words(line)]
-                    at.append(-1)
-                known = np.array(at)
-                both = (known[:-1] >= 0) & (known[1:] >= 0)
-                np.add.at(found, known[:-1][both] * v + known[1:][both], 1)
+                at += [get(w, -1) for w in TOKEN.findall(_stripped(text)[0].lower())]
+                at.append(-1)
+            known = np.array(at, np.int64)
+            both = (known[:-1] >= 0) & (known[1:] >= 0)
+            found += np.bincount(known[:-1][both] * v + known[1:][both], minlength=v * v)
         at = np.flatnonzero(found)
         yield pd.DataFrame({"at": at, "n": found[at]})
 
