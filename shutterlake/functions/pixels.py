@@ -116,17 +116,17 @@ def correlation(a: np.ndarray, b: np.ndarray) -> float:
     return float((a * b).sum() / size) if size > 1e-6 else 0.0
 
 
-def best_crop(big: np.ndarray, small: np.ndarray, least: float = 0.82) -> tuple[float, int, int, int, int] | None:
+def best_crop(big: np.ndarray, small: np.ndarray, least: float = 0.82, aspect: float | None = None) -> tuple[float, int, int, int, int] | None:
     """(score, x, y, width, height): where in the 32 x 32 block means of a picture another fits best, in cells.
 
     The smaller picture is brought to every width from 7 to 32 cells at its own
-    aspect by block means and slid over the bigger one. Null below ``least``,
+    aspect (that of its values unless given) by block means and slid over the bigger one. Null below ``least``,
     or if it covers more than 92 % both ways.
     """
     rows, columns = big.shape
     best: tuple[float, int, int, int, int] | None = None
     for w in range(7, columns + 1):
-        h = round(w * small.shape[0] / small.shape[1])
+        h = round(w / (aspect or small.shape[1] / small.shape[0]))
         if h < 7 or h > rows:
             continue
         ys, xs = np.linspace(0, small.shape[0], h + 1).astype(int), np.linspace(0, small.shape[1], w + 1).astype(int)

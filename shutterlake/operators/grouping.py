@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,8 @@ from shutterlake.functions.digests import bits_apart
 from shutterlake.functions.media import PROFILES, Profile, category_rank, classify, classify_video, color_similarity, frame_similarity, rounded, search_radius, similarity_percent, wide_distance
 from shutterlake.operators.graph import connected
 from shutterlake.operators.numbering import numbered
+from shutterlake.operators.skew import salted_join
+from shutterlake.sources.tables import materialize
 
 
 def exact_groups(files: DataFrame) -> DataFrame:
@@ -21,16 +25,16 @@ def exact_groups(files: DataFrame) -> DataFrame:
     return numbered(found, [F.desc("reclaimable"), "first_path"], "group_id").select("group_id", "sha", "files", "unit_size", "reclaimable")
 
 
-def exact_layers(files: DataFrame) -> DataFrame:
+def exact_layers(files: DataFrame, skip_videos: bool = False) -> DataFrame:
     """(key, category, file_id): pixel-identical groups first, byte-identical groups of what they leave.
 
-    A pixel group is file_identical if all its files have one and the same digest.
+    Where videos are compared by their frames, ``skip_videos`` leaves them to that layer. A pixel group is file_identical if all its files have one and the same digest.
     """
     pixels = files.where("pixels is not null").groupBy("pixels").agg(
         F.count(F.lit(1)).alias("n"), F.when((F.count("sha") == F.count(F.lit(1))) & (F.min("sha") == F.max("sha")), "file_identical").otherwise("pixel_identical").alias("category")
     ).where("n >= 2")
     first = files.join(pixels.drop("n"), "pixels").select(F.concat(F.lit("p"), "pixels").alias("key"), "category", "file_id")
-    rest = files.where("sha is not null").join(pixels.select("pixels"), "pixels", "left_anti")
+    rest = files.where("sha is not null" + (" and kind <> 'video'" if skip_videos else "")).join(pixels.select("pixels"), "pixels", "left_anti")
     shas = rest.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("sha")
     second = rest.join(shas, "sha").select(F.concat(F.lit("s"), "sha").alias("key"), F.lit("file_identical").alias("category"), "file_id")
     return first.unionByName(second)
@@ -45,38 +49,83 @@ def numbered_groups(members: DataFrame, files: DataFrame) -> DataFrame:
     return numbered(sized, order, "group_id").select("group_id", "key", "category", "files", "total_size", "unit_size", "reclaimable")
 
 
-def close_pairs(files: DataFrame, radius: int, block_rows: int = 8192) -> DataFrame:
-    """(a, b, distance, similarity): pictures, a < b, whose phash differs in at most ``radius`` bits.
+def met_in_blocks(rows: DataFrame, alike: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], block_rows: int, pairs_per_step: int = 1 << 20, measure: Callable | None = None) -> DataFrame:
+    """(a, b, measure): all pairs of rows, a < b by file_id, for which ``alike`` (a matrix of two frames) holds; ``measure`` may give each a number.
 
-    At the radii of this search no blocking key is selective without missing
-    pairs, so every pair is compared, but in blocks: rows are dealt into blocks
-    of about ``block_rows``, each two blocks meet in one task, and whole blocks
-    are compared at once in batches. A task holds two blocks, whatever the input.
+    Rows are dealt into blocks of about ``block_rows``, each two blocks meet in
+    one task, and whole stretches are compared at once. A task holds two blocks,
+    whatever the input; the number of tasks grows with the square of the blocks.
     """
-    rows = files.where("phash is not null and file_id is not null").select("file_id", "phash")
+    kept = [c for c in rows.columns if c != "file_id"]
     blocks = max(1, -(-rows.count() // block_rows))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("file_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    meet = dealt.select("file_id", "phash", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    meet = dealt.select("file_id", *kept, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         first = frame["block"].to_numpy() == frame["i"].iloc[0]
-        ids, hashes = frame["file_id"].to_numpy(), frame["phash"].to_numpy().view(np.uint64)
         one = frame["i"].iloc[0] == frame["j"].iloc[0]
-        left_ids, left = ids[first], hashes[first]
-        right_ids, right = (left_ids, left) if one else (ids[~first], hashes[~first])
+        left = frame[first]
+        right = left if one else frame[~first]
+        right_ids, step = right["file_id"].to_numpy(), max(1, pairs_per_step // max(1, len(right)))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for start in range(0, len(left), 256):
-            apart = np.bitwise_count(left[start : start + 256, None] ^ right[None, :])
-            x, y = np.nonzero(apart <= radius)
-            a, b = left_ids[start + x], right_ids[y]
+        for start in range(0, len(left), step):
+            part = left.iloc[start : start + step]
+            x, y = np.nonzero(alike(part, right))
+            a, b = part["file_id"].to_numpy()[x], right_ids[y]
             keep = a < b if one else a != b
-            found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], apart[x, y][keep].astype(np.int64)))
+            value = measure(part, right, x[keep], y[keep]) if measure else np.zeros(keep.sum(), np.int64)
+            found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], value))
         parts = [np.concatenate(p) for p in zip(*found)] if found else [np.array([], np.int64)] * 3
-        return pd.DataFrame(dict(zip(("a", "b", "distance"), parts)))
+        return pd.DataFrame(dict(zip(("a", "b", "measure"), parts)))
 
-    # a fixed number of partitions, as the few bytes here would otherwise be merged into one task
-    spread = meet.repartition(min(2000, blocks * (blocks + 1)), "i", "j")
-    return spread.groupBy("i", "j").applyInPandas(compare, "a bigint, b bigint, distance bigint").withColumn("similarity", similarity_percent(F.col("distance")))
+    # one partition for some pairs of blocks each, as the few bytes here would otherwise be merged into one task
+    spread = meet.repartition(blocks * (blocks + 1) // 2 if blocks < 256 else blocks * 64, "i", "j")
+    return spread.groupBy("i", "j").applyInPandas(compare, "a bigint, b bigint, measure bigint")
+
+
+def close_pairs(files: DataFrame, radius: int, block_rows: int = 8192) -> DataFrame:
+    """(a, b, distance, similarity): pictures, a < b, whose phash differs in at most ``radius`` bits.
+
+    At the radii of this search no blocking key is selective without missing
+    pairs, so every pair is compared, in blocks (see :func:`met_in_blocks`).
+    :func:`sampled_pairs` looks only where sampled bits agree.
+    """
+    rows = files.where("phash is not null and file_id is not null").select("file_id", "phash")
+    bits = lambda f: f["phash"].to_numpy().view(np.uint64)
+    alike = lambda x, y: np.bitwise_count(bits(x)[:, None] ^ bits(y)[None, :]) <= radius
+    apart = lambda x, y, i, j: np.bitwise_count(bits(x)[i] ^ bits(y)[j]).astype(np.int64)
+    found = met_in_blocks(rows, alike, block_rows, measure=apart).withColumnRenamed("measure", "distance")
+    return found.withColumn("similarity", similarity_percent(F.col("distance")))
+
+
+def sampled_pairs(files: DataFrame, radius: int, profile: Profile, recall: float = 0.95, rows_per_key: int = 64) -> DataFrame:
+    """(a, b): pairs within ``radius`` bits of phash, found where sampled bits of the hashes agree.
+
+    A table's key is some ``log2(rows / rows_per_key)`` bits, each of a hash
+    drawn by its weight, so two pictures of weighted similarity s agree in a bit
+    with chance s; there are as many tables as find a pair at the similar band
+    with chance ``recall``, and better ones more surely. Work grows with the
+    rows and the number of tables (a fractional power of the rows) instead of
+    their square. Only pictures that have phash, dhash and ahash are indexed;
+    the palette and bhash, where there, are left to the score. A key that
+    very many pictures share is dealt over tasks.
+    """
+    rows = materialize(files.where("phash is not null and dhash is not null and ahash is not null and file_id is not null").select("file_id", "phash", "dhash", "ahash"), "sampled")
+    count, chance = rows.count(), profile.bands.similar / 100
+    bits = max(4, min(40, round(np.log2(max(2, count / rows_per_key)))))
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - chance**bits)))
+    rng, weights = np.random.default_rng(1), np.array([dict(profile.weights)[h] for h in ("phash", "dhash", "ahash")])
+    keys = []
+    for t in range(tables):
+        mask = {h: 0 for h in ("phash", "dhash", "ahash")}
+        for h in rng.choice(list(mask), size=bits, p=weights / weights.sum()):
+            mask[h] |= 1 << int(rng.integers(64))
+        signed = {h: m - (1 << 64) if m >> 63 else m for h, m in mask.items()}
+        keys.append(F.xxhash64(F.lit(t), *[F.col(h).bitwiseAND(F.lit(m)) for h, m in signed.items()]))
+    posted = materialize(rows.select("file_id", "phash", F.explode(F.array(*keys)).alias("key")), "posted")
+    other = posted.select("key", F.col("file_id").alias("b"), F.col("phash").alias("q"))
+    pairs = salted_join(posted.withColumnRenamed("file_id", "a"), other, ["key"]).where((F.col("a") < F.col("b")) & (bits_apart(F.col("phash"), F.col("q")) <= radius))
+    return pairs.select("a", "b").distinct()
 
 
 def signals(a: str, b: str) -> dict[str, Column]:
@@ -103,7 +152,7 @@ def aspect_close(wa: Column, ha: Column, wb: Column, hb: Column, tolerance: floa
     return F.coalesce((wa > 0) & (ha > 0) & (wb > 0) & (hb > 0) & (F.abs(a - b) <= tolerance * F.greatest(a, b)), F.lit(False))
 
 
-def _scored(pairs: DataFrame, profile: Profile) -> DataFrame:
+def scored(pairs: DataFrame, profile: Profile) -> DataFrame:
     """``pairs`` (aliased a and b) with the score of each signal, the combined score, and whether it is one picture in two sizes."""
     named = pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("file_id", "width", "height")], *[sealed(v).alias(k) for k, v in signals("a", "b").items()])
     named = named.withColumn("score", sealed(weighted_score(profile, {k: F.col(k) for k in ("phash", "dhash", "ahash", "bhash", "color")})))
@@ -112,32 +161,58 @@ def _scored(pairs: DataFrame, profile: Profile) -> DataFrame:
     return named.withColumn("resized", resized)
 
 
-def similar_pairs(files: DataFrame, profile: Profile = PROFILES["medium"]) -> DataFrame:
-    """(a, b, score, resized, category): pairs within the search radius whose composition agrees and whose score reaches the similar band.
+def similar_pairs(files: DataFrame, profile: Profile = PROFILES["medium"], recall: float | None = None) -> DataFrame:
+    """(a, b, score, resized, category, reasons): pairs within the search radius whose composition agrees and whose score reaches the similar band.
 
     ``files`` has the signals as columns. Pairs whose block hash is less than 55 % similar are dropped; a missing one passes.
+    All pairs are compared, unless ``recall`` asks for the sampled index (:func:`sampled_pairs`).
     """
-    close = close_pairs(files, search_radius(profile)).select("a", "b").alias("p")
+    radius = search_radius(profile)
+    close = (close_pairs(files, radius) if recall is None else sampled_pairs(files, radius, profile, recall)).select("a", "b").alias("p")
     near = close.join(files.alias("a"), F.col("p.a") == F.col("a.file_id")).join(files.alias("b"), F.col("p.b") == F.col("b.file_id"))
-    scored = _scored(near, profile).where((F.coalesce("bhash", F.lit(100.0)) >= 55) & (F.col("score") >= profile.bands.similar))
-    return scored.select(F.col("a_file_id").alias("a"), F.col("b_file_id").alias("b"), "score", "resized", classify(F.col("score"), profile.bands).alias("category"))
+    rated = scored(near, profile).where((F.coalesce("bhash", F.lit(100.0)) >= 55) & (F.col("score") >= profile.bands.similar))
+    return rated.select(F.col("a_file_id").alias("a"), F.col("b_file_id").alias("b"), "score", "resized", classify(F.col("score"), profile.bands).alias("category"), reasons().alias("reasons"))
+
+
+#: From what similarity a signal counts as a reason (fixed values), in this order.
+REASON_CUTS = {"phash": 90.0, "dhash": 88.0, "ahash": 88.0, "bhash": 86.0, "color": 82.0}
+
+
+def reasons() -> Column:
+    """Why a pair of :func:`scored` is alike: its strong signals, its aspect, clearly other colours; a resized picture has two reasons of its own."""
+    sized = F.coalesce((F.col("a_width") > 0) & (F.col("a_height") > 0) & (F.col("b_width") > 0) & (F.col("b_height") > 0), F.lit(False))
+    same = aspect_close(F.col("a_width"), F.col("a_height"), F.col("b_width"), F.col("b_height"))
+    found = [F.when(F.col(k) >= cut, F.lit(k)) for k, cut in REASON_CUTS.items()] + [F.when(same, "same_aspect").when(sized, "other_aspect"), F.when(F.col("color") < 55, "other_colors")]
+    plain = F.filter(F.array(*found), lambda r: r.isNotNull())
+    return F.when(F.col("resized"), F.array(F.lit("resized"), F.lit("other_format"))).otherwise(plain)
 
 
-def similar_clusters(files: DataFrame, pairs: DataFrame, profile: Profile = PROFILES["medium"]) -> DataFrame:
+def cluster_reasons(pairs: DataFrame, member: DataFrame, most: int = 6) -> DataFrame:
+    """(root, reasons): the distinct reasons of a cluster's pairs, in the order in which its pairs (by a, b) bring them up, the first ``most``.
+
+    Each reason is reduced to its first pair and place before the reasons of a cluster meet, so a row holds as many as there are kinds.
+    """
+    each = pairs.join(member, pairs["a"] == member["node"]).select("root", "a", "b", F.posexplode("reasons").alias("k", "reason"))
+    first = each.groupBy("root", "reason").agg(F.min(F.struct("a", "b", "k")).alias("at"))
+    listed = first.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("at", "reason"))).alias("r"))
+    return listed.select("root", F.slice(F.transform("r", lambda x: x["reason"]), 1, most).alias("reasons"))
+
+
+def similar_clusters(files: DataFrame, pairs: DataFrame, profile: Profile = PROFILES["medium"], member: DataFrame | None = None) -> DataFrame:
     """(root, anchor, files, headline, weakest, category): pictures linked by similar pairs.
 
     The anchor is the largest file, then the one with most pixels, then the
     oldest; every other member is scored against it. The cluster is a resized
     duplicate if a pair of it is, its sizes differ and its weakest score is
-    nearly identical; else the best score names it.
+    nearly identical; else the best score names it. ``member`` (node, root) may be given.
     """
-    member = connected(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    member = linked(pairs) if member is None else member
     rows = member.join(files, member["node"] == files["file_id"]).drop("node")
     pixels = F.coalesce(F.col("width").cast("bigint") * F.col("height"), F.lit(0))
     anchor = rows.groupBy("root").agg(F.max_by("file_id", F.struct("size", pixels, -F.col("mtime"), -F.col("file_id"))).alias("anchor"))
     anchored = anchor.join(files, anchor["anchor"] == files["file_id"]).drop("file_id").withColumnRenamed("anchor", "file_id").alias("a")
     held = anchored.join(rows.alias("b"), F.col("a.root") == F.col("b.root"))
-    others = _scored(held.where("a.file_id <> b.file_id"), profile).groupBy(F.col("a_file_id").alias("anchor")).agg(F.max("score").alias("headline"), F.min("score").alias("weakest"))
+    others = scored(held.where("a.file_id <> b.file_id"), profile).groupBy(F.col("a_file_id").alias("anchor")).agg(F.max("score").alias("headline"), F.min("score").alias("weakest"))
     sizes = rows.groupBy("root").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("width", "height").alias("sizes"))
     upgraded = pairs.join(member, pairs["a"] == member["node"]).groupBy("root").agg(F.bool_or("resized").alias("resized"))
     all_of = anchor.join(others, "anchor").join(sizes, "root").join(upgraded, "root")
@@ -145,12 +220,34 @@ def similar_clusters(files: DataFrame, pairs: DataFrame, profile: Profile = PROF
     return all_of.select("root", "anchor", "files", F.nullif("headline", F.lit(0.0)).alias("headline"), "weakest", category.alias("category"))
 
 
+def linked(pairs: DataFrame) -> DataFrame:
+    """(node, root) of pictures linked by pairs (a, b)."""
+    return connected(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def duration_candidates(videos: DataFrame, within: float = 2.0) -> DataFrame:
+    """(file_id): probed videos with another whose duration differs by at most ``within`` seconds, told from their neighbours in order of duration alone.
+
+    Videos are brought to distinct durations first, so a duration that very many share is one row.
+    """
+    known = materialize(videos.where("duration > 0 and not isnan(duration)").select("file_id", "duration"), "durations")
+    lengths = known.groupBy("duration").agg(F.count(F.lit(1)).alias("n"))
+    # neighbours by ranges of several bins, each with the nearest length of the bins beside it
+    bin_of = F.floor(F.col("duration") / within)
+    ends = lengths.groupBy(bin_of.alias("bin")).agg(F.min("duration").alias("low"), F.max("duration").alias("high"), F.sum("n").alias("n"))
+    beside = lambda step, c: ends.select((F.col("bin") + step).alias("bin"), F.col(c).alias(f"beside_{c}"))
+    near = lengths.withColumn("bin", bin_of).join(ends.select("bin", F.col("n").alias("held")), "bin").join(beside(1, "high"), "bin", "left").join(beside(-1, "low"), "bin", "left")
+    # two of one bin are always near enough
+    hit = (F.col("held") > 1) | F.coalesce(F.col("duration") - F.col("beside_high") <= within, F.lit(False)) | F.coalesce(F.col("beside_low") - F.col("duration") <= within, F.lit(False))
+    return known.join(near.where(hit).select("duration"), "duration", "left_semi").select("file_id")
+
+
 def duration_pairs(videos: DataFrame, within: float = 2.0) -> DataFrame:
-    """(a, b): probed videos whose durations differ by at most ``within`` seconds, by a join of bins of that width."""
-    known = videos.where("duration > 0 and not isnan(duration)").select("file_id", "duration", F.floor(F.col("duration") / within).alias("bin"))
-    near = known.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-    pairs = near.alias("a").join(known.alias("b"), F.col("a.bin") == F.col("b.bin")).where((F.col("a.file_id") < F.col("b.file_id")) & (F.abs(F.col("a.duration") - F.col("b.duration")) <= within))
-    return pairs.select(F.col("a.file_id").alias("a"), F.col("b.file_id").alias("b"))
+    """(a, b): probed videos whose durations differ by at most ``within`` seconds, by a join of bins of that width; a bin of very many videos is dealt over tasks."""
+    known = materialize(videos.where("duration > 0 and not isnan(duration)").select("file_id", "duration", F.floor(F.col("duration") / within).alias("bin")), "durations")
+    near = known.select(F.col("file_id").alias("a"), F.col("duration").alias("a_duration"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    pairs = salted_join(near, known.select("bin", F.col("file_id").alias("b"), F.col("duration").alias("b_duration")), ["bin"], 2000)
+    return pairs.where((F.col("a") < F.col("b")) & (F.abs(F.col("a_duration") - F.col("b_duration")) <= within)).select("a", "b")
 
 
 def video_pairs(videos: DataFrame, threshold: float = 84.0, within: float = 2.0) -> DataFrame:
@@ -170,15 +267,20 @@ def nearest_videos(videos: DataFrame, within: float = 2.0) -> DataFrame:
     return best.select(F.col("a").alias("file_id"), (-F.col("r.b")).alias("other"), F.col("r.percent").alias("percent"))
 
 
-def video_groups(videos: DataFrame, pairs: DataFrame, threshold: float = 84.0) -> DataFrame:
+def video_links(videos: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, root) of videos linked by equal bytes or by pairs of alike frames."""
+    shas = videos.where("sha is not null").groupBy("sha").agg(F.min("file_id").alias("u"))
+    equal = videos.join(shas, "sha").where("u <> file_id").select("u", F.col("file_id").alias("v"))
+    return connected(equal.unionByName(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+
+def video_groups(videos: DataFrame, pairs: DataFrame, threshold: float = 84.0, member: DataFrame | None = None) -> DataFrame:
     """(root, files, percent, category): videos linked by equal bytes or alike frames.
 
     ``percent`` is the least of the linked pairs, the threshold if there is
     none; one digest throughout makes the group file_identical.
     """
-    shas = videos.where("sha is not null").groupBy("sha").agg(F.min("file_id").alias("u"))
-    equal = videos.join(shas, "sha").where("u <> file_id").select("u", F.col("file_id").alias("v"))
-    member = connected(equal.unionByName(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    member = video_links(videos, pairs) if member is None else member
     rows = member.join(videos, member["node"] == videos["file_id"])
     length = F.coalesce(F.when(~F.isnan("duration"), F.col("duration")), F.lit(0.0))
     held = rows.groupBy("root").agg(F.count(F.lit(1)).alias("files"), (F.max(length) - F.min(length) <= 0.75).alias("same"), ((F.count("sha") == F.count(F.lit(1))) & (F.min("sha") == F.max("sha"))).alias("one"))
@@ -193,20 +295,26 @@ def embedding_percent(a: Column, b: Column) -> Column:
     return F.pandas_udf(_embedding_percent, "double")(a, b)
 
 
-def _embedding_percent(a: pd.Series, b: pd.Series) -> pd.Series:
-    def read(text: str | None) -> np.ndarray | None:
-        try:
-            v = np.frombuffer(bytes.fromhex(text), "<f2").astype(float) if isinstance(text, str) and text else None
-        except ValueError:
-            return None
-        return v if v is not None and np.isfinite(v).all() and (v * v).sum() > 1e-18 else None
+def _halves(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(length, rows) of hex texts of half floats, zero-filled to the longest; length 0 for what is malformed, not finite or zero."""
+    texts = column.where(column.str.fullmatch("(?:[0-9a-fA-F]{4})+", na=False).astype(bool), "")
+    size = texts.str.len().to_numpy() // 4
+    wide = max(1, int(size.max(initial=0)))
+    rows = np.frombuffer(bytes.fromhex("".join(texts.str.pad(4 * wide, "right", "0"))), "<f2").reshape(len(texts), wide).astype(float)
+    good = np.isfinite(rows).all(1)
+    rows[~good] = 0
+    return np.where(good & ((rows * rows).sum(1) > 1e-18), size, 0), rows
 
-    def one(x: np.ndarray | None, y: np.ndarray | None) -> float | None:
-        if x is None or y is None or len(x) != len(y):
-            return None
-        return round(100.0 * min(1.0, max(0.0, float(x @ y / np.sqrt((x @ x) * (y @ y))))), 1)
 
-    return pd.Series([one(read(x), read(y)) for x, y in zip(a, b)], dtype="float64")
+def _embedding_percent(a: pd.Series, b: pd.Series) -> pd.Series:
+    (m, x), (n, y) = _halves(a), _halves(b)
+    wide = min(x.shape[1], y.shape[1])
+    x, y = x[:, :wide], y[:, :wide]
+    usable = (m > 0) & (m == n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cosine = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+    percent = 100.0 * np.clip(cosine, 0.0, 1.0)
+    return pd.Series([round(float(p), 1) if u else None for p, u in zip(percent, usable)], dtype="float64")
 
 
 def voted_pairs(files: DataFrame, embeddings: DataFrame, profile: Profile = PROFILES["medium"]) -> DataFrame:
@@ -216,9 +324,9 @@ def voted_pairs(files: DataFrame, embeddings: DataFrame, profile: Profile = PROF
     """
     close = close_pairs(files, search_radius(profile)).select("a", "b").alias("p")
     near = close.join(files.alias("a"), F.col("p.a") == F.col("a.file_id")).join(files.alias("b"), F.col("p.b") == F.col("b.file_id"))
-    scored = _scored(near, profile).where(F.coalesce("bhash", F.lit(100.0)) >= 55).select("a_file_id", "b_file_id", "score")
+    rated = scored(near, profile).where(F.coalesce("bhash", F.lit(100.0)) >= 55).select("a_file_id", "b_file_id", "score")
     of = lambda s: embeddings.select(F.col("file_id").alias(f"{s}_file_id"), F.col("embedding").alias(f"{s}_e"))
-    voted = scored.join(of("a"), "a_file_id", "left").join(of("b"), "b_file_id", "left").withColumn("vote", embedding_percent(F.col("a_e"), F.col("b_e")))
+    voted = rated.join(of("a"), "a_file_id", "left").join(of("b"), "b_file_id", "left").withColumn("vote", embedding_percent(F.col("a_e"), F.col("b_e")))
     lifted = F.when(F.col("vote") >= 90, F.greatest("score", F.lit(profile.bands.similar))).otherwise(F.col("score"))
     kept = voted.where("vote is null or vote >= 55").withColumn("score", lifted).where(F.col("score") >= profile.bands.similar)
     return kept.select(F.col("a_file_id").alias("a"), F.col("b_file_id").alias("b"), "score", "vote", classify(F.col("score"), profile.bands).alias("category"))

@@ -84,6 +84,13 @@ def sanitized(name: Column, fallback: str = "Sin ubicación") -> Column:
     return F.coalesce(F.nullif(clean, F.lit("")), F.lit(fallback))
 
 
+def is_within(path: Column, root: Column) -> Column:
+    """Whether a path is a folder itself or lies below it; '/vol/ab' isn't below '/vol/a'. Redundant and closing slashes don't count."""
+    tidy = lambda c: F.regexp_replace(F.regexp_replace(c, r"/(?:\.?/)+", "/"), "(?<=.)/$", "")
+    at = tidy(root)
+    return (tidy(path) == at) | F.startswith(tidy(path), F.when(at == "/", at).otherwise(F.concat(at, F.lit("/"))))
+
+
 def _fold(text: pd.Series) -> pd.Series:
     def one(s: str | None) -> str | None:
         if s is None or s.isascii():

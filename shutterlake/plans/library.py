@@ -133,7 +133,7 @@ def _unassigned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pictures alike by their combined score, outside the exact layers."""
-    return grouping.similar_pairs(_unassigned(spark, d)[1])
+    return grouping.similar_pairs(_unassigned(spark, d)[1]).drop("reasons")
 
 
 def similar_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -162,8 +162,7 @@ def _videos(spark: SparkSession, d: str) -> DataFrame:
 
 def duration_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Videos with another of like duration, which are worth sampling."""
-    p = grouping.duration_pairs(_videos(spark, d))
-    return p.select(F.explode(F.array("a", "b")).alias("file_id")).distinct()
+    return grouping.duration_candidates(_videos(spark, d))
 
 
 def video_pairs(spark: SparkSession, d: str) -> DataFrame:

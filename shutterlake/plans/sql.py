@@ -209,7 +209,26 @@ flat AS (SELECT group_id, m.category, path, f.size, {_human('f.size')} AS size_l
   FROM members m JOIN groups g ON g.key = m.key JOIN files f USING (file_id))
 """
 
+def vector(c: str) -> str:
+    """A hex text of little-endian half floats as a list of doubles; null if malformed or not finite."""
+    half = f"(('0x' || substr({c}, 4 * i + 3, 2) || substr({c}, 4 * i + 1, 2))::INT)"
+    value = f"(CASE WHEN {half} >> 15 = 1 THEN -1.0 ELSE 1.0 END)::DOUBLE * (CASE WHEN ({half} >> 10) & 31 = 0 THEN ({half} & 1023) * pow(2.0, -24) WHEN ({half} >> 10) & 31 < 31 THEN (1 + ({half} & 1023) / 1024.0::DOUBLE) * pow(2.0, (({half} >> 10) & 31) - 15) END)"
+    made = f"list_transform(range(length({c}) // 4), lambda i: {value})"
+    return f"CASE WHEN regexp_full_match({c}, '([0-9a-fA-F]{{4}})+') THEN (CASE WHEN NOT list_contains(list_transform({made}, lambda x: x IS NULL), true) THEN {made} END) END"
+
+
+def _cosine(a: str, b: str) -> str:
+    dot = lambda x, y: f"list_sum(list_transform(list_zip({x}, {y}), lambda p: p[1] * p[2]))"
+    return f"({dot(a, b)} / sqrt({dot(a, a)} * {dot(b, b)}))"
+
+
 SQL: dict[str, str] = {
+    "embedding_votes": f"""WITH {PAIRS},
+kept AS (SELECT a, b, score FROM scored WHERE coalesce(s_bhash, 100) >= 55),
+vectors AS (SELECT file_id, v FROM (SELECT file_id, {vector('embedding')} AS v FROM current WHERE file_id IN (SELECT a FROM kept UNION SELECT b FROM kept)) WHERE list_sum(list_transform(v, lambda x: x * x)) > 1e-18),
+voted AS (SELECT k.*, CASE WHEN len(x.v) = len(y.v) THEN format('{{:.1f}}', 100.0::DOUBLE * least(1.0, greatest(0.0, {_cosine('x.v', 'y.v')})))::DOUBLE END AS vote FROM kept k LEFT JOIN vectors x ON x.file_id = a LEFT JOIN vectors y ON y.file_id = b),
+lifted AS (SELECT a, b, CASE WHEN vote >= 90 THEN greatest(score, 84.0) ELSE score END AS score, vote FROM voted WHERE vote IS NULL OR vote >= 55)
+SELECT a, b, score, vote, {BANDS.format('score')} AS category FROM lifted WHERE score >= 84""",
     "scan_stats": f"WITH {FILES} SELECT kind, count(*) AS files, sum(size)::BIGINT AS bytes, count(DISTINCT {FOLDER}) AS folders FROM files GROUP BY kind",
     "scan_selection": f"WITH {FILES} SELECT kind, {EXT} AS ext, count(*) AS files, sum(size)::BIGINT AS bytes FROM files WHERE size >= 65536 AND NOT regexp_matches({FOLDER}, '(^|/)tmp(/|$)') AND kind <> 'other' AND {EXT} <> '.png' GROUP BY ALL",
     "size_candidates": f"WITH {FILES} SELECT file_id, size FROM files WHERE size IN (SELECT size FROM files GROUP BY size HAVING count(*) > 1)",
