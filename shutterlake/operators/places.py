@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.operators.skew import salted_join
+from shutterlake.sources.tables import materialize
 
 EARTH_M = 6_371_008.8
 
@@ -104,22 +106,24 @@ def kd_pairs(points: np.ndarray, ids: np.ndarray, owned: np.ndarray, chord: floa
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def near_pairs(points: DataFrame, radius_m: float, rows_per_leaf: int = 20_000, sample_rows: int = 16_384) -> DataFrame:
+def near_pairs(points: DataFrame, radius_m: float, rows_per_leaf: int = 20_000, most_sampled: int = 262_144) -> DataFrame:
     """(left_id, right_id): each two ids, left_id < right_id, at most ``radius_m`` apart.
 
     ``points`` has id, lat, lon, each id once and only real positions. Equal
     positions are taken together first, so a spot with very many ids costs no
     more to search than any other; its pairs come from a salted join. The k-d
-    splits are fitted on about ``sample_rows`` positions (drawn by hash, twice as
-    many at most); every position is routed, with halo copies beside the cuts.
+    splits are fitted on some 16 positions a leaf, drawn by hash, at most
+    ``most_sampled``, which allows for some 16,000 leaves; every position is
+    routed, with halo copies beside the cuts.
     """
     spark = points.sparkSession
     members = points.select("lat", "lon", "id")
-    spots = members.groupBy("lat", "lon").agg(F.min("id").alias("spot"), F.count(F.lit(1)).alias("n"))
+    spots = materialize(members.groupBy("lat", "lon").agg(F.min("id").alias("spot"), F.count(F.lit(1)).alias("n")), "spots")
     count = spots.count()
-    every = max(1, count // sample_rows)
-    sample = spots.where(F.pmod(F.xxhash64("lat", "lon"), F.lit(every)) == 0).select("lat", "lon").limit(2 * sample_rows).toPandas()
-    leaves = max(1, min(len(sample) // 8, -(-count // rows_per_leaf)))
+    wanted = max(1, -(-count // rows_per_leaf))
+    every = max(1, count // max(4096, min(most_sampled // 2, 16 * wanted)))
+    sample = spots.where(F.pmod(F.xxhash64("lat", "lon"), F.lit(every)) == 0).select("lat", "lon").limit(most_sampled).toPandas()
+    leaves = max(1, min(len(sample) // 8, wanted))
     chord = 2 * np.sin(radius_m / EARTH_M / 2) * (1 + 1e-6) + 1e-12
     nodes = split_space(unit_vectors(sample["lat"].to_numpy(float), sample["lon"].to_numpy(float)), leaves)
 
@@ -137,7 +141,7 @@ def near_pairs(points: DataFrame, radius_m: float, rows_per_leaf: int = 20_000,
     parts = spots.select("spot", "lat", "lon").mapInPandas(routed, "spot bigint, lat double, lon double, leaf int, owned boolean")
     pairs = parts.groupBy("leaf").applyInPandas(joined, "spot_a bigint, spot_b bigint")
     pairs = pairs.unionByName(spots.where("n > 1").select(F.col("spot").alias("spot_a"), F.col("spot").alias("spot_b")))
-    at = members.join(spots.select("lat", "lon", "spot"), ["lat", "lon"]).select("spot", "id")
+    at = materialize(members.join(spots.select("lat", "lon", "spot"), ["lat", "lon"]).select("spot", "id"), "spot-members")
     one = salted_join(pairs, at.select(F.col("spot").alias("spot_a"), F.col("id").alias("a")), ["spot_a"])
     both = salted_join(one, at.select(F.col("spot").alias("spot_b"), F.col("id").alias("b")), ["spot_b"])
     both = both.where("spot_a <> spot_b or a < b")
@@ -151,7 +155,12 @@ class Sweep:
         edges = [(x1, y1, x2, y2) for ring in rings for (x1, y1), (x2, y2) in zip(ring, list(ring[1:]) + [ring[0]]) if y1 != y2]
         self.edges = np.array([(x1, y1, x2, y2) if y1 < y2 else (x2, y2, x1, y1) for x1, y1, x2, y2 in edges], float).reshape(-1, 4)
         self.levels = np.unique(self.edges[:, [1, 3]])
-        self.active = [np.flatnonzero((self.edges[:, 1] <= y) & (self.edges[:, 3] > y)) for y in self.levels]
+        # events in order of latitude: an edge comes in at its lower end and goes out at its upper one; between two levels the active edges don't change
+        begin, end = (np.searchsorted(self.levels, self.edges[:, k]) for k in (1, 3))
+        span = end - begin
+        level = np.repeat(begin, span) + np.arange(span.sum()) - np.repeat(span.cumsum() - span, span)
+        order = np.argsort(level, kind="stable")
+        self.active, self.bounds = np.repeat(np.arange(len(self.edges)), span)[order], np.searchsorted(level[order], np.arange(len(self.levels) + 1))
         self.west, self.east = (self.edges[:, [0, 2]].min(), self.edges[:, [0, 2]].max()) if len(edges) else (0.0, 0.0)
 
     def contains(self, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
@@ -166,7 +175,7 @@ class Sweep:
                 a, b = stops[k], stops[k + 1]
                 if a == b:
                     continue
-                e = self.edges[self.active[k]]
+                e = self.edges[self.active[self.bounds[k] : self.bounds[k + 1]]]
                 cross = e[:, 0] + (lat[a:b, None] - e[:, 1]) * (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
                 inside[a:b] |= (cross > x[a:b, None]).sum(1) % 2 == 1
         return inside
@@ -175,24 +184,41 @@ class Sweep:
 def regions_of(points: DataFrame, regions: DataFrame, most_vertices: int = 200_000) -> DataFrame:
     """(id, region_id): the regions with a polygon that contains the point; ``points`` has id, lat, lon.
 
-    Regions (region_id, polys) of at most ``most_vertices`` vertices, counted
-    first, go to every task and are swept over the points of each batch;
-    beyond that :func:`regions_by_band` joins edges and points by latitude.
+    Polygons of the regions (region_id, polys) go to every task, at most
+    ``most_vertices`` vertices at once, and are swept over the points of each
+    batch; further ones are swept in further passes over the points. Only a
+    polygon that by itself exceeds the bound is joined by latitude band
+    (:func:`regions_by_band`) instead. Null ids and shapes contain nothing.
     """
-    vertices = regions.select(F.coalesce(F.aggregate("polys", F.lit(0), lambda n, p: n + F.aggregate(p, F.lit(0), lambda m, r: m + F.size(r))), F.lit(0)).alias("n")).agg(F.sum("n")).first()[0]
-    if (vertices or 0) > most_vertices:
-        return regions_by_band(points, regions)
-    kept = [(r["region_id"], [[[list(map(float, p)) for p in ring] for ring in poly] for poly in r["polys"]]) for r in regions.where("region_id is not null and polys is not null").select("region_id", "polys").collect()]
-
+    polys = regions.where("region_id is not null").select("region_id", F.explode("polys").alias("rings")).where("rings is not null")
+    polys = polys.withColumn("n", F.aggregate("rings", F.lit(0), lambda n, r: n + F.coalesce(F.size(r), F.lit(0))))
+    passes, held, huge = [[]], 0, False
+    for r in polys.select("region_id", "rings", "n").orderBy("region_id", "n").toLocalIterator():
+        if r["n"] > most_vertices:
+            huge = True
+            continue
+        if held + r["n"] > most_vertices and passes[-1]:
+            passes.append([])
+            held = 0
+        passes[-1].append((r["region_id"], Sweep([[list(map(float, p)) for p in ring] for ring in r["rings"] if ring])))
+        held += r["n"]
+    out = [_swept(points, kept) for kept in passes]
+    if huge:
+        out.append(regions_by_band(points, polys.where(F.col("n") > most_vertices).groupBy("region_id").agg(F.collect_list("rings").alias("polys"))))
+    found = reduce(DataFrame.unionByName, out)
+    return found.distinct() if len(out) > 1 else found
+
+
+def _swept(points: DataFrame, kept: list[tuple[int, Sweep]]) -> DataFrame:
     def swept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sweeps = [(region, [Sweep(poly) for poly in polys]) for region, polys in kept]
         for frame in frames:
             frame = frame.sort_values("lat", kind="stable")
             lat, lon, ids = frame["lat"].to_numpy(float), frame["lon"].to_numpy(float), frame["id"].to_numpy()
-            for region, polys in sweeps:
-                inside = np.zeros(len(ids), bool)
-                for sweep in polys:
-                    inside |= sweep.contains(lon, lat)
+            found: dict[int, np.ndarray] = {}
+            for region, sweep in kept:
+                inside = sweep.contains(lon, lat)
+                found[region] = found[region] | inside if region in found else inside
+            for region, inside in found.items():
                 if inside.any():
                     yield pd.DataFrame({"id": ids[inside], "region_id": region})
 
