@@ -9,18 +9,22 @@ built-in functions and doesn't depend on the session's time zone.
 
 from __future__ import annotations
 
-from functools import reduce
-from zoneinfo import available_timezones
+from datetime import datetime, timezone
+from functools import lru_cache, reduce
+from zoneinfo import ZoneInfo, available_timezones
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.functions.barrier import sealed
+from shutterlake.sources.tables import materialize
 
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 DAY_MS = 86_400_000
-#: No real instant lies before the first or after the last of these years.
-FIRST_YEAR, LAST_YEAR = 2010, 2030
+#: No real instant lies before the first or after the last of these years, unless others are given.
+YEARS = (2010, 2030)
 #: Year, month, day, hour, minute, second, fraction, half of the day, offset.
 FULL = r"^(\d{4})[:/-](\d{1,2})[:/-](\d{1,2})[T ]+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*([AaPp][Mm])?\s*([Zz]|UTC|GMT|[+-]\d{2}:?\d{2}|[+-]\d{2})?(?:\[[A-Za-z0-9_+/-]+\])?$"
 DOTTED = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})[T ]+"
@@ -49,22 +53,20 @@ def _plain(text: Column) -> Column:
     )
 
 
-def in_range(ms: Column) -> Column:
-    """``ms`` if it lies in a possible year, else null."""
-    first, last = (int((y - 1970) * 365.2425 + 0.5) for y in (FIRST_YEAR, LAST_YEAR + 1))
-    first, last = first - 2, last + 2  # days, narrowed by the year itself
-    year = F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / DAY_MS).cast("int")))
-    return F.when(ms.between(first * DAY_MS, last * DAY_MS) & year.between(FIRST_YEAR, LAST_YEAR), ms)
+def in_range(ms: Column, years: tuple[int, int] = YEARS) -> Column:
+    """``ms`` if it lies in one of ``years``, first to last, else null."""
+    first, end = (datetime(y, 1, 1, tzinfo=timezone.utc).timestamp() * 1000 for y in (years[0], years[1] + 1))
+    return F.when((ms >= F.lit(int(first))) & (ms < F.lit(int(end))), ms)
 
 
-def count_to_ms(count: Column) -> Column:
+def count_to_ms(count: Column, years: tuple[int, int] = YEARS) -> Column:
     """A count since 1970 in seconds, milli-, micro- or nanoseconds as milliseconds; null for unset, unreal or NaN."""
     count = F.when(~F.isnan(count.cast("double")), count)
     ms = F.when(count < 1e11, F.round(count * 1000)).when(count < 1e14, F.round(count)).when(count < 1e17, F.round(count / 1000)).otherwise(F.round(count / 1_000_000))
-    return in_range(F.when((count > 0) & (count < 1e20), ms).cast("bigint"))
+    return in_range(F.when((count > 0) & (count < 1e20), ms).cast("bigint"), years)
 
 
-def with_reading(df: DataFrame, column: str, out: str) -> DataFrame:
+def with_reading(df: DataFrame, column: str, out: str, years: tuple[int, int] = YEARS) -> DataFrame:
     """``df`` with ``out``, the struct (wall_ms, offset_ms, instant_ms) of a text column.
 
     ``wall_ms`` is the wall clock counted as if it were UTC, ``offset_ms`` the
@@ -98,7 +100,7 @@ def with_reading(df: DataFrame, column: str, out: str) -> DataFrame:
     wall = F.when((c("_zone") == "") | c("_offset").isNotNull(), F.unix_date("_day").cast("bigint") * DAY_MS + c("_clock"))
     count = F.when(c("_text").rlike(r"^\d{9,10}$|^\d{12,13}$|^\d{15,16}$|^\d{18,19}$"), c("_text").try_cast("double"))
     step = step.withColumn("_count", count)
-    return step.select(*keep, F.struct(sealed(wall).alias("wall_ms"), c("_offset").alias("offset_ms"), count_to_ms(c("_count")).alias("instant_ms")).alias(out))
+    return step.select(*keep, F.struct(sealed(wall).alias("wall_ms"), c("_offset").alias("offset_ms"), count_to_ms(c("_count"), years).alias("instant_ms")).alias(out))
 
 
 def offset_at(instant_ms: Column, zone: Column) -> Column:
@@ -106,7 +108,7 @@ def offset_at(instant_ms: Column, zone: Column) -> Column:
     return F.unix_millis(F.from_utc_timestamp(F.timestamp_millis(instant_ms), zone)) - instant_ms
 
 
-def with_instant(df: DataFrame, reading: str, zone: Column, near: str, out: str) -> DataFrame:
+def with_instant(df: DataFrame, reading: str, zone: Column, near: str, out: str, years: tuple[int, int] = YEARS) -> DataFrame:
     """``df`` with ``out``, the milliseconds in UTC of a reading: its count, else its offset, else its wall clock in ``zone``.
 
     A wall clock that occurs twice is the occurrence nearest to ``near`` (the
@@ -125,7 +127,7 @@ def with_instant(df: DataFrame, reading: str, zone: Column, near: str, out: str)
     later = F.abs(c("_second") - c(near)) < F.abs(c("_first") - c(near))
     local = F.when(c("_first").isNull() | F.coalesce(later, F.lit(False)), c("_second")).otherwise(c("_first"))
     step = step.withColumn("_ms", F.coalesce(c(f"{reading}.instant_ms"), wall - c(f"{reading}.offset_ms"), local))
-    return step.select(*keep, sealed(in_range(c("_ms"))).alias(out))
+    return step.select(*keep, sealed(in_range(c("_ms"), years)).alias(out))
 
 
 def known_zones(spark: SparkSession) -> DataFrame:
@@ -133,64 +135,118 @@ def known_zones(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(z,) for z in sorted(available_timezones()) if "/" in z or z == "UTC"], "zone string")
 
 
-def estimate_zones(df: DataFrame, candidates: DataFrame, source: str = "source", wall: str = "wall_ms", stored: str = "stored_ms", slack_ms: int = 300_000) -> DataFrame:
-    """The likeliest zone of each source: (source, zone, aligned, violations).
+@lru_cache(maxsize=4)
+def offset_histories(years: tuple[int, int] = YEARS) -> tuple[list[int], dict[str, list[int]], dict[str, int]]:
+    """(starts, histories, sharers): the instants (ms) at which any zone changes its offset, and each zone's offset (ms) from each start on.
 
-    ``df`` has wall clocks without offset and the instants at which the files
-    were stored. A row tells something if the two are at most 15 hours apart.
-    It violates a zone's offset history where the wall clock, read in that
-    zone, isn't within ``slack_ms`` of the stored instant, or never occurs. The
-    zone of ``candidates`` (column zone) with the fewest violations wins, ties
-    by name. Sources without such rows are absent. Rows are first counted by
-    wall hour and difference, so the candidates multiply counts, not rows.
+    Of zones that never differ in these years the first by name stands for all, ``sharers`` of them:
+    some 150 histories of some hundreds of stretches, whatever the data.
     """
-    gap = F.col(wall) - F.col(stored)
-    quarter, hour = 900_000, 3_600_000
-    near = df.where(F.col(source).isNotNull() & (F.abs(gap) <= 15 * hour)).select(
-        F.col(source), (F.floor(F.col(wall) / hour) * hour).alias("_hour"), (F.round(gap / quarter) * quarter).cast("bigint").alias("_gap"), (F.abs(gap - F.round(gap / quarter) * quarter) <= slack_ms).alias("_exact")
-    )
-    counted = near.groupBy(source, "_hour", "_gap").agg(F.count_if("_exact").alias("_fit"), F.count(F.lit(1)).alias("_n"))
-    zones = candidates.select("zone").distinct().agg(F.sort_array(F.collect_set("zone")).alias("_zones"))
-    tried = counted.join(F.broadcast(zones)).withColumn("zone", F.explode("_zones"))
-    fits = offset_at(F.col("_hour") - F.col("_gap"), F.col("zone")) == F.col("_gap")
-    scored = tried.groupBy(source, "zone").agg(F.sum(F.when(fits, F.col("_fit")).otherwise(0)).alias("aligned"), F.sum("_n").alias("_all"))
-    scored = scored.withColumn("violations", F.col("_all") - F.col("aligned"))
-    best = scored.groupBy(source).agg(F.min(F.struct("violations", "zone", "aligned")).alias("_b"))
-    return best.select(source, "_b.zone", "_b.aligned", "_b.violations")
-
+    first, end = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (years[0], years[1] + 1))
+    changes: dict[str, list[tuple[int, int]]] = {}
+    for name in sorted(z for z in available_timezones() if "/" in z and not z.startswith(("Etc/", "posix/", "right/", "SystemV/")) or z == "UTC"):
+        zone = ZoneInfo(name)
+        offset = lambda t: int(datetime.fromtimestamp(t, zone).utcoffset().total_seconds())  # noqa: B023, E731
+        steps = [(first - 2 * 86400, offset(first - 2 * 86400))]
+        for t in range(first - 2 * 86400, end + 2 * 86400, 7 * 86400):
+            low, high = t, t + 7 * 86400
+            if offset(high) != steps[-1][1]:
+                while high - low > 1:
+                    mid = (low + high) // 2
+                    low, high = (mid, high) if offset(mid) == steps[-1][1] else (low, mid)
+                steps.append((high, offset(high)))
+        changes[name] = steps
+    starts = sorted({t for steps in changes.values() for t, _ in steps})
+    out: dict[tuple[int, ...], str] = {}
+    sharers: dict[str, int] = {}
+    for name, steps in changes.items():
+        at = np.searchsorted([t for t, _ in steps], starts, side="right") - 1
+        first_name = out.setdefault(tuple(steps[k][1] * 1000 for k in at), name)
+        sharers[first_name] = sharers.get(first_name, 0) + 1
+    return [t * 1000 for t in starts], {name: list(h) for h, name in out.items()}, sharers
+
+
+def estimate_zones(df: DataFrame, candidates: list[str] | None = None, source: str = "source", wall: str = "wall_ms", stored: str = "stored_ms", slack_ms: int = 300_000, least: int = 5, years: tuple[int, int] = YEARS) -> DataFrame:
+    """The likeliest zone of each source with a reading: (source, zone, aligned, violations, rival).
 
-def assign_zones(df: DataFrame, given: DataFrame, source: str = "source", wall: str = "wall_ms", stored: str = "stored_ms") -> DataFrame:
-    """``df`` with a column zone: the source's given zone, else the estimated one.
+    ``df`` has wall clocks without offset and the instants at which the files
+    were stored. A row tells something if the two are at most 15 hours apart;
+    it violates an offset history where the wall clock, read by it, isn't within
+    ``slack_ms`` of the stored instant. The zone with the fewest violations
+    wins (on ties the history that more zones share, then the name), of all zones there are unless ``candidates`` are given;
+    zones with one history are one, named by the first of them (of the candidates, if given).
+    ``zone`` is null, as nothing is sure then, if fewer than ``least`` rows
+    align, or not more than don't, or if histories that align as well would
+    read any of the source's wall clocks otherwise. ``rival`` is the best other
+    history's aligned rows.
+    Rows are counted by stretch of time and difference first, so what meets the
+    histories doesn't grow with the rows.
+    """
+    starts, histories, sharers = offset_histories(years)
+    if candidates is not None:
+        named: dict[str, list[int]] = {}
+        seen: set[tuple[int, ...]] = set()
+        for name in sorted(set(candidates) & available_timezones()):
+            zone = ZoneInfo(name)
+            own = tuple(int(datetime.fromtimestamp(t / 1000, zone).utcoffset().total_seconds()) * 1000 for t in starts)
+            if own not in seen:
+                seen.add(own)
+                named[name] = list(own)
+        histories = named
+    table = df.sparkSession.createDataFrame([(z, sharers.get(z, 1), k, o) for z, h in histories.items() for k, o in enumerate(h)], "zone string, _sharers int, _stretch int, _gap bigint")
+    stretch = F.pandas_udf(lambda at: pd.Series(np.searchsorted(starts, at.to_numpy(), side="right").astype("int32") - 1), "int")
+    gap, quarter = F.col(wall) - F.col(stored), 900_000
+    near = df.where(F.col(source).isNotNull() & (F.abs(gap) <= 15 * 3_600_000)).select(source, (F.round(gap / quarter) * quarter).cast("bigint").alias("_gap"), gap.alias("_apart"), F.col(wall).alias("_wall"))
+    near = near.withColumn("_exact", F.abs(F.col("_apart") - F.col("_gap")) <= slack_ms)
+    counted = near.groupBy(source, stretch(F.col("_wall") - F.col("_gap")).alias("_stretch"), "_gap").agg(F.count_if("_exact").alias("_fit"), F.count(F.lit(1)).alias("_n"))
+    counted = materialize(counted, "gaps")
+    every = counted.groupBy(source).agg(F.sum("_n").alias("_all"))
+    fits = counted.join(F.broadcast(table), ["_stretch", "_gap"]).groupBy(source, "zone").agg(F.sum("_fit").alias("aligned"), F.first("_sharers").alias("_sharers"))
+    fits = materialize(fits, "aligned")
+    # the two best histories of a source: at most as many rows a source as there are histories
+    best = fits.groupBy(source).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("aligned")).alias("n"), (-F.col("_sharers")).alias("s"), "zone"))), 1, 2).alias("_b"))
+    # those that align equally well, and whether they read all wall clocks of the source alike
+    tied = fits.join(fits.groupBy(source).agg(F.max("aligned").alias("aligned")), [source, "aligned"], "left_semi").select(source, "zone")
+    held = df.where(F.col(source).isNotNull() & F.col(wall).isNotNull()).groupBy(source, stretch(F.col(wall)).alias("_stretch")).agg(F.count(F.lit(1)).alias("_walls"))
+    read = tied.join(held, source).join(F.broadcast(table.drop("_sharers")), ["zone", "_stretch"]).groupBy(source, "zone").agg(F.sum(F.shiftright(F.xxhash64("_stretch", "_gap"), 12)).alias("_read"))
+    ways = read.groupBy(source).agg(F.count_distinct("_read").alias("_ways"))
+    out = every.join(best, source, "left").join(ways, source, "left").withColumn("aligned", F.coalesce(-F.get("_b", F.lit(0))["n"], F.lit(0))).withColumn("violations", F.col("_all") - F.col("aligned"))
+    sure = (F.col("aligned") >= least) & (F.col("aligned") > F.col("violations")) & (F.coalesce("_ways", F.lit(0)) == 1)
+    return out.select(source, F.when(sure, F.get("_b", F.lit(0))["zone"]).alias("zone"), "aligned", "violations", F.coalesce(-F.get("_b", F.lit(1))["n"], F.lit(0)).alias("rival"))
+
+
+def assign_zones(df: DataFrame, given: DataFrame, source: str = "source", wall: str = "wall_ms", stored: str = "stored_ms", years: tuple[int, int] = YEARS) -> DataFrame:
+    """``df`` with a column zone: the source's given zone, else the estimated one, else null (its wall clocks then denote nothing).
 
     ``given`` has one row for each source (``source``, zone); a null or unknown
-    name there means that the zone is to be estimated among the given ones.
+    name there, or no row, means that the zone is to be estimated among all zones.
     """
     names = known_zones(df.sparkSession)
     told = given.select(source, "zone").join(F.broadcast(names.withColumn("_ok", F.lit(True))), "zone", "left").select(source, F.when(F.col("_ok"), F.col("zone")).alias("_given"))
     told = told.where(F.col(source).isNotNull()).groupBy(source).agg(F.max("_given").alias("_given"))
-    unknown = df.join(told.where("_given is not null"), source, "left_anti")
-    guessed = estimate_zones(unknown, told.select(F.col("_given").alias("zone")).where("zone is not null"), source, wall, stored).select(source, F.col("zone").alias("_guess"))
+    unknown = df.where(F.col(wall).isNotNull()).join(told.where("_given is not null"), source, "left_anti")
+    guessed = estimate_zones(unknown, None, source, wall, stored, years=years).select(source, F.col("zone").alias("_guess"))
     return df.join(told, source, "left").join(guessed, source, "left").withColumn("zone", F.coalesce("_given", "_guess")).drop("_given", "_guess")
 
 
-def normalise_timestamps(records: DataFrame, given: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
-    """(field_name, key, utc_ms): one row for each value that denotes an instant.
+def normalise_timestamps(records: DataFrame, given: DataFrame, fields: dict[str, tuple[str, str]], years: tuple[int, int] = YEARS) -> DataFrame:
+    """(field_name, key, utc_ms): one row for each value that denotes an instant, none outside ``years``.
 
     ``records`` has key, source, stored (a count since 1970 in any unit) and the
     columns of ``fields``: name -> (column, rule). The rule is 'count', 'utc'
     (a wall clock without zone is UTC) or 'local' (it is the source's).
     """
-    stored = records.withColumn("_stored_ms", count_to_ms(F.col("stored")))
+    stored = records.withColumn("_stored_ms", count_to_ms(F.col("stored"), years))
     out = []
     for name, (column, rule) in fields.items():
         part = stored.where(F.col(column).isNotNull()).select("key", "source", "_stored_ms", F.col(column).alias("_value"))
         if rule == "count":
-            part = part.withColumn("utc_ms", sealed(count_to_ms(F.col("_value"))))
+            part = part.withColumn("utc_ms", sealed(count_to_ms(F.col("_value"), years)))
         else:
-            part = with_reading(part, "_value", "_read")
+            part = with_reading(part, "_value", "_read", years)
             if rule == "local":
                 part = part.withColumn("_wall_ms", F.when(F.col("_read.offset_ms").isNull(), F.col("_read.wall_ms")))
-                part = assign_zones(part, given, "source", "_wall_ms", "_stored_ms")
-            part = with_instant(part, "_read", F.col("zone") if rule == "local" else F.lit("UTC"), "_stored_ms", "utc_ms")
+                part = assign_zones(part, given, "source", "_wall_ms", "_stored_ms", years)
+            part = with_instant(part, "_read", F.col("zone") if rule == "local" else F.lit("UTC"), "_stored_ms", "utc_ms", years)
         out.append(part.where(F.col("utc_ms").isNotNull()).select(F.lit(name).alias("field_name"), "key", "utc_ms"))
     return reduce(DataFrame.unionByName, out)

@@ -24,14 +24,31 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("field_name", F.col("key").alias("file_id"), "utc_ms")
 
 
-def p4_zones(spark: SparkSession, d: str) -> DataFrame:
-    """Each library's zone as its wall clocks and mtimes alone tell it, beside the zone it is given."""
-    libraries = table(spark, d, "libraries").select(F.col("library_id").alias("source"), F.col("tz_name"))
+def _library_walls(spark: SparkSession, d: str) -> DataFrame:
+    """(source, wall_ms, stored_ms) of every date without zone."""
     files = current_records(table(spark, d, "file_cache"), "file_id", "analyzed_at", ["library_id", "mtime", "date_taken"])
     read = with_reading(files, "date_taken", "r").select(F.col("library_id").alias("source"), "r", count_to_ms(F.col("mtime")).alias("stored_ms"))
-    wall = read.where("r.offset_ms is null and r.wall_ms is not null").select("source", "r.wall_ms", "stored_ms")
-    guessed = estimate_zones(wall, libraries.select(F.col("tz_name").alias("zone")))
-    return libraries.join(guessed, "source", "left").select(F.col("source").alias("library_id"), "tz_name", F.col("zone").alias("estimated_zone"), "aligned", "violations")
+    return read.where("r.offset_ms is null and r.wall_ms is not null").select("source", "r.wall_ms", "stored_ms")
+
+
+def p4_zones(spark: SparkSession, d: str) -> DataFrame:
+    """Each library's zone as its wall clocks and mtimes alone tell it (null if they don't), and whether every wall clock means the same instant in it as in the zone that is given."""
+    libraries = table(spark, d, "libraries").select(F.col("library_id").alias("source"), "tz_name")
+    walls = materialize(_library_walls(spark, d), "walls")
+    guessed = libraries.join(estimate_zones(walls), "source", "left")
+    both = walls.join(F.broadcast(guessed.select("source", "tz_name", "zone")), "source")
+    instant = lambda z: F.to_utc_timestamp(F.timestamp_millis("wall_ms"), F.col(z))
+    same = both.where("zone is not null").groupBy("source").agg(F.every(instant("zone") == instant("tz_name")).alias("agrees"))
+    return guessed.join(same, "source", "left").select(F.col("source").alias("library_id"), "tz_name", F.col("zone").alias("estimated_zone"), F.coalesce("aligned", F.lit(0)).alias("aligned"), F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("rival", F.lit(0)).alias("rival"), "agrees")
+
+
+def p4_hidden(spark: SparkSession, d: str) -> DataFrame:
+    """Every date_taken brought to an instant without looking at any library's zone: by the estimated ones."""
+    files = current_records(table(spark, d, "file_cache"), "file_id", "analyzed_at", ["library_id", "mtime", "date_taken"])
+    files = files.select(F.col("file_id").alias("key"), F.col("library_id").alias("source"), F.col("mtime").alias("stored"), "date_taken")
+    hidden = table(spark, d, "libraries").select(F.col("library_id").alias("source"), F.lit(None).cast("string").alias("zone"))
+    found = normalise_timestamps(materialize(files, "dates"), hidden, {"date_taken": ("date_taken", "local")})
+    return found.select("field_name", F.col("key").alias("file_id"), "utc_ms")
 
 
 def located_files(spark: SparkSession, d: str) -> DataFrame:

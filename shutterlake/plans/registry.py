@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **review.QUERIES,
     "p4_found": found.p4_found,
     "p4_zones": found.p4_zones,
+    "p4_hidden": found.p4_hidden,
     "p5_found": found.p5_found,
 }
 SQL: dict[str, str] = {**sql.SQL, **layers.SQL, **placing.SQL, **review.SQL}

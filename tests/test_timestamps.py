@@ -70,7 +70,7 @@ def test_zone_estimation_recovers_a_hidden_zone(spark, zone):
         late = 0 if k % 3 else 40 * 86_400  # a third is stored long after
         data.append(("a", int(local.timestamp() * 1000), (instant + late) * 1000))
     df = spark.createDataFrame(data, "source string, wall_ms bigint, stored_ms bigint")
-    best = estimate_zones(df, spark.createDataFrame([(z,) for z in candidates], "zone string")).collect()
+    best = estimate_zones(df, list(candidates)).collect()
     assert [(r["zone"], r["violations"]) for r in best] == [(zone, 0)]
 
 
@@ -85,3 +85,25 @@ def test_empty_table_and_clashing_names(spark):
     zones = spark.createDataFrame([], "source int, zone string")
     assert normalise_timestamps(empty, zones, {"t": ("text", "local")}).count() == 0
     assert with_reading(empty, "text", "r").count() == 0
+
+
+def test_hidden_zones_of_the_libraries_are_found_or_reported_unknown(spark):
+    """No library's zone is read wrongly; dates of those that can't be told are left out, all others equal those by the given zones."""
+    from shutterlake.plans import found
+
+    d = "/root/testdata/sf0.1"
+    zones = found.p4_zones(spark, d).toPandas()
+    assert zones["agrees"].dropna().all() and zones["estimated_zone"].notna().sum() >= 50
+    unknown = [int(x) for x in zones[zones["estimated_zone"].isna()]["library_id"]]
+    files = spark.read.parquet(f"{d}/file_cache.parquet").where(~F.col("library_id").isin(unknown)).select("file_id").distinct()
+    given = found.p4_found(spark, d).where("field_name = 'date_taken'").join(files, "file_id", "left_semi")
+    hidden = found.p4_hidden(spark, d).join(files, "file_id", "left_semi")
+    assert given.exceptAll(hidden.select(*given.columns)).count() == hidden.select(*given.columns).exceptAll(given).count() == 0
+
+
+def test_equally_likely_zones_are_unknown_unless_they_read_alike(spark):
+    summer = [(s, ms(2021, 7, d, 12), ms(2021, 7, d, 16)) for s in ("a", "b") for d in range(1, 20)]
+    winter = [("b", ms(2021, 1, d, 12), ms(2025, 1, d, 12)) for d in range(1, 5)]
+    df = spark.createDataFrame([(s, int(w), int(i)) for s, w, i in summer + winter], "source string, wall_ms bigint, stored_ms bigint")
+    got = {r["source"]: r["zone"] for r in estimate_zones(df).collect()}
+    assert got["a"] is not None and got["b"] is None
