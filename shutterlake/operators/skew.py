@@ -33,17 +33,19 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     return None if exact.isEmpty() else exact
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], rows_per_salt: int = 20_000, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], rows_per_salt: int = 20_000, how: str = "inner", hot: DataFrame | None | str = "count") -> DataFrame:
     """Join in which a key with many right rows is split into salts; ``how`` is 'inner' or 'right' (a right row without a left one stays, its left columns null).
 
     Right rows of a hot key (see :func:`hot_keys`) are dealt over ``ceil(rows /
     rows_per_salt)`` salts and the key's left rows are copied to each of them,
     so no task holds more than about ``rows_per_salt`` right rows of one key.
-    Without a hot key this is the plain join, with nothing added but the count.
+    Without a hot key this is the plain join, with nothing added but the count;
+    ``hot`` may be given where it is known already (keys and rows, or null for none).
     Nothing is dropped: the result equals the plain join. Null keys match
     nothing. Column names other than the keys must differ.
     """
-    hot = hot_keys(right, keys, rows_per_salt)
+    if isinstance(hot, str):
+        hot = hot_keys(right, keys, rows_per_salt)
     if hot is None:
         return left.join(right, keys, how)
     salts = hot.select(*keys, F.ceil(F.col("rows") / rows_per_salt).cast("int").alias("_salts"))
