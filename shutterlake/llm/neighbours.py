@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.digests import hash64
@@ -22,19 +22,17 @@ from shutterlake.sources.tables import materialize
 Decoder = Callable[[pd.Series], tuple[np.ndarray, np.ndarray]]
 
 
+def vector_bytes(col: Column, size: int = 64) -> Column:
+    """The bytes of a hex text of ``size`` half floats; null for any other text."""
+    text = F.regexp_replace(col, r"^[\x00\s]+|[\x00\s]+$", "")
+    return F.when(text.rlike(f"^[0-9a-fA-F]{{{4 * size}}}$"), F.unhex(text))
+
+
 def half_floats(column: pd.Series, size: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(usable, unit rows) of hex texts of little-endian half floats; unusable unless exactly ``size`` finite numbers, not all zero."""
-    rows, usable = [], np.zeros(len(column), bool)
-    for k, text in enumerate(column):
-        try:
-            raw = bytes.fromhex(text.strip("\x00 \t\r\n")) if isinstance(text, str) else b""
-        except ValueError:
-            continue
-        if len(raw) == 2 * size:
-            rows.append(raw)
-            usable[k] = True
-    matrix = np.frombuffer(b"".join(rows), "<f2").reshape(-1, size).astype(np.float64)
-    norm = np.sqrt((matrix * matrix).sum(1))
+    """(usable, unit rows) of little-endian half floats, ``size`` a row (see :func:`vector_bytes`); unusable unless all are finite and some isn't zero."""
+    usable = column.notna().to_numpy()
+    matrix = np.frombuffer(b"".join(column[usable]), "<f2").reshape(-1, size).astype(np.float32)
+    norm = np.sqrt((matrix.astype(np.float64) ** 2).sum(1))
     good = np.isfinite(norm) & (norm > 0)
     usable[np.flatnonzero(usable)[~good]] = False
     return usable, (matrix[good] / norm[good, None]).astype(np.float32)
@@ -54,8 +52,8 @@ def both_hashes(phash: str = "phash", dhash: str = "dhash"):
 
 
 def pivot_count(rows: int) -> int:
-    """About the square root of the rows, so that files grow no faster than it; at most 4096, which bounds what tasks receive."""
-    return int(min(4096, max(32, round(rows**0.5))))
+    """About the square root of the rows, so that files grow no faster than it; at most 16,384 (4 MB), which bounds what tasks receive."""
+    return int(min(16_384, max(32, round(rows**0.5))))
 
 
 def nearest(vectors: DataFrame, k: int, decode: Decoder, prefix: int = 16, posted: int = 3, probed: int = 24, reranked: int = 400, rows_per_task: int = 20_000) -> DataFrame:
@@ -66,13 +64,13 @@ def nearest(vectors: DataFrame, k: int, decode: Decoder, prefix: int = 16, poste
     take part in nothing. Equal similarities go by id. ``prefix`` pivots make an
     order, a vector is posted under ``posted`` of them, a query reads ``probed``
     files and reranks ``reranked`` of each and all that tie with the last. The
-    pivots come from a sample of some four rows a pivot, drawn by id.
+    pivots come from a sample of some two rows a pivot, drawn by id.
     """
     source = vectors.where("id is not null and code is not null").select("id", "code", F.coalesce("asked", F.lit(False)).alias("asked"))
     rows = source.count()
     count = pivot_count(rows)
-    every = max(1, rows // (4 * count))
-    sample = source.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id", "code").limit(8 * count).toPandas().sort_values("id")
+    every = max(1, rows // (2 * count))
+    sample = source.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id", "code").limit(4 * count).toPandas().sort_values("id")
     _, drawn = decode(sample["code"].drop_duplicates())
     pivots = drawn[:count]
     empty = "query_id bigint, id bigint, similarity double"
@@ -83,8 +81,9 @@ def nearest(vectors: DataFrame, k: int, decode: Decoder, prefix: int = 16, poste
 
     def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
-            for start in range(0, len(whole), 4000):
-                frame = whole.iloc[start : start + 4000]
+            step = max(1, 16_000_000 // len(pivots))
+            for start in range(0, len(whole), step):
+                frame = whole.iloc[start : start + step]
                 usable, rows = decode(frame["code"])
                 if not usable.any():
                     continue

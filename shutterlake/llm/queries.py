@@ -15,7 +15,7 @@ from shutterlake.llm.components import close_hashes, components, star_edges
 from shutterlake.llm.history import HistoryStore, signatures
 from shutterlake.llm.leaks import leaks, without_leaks
 from shutterlake.llm.mixing import mix, shares
-from shutterlake.llm.neighbours import both_hashes, half_floats, hash_signs, nearest
+from shutterlake.llm.neighbours import both_hashes, half_floats, hash_signs, nearest, vector_bytes
 from shutterlake.llm.quality import text_quality
 from shutterlake.llm.survivors import Field, survivors, undisputed
 from shutterlake.operators.records import current_records
@@ -60,9 +60,9 @@ def replay(store: HistoryStore, files: DataFrame, plans: DataFrame, arrivals: in
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The 5 most similar other pictures of each query file, by embedding and by hashes."""
     asked = table(spark, d, "knn_queries").where("file_id is not null").select("file_id").distinct().withColumn("asked", F.lit(True))
-    files = _files(spark, d, ["embedding", "phash", "dhash"]).join(F.broadcast(asked) if asked.count() < 100_000 else asked, "file_id", "left")
+    files = materialize(_files(spark, d, ["embedding", "phash", "dhash"]), "vectors").join(F.broadcast(asked) if asked.count() < 100_000 else asked, "file_id", "left")
     out = []
-    for measure, code, decode in (("embedding", F.col("embedding"), half_floats), ("hash", both_hashes(), hash_signs)):
+    for measure, code, decode in (("embedding", vector_bytes(F.col("embedding")), half_floats), ("hash", both_hashes(), hash_signs)):
         found = nearest(files.select(F.col("file_id").alias("id"), code.alias("code"), "asked"), 5, decode)
         out.append(found.select(F.lit(measure).alias("measure"), F.least("query_id", "id").alias("file_a"), F.greatest("query_id", "id").alias("file_b")))
     return out[0].unionByName(out[1]).distinct()
@@ -83,7 +83,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pixels = F.when((F.col("width") > 0) & (F.col("height") > 0), F.col("width").cast("bigint") * F.col("height")).otherwise(0)
     members = _members(spark, d, ["width", "height", "has_exif", "size"]).select("group", "id", "analyzed_at", pixels.alias("pixels"), F.coalesce("has_exif", F.lit(0)).cast("bigint").alias("exif"), F.coalesce("size", F.lit(0)).alias("bytes"))
     fields = [_best("pixels"), _best("exif"), _best("bytes")]
-    built = survivors(members, fields, F.lit(1.0), F.lit(0.0))
+    members = materialize(members, "members")
+    newest = members.groupBy("group").agg(F.max("analyzed_at").alias("newest"))
+    aged = salted_join(newest, members, ["group"])
+    built = survivors(aged, fields, F.when(F.col("pixels") > 0, 1.0).otherwise(0.25), (F.col("newest") - F.col("analyzed_at")) / 86400)
     return undisputed(members, built, [f.name for f in fields]).select(F.col("group").alias("group_id"), F.col("id").alias("file_id"))
 
 
@@ -97,8 +100,9 @@ def p3_golden(spark: SparkSession, d: str) -> DataFrame:
         Field("size", real("size"), "bigint", rank=F.col("size")), Field("camera_make", F.trim("camera_make"), "string", norm=tidy("camera_make")),
         Field("camera_model", F.trim("camera_model"), "string", norm=tidy("camera_model")), Field("img_format", F.trim("img_format"), "string", norm=tidy("img_format")),
     ]
+    members = materialize(members, "members")
     newest = members.groupBy("group").agg(F.max("analyzed_at").alias("newest"), F.count(F.lit(1)).alias("members"))
-    aged = members.join(newest.select("group", "newest"), "group")
+    aged = salted_join(newest.select("group", "newest"), members, ["group"])
     built = survivors(aged, fields, F.when(F.col("decode_error").isNull(), 1.0).otherwise(0.25), (F.col("newest") - F.col("analyzed_at")) / 86400)
     return built.join(newest.select("group", "members"), "group").withColumnRenamed("group", "group_id")
 
@@ -107,7 +111,8 @@ def record_links(spark: SparkSession, d: str) -> DataFrame:
     """(u, v): links between current records by a match of their paths, equal sha256, or phash at most 2 bits apart; hot values as stars."""
     files = materialize(_files(spark, d, ["path", "sha256", "phash"]).select(F.col("file_id").alias("node"), same_path(F.col("path")).alias("path"), digest(F.col("sha256")).alias("sha"), hash64(F.col("phash")).alias("phash")), "nodes")
     pairs = table(spark, d, "match_pairs").where("verdict = 'match'").select(same_path(F.col("left_path")).alias("a"), same_path(F.col("right_path")).alias("b")).distinct()
-    left = salted_join(files.where("path is not null").select(F.col("path").alias("a"), F.col("node").alias("u")), pairs, ["a"])
+    left = salted_join(files.where("path is not null").select(F.col("path").alias("a"), F.col("node").alias("u")), materialize(pairs, "pairs"), ["a"])
+    left = materialize(left, "half-named")
     named = salted_join(files.where("path is not null").select(F.col("path").alias("b"), F.col("node").alias("v")), left, ["b"]).select("u", "v")
     equal = files.select("node", F.explode(F.array(F.col("sha"), F.lower(F.hex("phash")))).alias("value"))
     return named.unionByName(star_edges(equal, ["value"])).unionByName(close_hashes(files, "phash", "node"))

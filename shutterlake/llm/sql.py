@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from shutterlake.plans.sql import vector
+
 CURRENT = """
 current AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY analyzed_at DESC) AS rn FROM file_cache WHERE file_id IS NOT NULL) WHERE rn = 1)
 """
@@ -25,7 +27,32 @@ _GOLDEN = {
 _LONG = " UNION ALL ".join(f"SELECT grp, w, '{n}' AS field, {v} AS value, {k or v} AS norm, ({r})::DOUBLE AS rnk FROM aged" for n, (v, k, r, _) in _GOLDEN.items())
 _BACK = ", ".join(f"max(CASE WHEN field = '{n}' THEN value END)::{t} AS {n}" for n, (_, _, _, t) in _GOLDEN.items())
 
+_VECTOR = vector("trim(embedding, chr(0) || chr(9) || chr(10) || chr(13) || ' ')")
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1] * p[2]))"
+
+
+def _words(c: str) -> str:
+    return f"regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _windows(table: str, ident: str) -> str:
+    return f"SELECT DISTINCT {ident}, array_to_string(w[i:i + 11], ' ') AS gram FROM (SELECT {ident}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {ident}, {_words('text')} AS w FROM {table} WHERE {ident} IS NOT NULL AND text IS NOT NULL) WHERE len(w) >= 12)"
+
+
 SQL: dict[str, str] = {
+    "p2_found": f"""
+WITH {CURRENT},
+asked AS (SELECT DISTINCT file_id FROM knn_queries WHERE file_id IS NOT NULL),
+vectors AS (SELECT file_id, v, sqrt({_DOT.format('v', 'v')}) AS size FROM (SELECT file_id, {_VECTOR} AS v FROM current) WHERE len(v) = 64),
+alike AS (SELECT x.file_id AS a, y.file_id AS b, round({_DOT.format('x.v', 'y.v')} / (x.size * y.size), 9) AS near FROM asked JOIN vectors x USING (file_id) JOIN vectors y ON y.file_id <> x.file_id WHERE x.size > 0 AND y.size > 0),
+hashes AS (SELECT file_id, {_hash('phash')} AS ph, {_hash('dhash')} AS dh FROM current),
+apart AS (SELECT x.file_id AS a, y.file_id AS b, -(bit_count(xor(x.ph, y.ph)) + bit_count(xor(x.dh, y.dh)))::INT AS near FROM asked JOIN hashes x USING (file_id) JOIN hashes y ON y.file_id <> x.file_id WHERE x.ph IS NOT NULL AND x.dh IS NOT NULL AND y.ph IS NOT NULL AND y.dh IS NOT NULL),
+top AS (SELECT 'embedding' AS measure, a, b FROM alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY near DESC, b) <= 5 UNION ALL SELECT 'hash', a, b FROM apart QUALIFY row_number() OVER (PARTITION BY a ORDER BY near DESC, b) <= 5)
+SELECT DISTINCT measure, least(a, b) AS file_a, greatest(a, b) AS file_b FROM top
+""",
+    "p7_found": f"""
+WITH d AS ({_windows('documents', 'doc_id')}), e AS ({_windows('eval_items', 'item_id')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (gram)
+""",
     "p1_found": f"""
 WITH {CURRENT},
 accepted AS (
@@ -61,7 +88,7 @@ GROUP BY m.group_id HAVING count(*) = 1
     "p3_golden": f"""
 WITH {CURRENT},
 members AS (SELECT DISTINCT m.group_id AS grp, c.file_id, analyzed_at, width, height, has_exif, size, camera_make, camera_model, img_format, decode_error FROM group_members m JOIN current c ON c.file_id = m.file_id WHERE m.group_id IS NOT NULL),
-aged AS (SELECT *, floor((CASE WHEN decode_error IS NULL THEN 1000000 ELSE 250000 END) / pow(2, least(20, greatest(0, floor((max(analyzed_at) OVER (PARTITION BY grp) - analyzed_at) / 86400 / 180)))))::BIGINT AS w FROM members),
+aged AS (SELECT *, round((CASE WHEN decode_error IS NULL THEN 1000000 ELSE 250000 END)::DOUBLE * pow(2.0, -((max(analyzed_at) OVER (PARTITION BY grp) - analyzed_at) / 86400 / 180.0::DOUBLE)))::BIGINT AS w FROM members),
 long AS ({_LONG}),
 counted AS (SELECT grp, field, norm, max(value) AS value, max(rnk) AS rnk, sum(w) AS votes, count(*) AS n FROM long WHERE norm IS NOT NULL GROUP BY grp, field, norm),
 best AS (SELECT *, row_number() OVER (PARTITION BY grp, field ORDER BY rnk DESC NULLS LAST, votes DESC, n DESC, norm DESC) AS k FROM counted),

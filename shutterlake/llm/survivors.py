@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shutterlake.operators.skew import salted_join
+
 
 @dataclass(frozen=True)
 class Field:
@@ -33,13 +35,13 @@ class Field:
 def votes(members: DataFrame, fields: list[Field], trust: Column, age_days: Column, half_life_days: float = 180.0) -> DataFrame:
     """(group, field, norm, value, rank, votes, n): the votes of every value of every field; missing values don't vote.
 
-    A vote is ``trust`` (0 to 1) in millionths, halved for each full half-life
-    of age; integers, so that sums don't depend on their order. Among spellings
+    A vote is ``trust`` (0 to 1) in millionths, halved for each half-life of age
+    and in between by the fraction (an unknown age counts as infinite, one below
+    0 as 0); integers, so that sums don't depend on their order. Among spellings
     of one normalised value the greatest text stands for it.
     """
-    halvings = F.least(F.lit(20), F.greatest(F.lit(0), F.floor(F.coalesce(age_days, F.lit(1e9)) / half_life_days))).cast("int")
-    weight = F.round(F.coalesce(trust, F.lit(0.0)) * 1_000_000)
-    weight = F.floor(weight / F.pow(F.lit(2.0), halvings)).cast("bigint")
+    halvings = F.greatest(F.lit(0.0), F.coalesce(age_days.cast("double"), F.lit(1e9)) / half_life_days)
+    weight = F.round(F.coalesce(trust, F.lit(0.0)) * 1_000_000 * F.pow(F.lit(2.0), -halvings)).cast("bigint")
     rows = [
         F.struct(F.lit(f.name).alias("field"), f.value.cast("string").alias("value"), (f.value.cast("string") if f.norm is None else f.norm).alias("norm"), (F.lit(None) if f.rank is None else f.rank).cast("double").alias("rank"))
         for f in fields
@@ -64,10 +66,10 @@ def survivors(members: DataFrame, fields: list[Field], trust: Column, age_days:
 
 def undisputed(members: DataFrame, built: DataFrame, fields: list[str]) -> DataFrame:
     """(group, id): groups of two members or more in which exactly one member has every winning value."""
-    same = [F.col(f"b.{f}").eqNullSafe(F.col(f"m.{f}")) for f in fields]
+    same = [F.col(f"won_{f}").eqNullSafe(F.col(f)) for f in fields]
     hit = same[0]
     for x in same[1:]:
         hit = hit & x
-    held = members.alias("m").join(built.alias("b"), F.col("m.group") == F.col("b.group")).groupBy(F.col("m.group").alias("group"))
-    held = held.agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("m.id"))).alias("id"))
+    held = salted_join(built.select("group", *[F.col(f).alias(f"won_{f}") for f in fields]), members.select("group", "id", *fields), ["group"])
+    held = held.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("id"))).alias("id"))
     return held.where("n >= 2 and hits = 1").select("group", "id")

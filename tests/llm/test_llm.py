@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from shutterlake.llm import queries
 from shutterlake.llm.components import close_hashes, components, star_edges
 from shutterlake.llm.history import HistoryStore, block_keys, signatures
-from shutterlake.llm.leaks import _leaks_by_join, leaks, placed_words, without_leaks, words_of
+from shutterlake.llm.leaks import leaks, placed_words, without_leaks, words_of
 from shutterlake.llm.mixing import mix, shares
-from shutterlake.llm.neighbours import both_hashes, half_floats, hash_signs, nearest
+from shutterlake.llm.neighbours import both_hashes, half_floats, hash_signs, nearest, vector_bytes
 from shutterlake.llm.quality import Lexicon, State, chunks, learn_lexicon, outcome, text_quality
 from shutterlake.llm.survivors import Field, survivors, undisputed
 from tests.helpers import DATA, canonical, duck, rows
@@ -172,7 +172,7 @@ def test_recall_against_brute_force(spark, measure):
         centres = rng.normal(size=(250, 64))
         data = np.concatenate([c + rng.normal(size=(8, 64)) * 0.35 for c in centres]).astype("<f2")
         unit = data.astype(float) / np.linalg.norm(data.astype(float), axis=1, keepdims=True)
-        frame, decode, code = pd.DataFrame({"id": np.arange(len(data)), "a": [_hex(v) for v in data]}), half_floats, F.col("a")
+        frame, decode, code = pd.DataFrame({"id": np.arange(len(data)), "a": [_hex(v) for v in data]}), half_floats, vector_bytes(F.col("a"))
     else:
         centres = rng.integers(0, 2, (250, 128))
         data = np.concatenate([np.where(rng.random((8, 128)) < 0.06, 1 - c, c) for c in centres])
@@ -180,7 +180,7 @@ def test_recall_against_brute_force(spark, measure):
         packed = np.packbits(data.astype(np.uint8), axis=1)
         frame, decode, code = pd.DataFrame({"id": np.arange(len(data)), "a": [bytes(p[:8]).hex() for p in packed], "b": [bytes(p[8:]).hex() for p in packed]}), hash_signs, both_hashes("a", "b")
     df = spark.createDataFrame(frame).select("id", code.alias("code"), (F.col("id") % 10 == 0).alias("asked"))
-    got = nearest(df, 5, decode).toPandas()
+    got = nearest(df, 5, decode, probed=12, reranked=30).toPandas()  # files of some 130 rows: most of what is posted isn't reranked
     sims = np.round(unit @ unit.T, 9)
     np.fill_diagonal(sims, -np.inf)
     hit = total = 0
@@ -196,11 +196,11 @@ def test_recall_against_brute_force(spark, measure):
 def test_malformed_vectors_take_no_part(spark):
     good = [_hex([k + 1] + [1] * 63) for k in range(8)]
     bad = ["", "zz", None, _hex([0] * 64), _hex([float("nan")] * 64), _hex([1] * 32), _hex([float("inf")] + [1] * 63)]
-    df = spark.createDataFrame([(k, c, True) for k, c in enumerate(good + bad)], "id bigint, code string, asked boolean")
+    df = spark.createDataFrame([(k, c, True) for k, c in enumerate(good + bad)], "id bigint, code string, asked boolean").withColumn("code", vector_bytes(F.col("code")))
     got = nearest(df, 3, half_floats).toPandas()
     assert set(got.query_id) == set(got["id"]) == set(range(8)) and len(got) == 24
     assert nearest(df.limit(0), 3, half_floats).count() == 0
-    same = spark.createDataFrame([(k, good[0], k == 5) for k in range(2000)], "id bigint, code string, asked boolean")
+    same = spark.createDataFrame([(k, good[0], k == 5) for k in range(2000)], "id bigint, code string, asked boolean").withColumn("code", vector_bytes(F.col("code")))
     tied = nearest(same, 3, half_floats, rows_per_task=300).toPandas()
     assert sorted(tied["id"]) == [0, 1, 2]
 
@@ -223,8 +223,11 @@ def test_votes_by_trust_and_age(spark):
 # 6. components
 
 
-@pytest.mark.parametrize("base", [0, 5000])
-def test_components(spark, base):
+@pytest.mark.parametrize("salt", [20, 20_000])
+def test_components(spark, monkeypatch, salt):
+    from shutterlake.llm import components as module
+
+    monkeypatch.setattr(module, "ROWS_PER_SALT", salt)
     rng = random.Random(1)
     chain = [(k, k + 1) for k in range(1, 400)]
     star = [(1000, k) for k in range(1001, 1300)]
@@ -241,9 +244,10 @@ def test_components(spark, base):
         if u is not None and u != v:
             a, b = find(u), find(v)
             parent[max(a, b)] = min(a, b)
-    got = dict(components(spark.createDataFrame(edges, "u bigint, v bigint"), base_edges=base).collect())
+    got = dict(components(spark.createDataFrame(edges, "u bigint, v bigint"), sizes=(sizes := [])).collect())
     assert got == {x: find(x) for x in list(parent)}
-    assert components(spark.createDataFrame([], "u bigint, v bigint"), base_edges=base).count() == 0
+    assert all(b < a / 1.5 for a, b in zip(sizes, sizes[1:])) and len(sizes) > 2  # each level leaves fewer edges
+    assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
 def test_stars_and_close_hashes(spark):
@@ -268,7 +272,7 @@ def test_words_and_places():
         assert words_of(text[a:b]) == [w]
 
 
-def test_leaks_by_both_ways(spark):
+def test_leaks_in_one_pass_and_in_several(spark):
     words = [f"w{k}" for k in range(40)]
     items = [(1, " ".join(words[:20])), (2, "Ünï " + " ".join(words[20:40])), (3, "too short"), (4, None)]
     docs = [
@@ -279,7 +283,8 @@ def test_leaks_by_both_ways(spark):
     e = spark.createDataFrame(items, "item_id bigint, text string")
     want = {(1, 1), (3, 2), (6, 1), (6, 2), (7, 1)}
     assert rows(leaks(d, e).select("doc_id", "item_id")) == want
-    assert rows(_leaks_by_join(d.where("doc_id is not null and text is not null").select("doc_id", "text"), e, 12).select("doc_id", "item_id")) == want
+    whole = rows(leaks(d, e))
+    assert rows(leaks(d, e, most_chars=100)) == whole and rows(leaks(d, e, most_chars=30)) == whole  # in passes, and items in parts
     clean = {r["doc_id"]: (r["removed_words"], r["kept"], r["clean_text"]) for r in without_leaks(d, e).collect()}
     assert clean[1] == (12, False, None) and clean[7][:2] == (16, True) and clean[7][2] == "x " * 5000
     assert leaks(d.limit(0), e).count() == leaks(d, e.limit(0)).count() == 0
@@ -383,11 +388,11 @@ def test_agreement_with_raters(spark):
     assert judged >= 0.98  # raters err
 
 
-def test_leaks_are_cut_alike_by_set_and_by_join(spark):
+def test_leaks_are_cut_alike_in_one_pass_and_in_several(spark):
     item = "One two three four five six seven eight nine ten eleven twelve thirteen."
     texts = [f"Before, {item} After it come words that stay, and as many more of them as were taken out of here before.", f"{item} x", "A ONE, two three", f"Σάς ÉTÉ ½ {item.upper()} {'stay ' * 30}{item} end", "ﬁne " * 5 + item + " kept" * 20]
     documents = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(0, "another text of the same id"), (9, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, item), (2, "two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (3, None)], "item_id long, text string")
-    by_set, by_join = rows(without_leaks(documents, items)), rows(without_leaks(documents, items, most_chars=1))
-    assert by_join == by_set and {r[0] for r in by_set} == {0, 1, 3, 4}
-    assert {r[0]: r[2] for r in by_set} == {0: True, 1: False, 3: True, 4: True}
+    by_one, by_many = rows(without_leaks(documents, items)), rows(without_leaks(documents, items, most_chars=1))
+    assert by_many == by_one and {r[0] for r in by_one} == {0, 1, 3, 4}
+    assert {r[0]: r[2] for r in by_one} == {0: True, 1: False, 3: True, 4: True}
