@@ -125,6 +125,16 @@ def classify(score: Column, bands: Bands) -> Column:
     return F.when(score >= bands.visually_identical, "visually_identical").when(score >= bands.very_similar, "very_similar").when(score >= bands.similar, "similar").otherwise("different")
 
 
+def classify_threshold(percent: Column, threshold: float) -> Column:
+    """A category by one threshold: alike to the last bit, in the upper half of what the threshold leaves, or at least at it."""
+    return F.when(percent >= 100.0, "visually_identical").when(percent >= (threshold + 100.0) / 2.0, "very_similar").when(percent >= threshold, "similar").otherwise("different")
+
+
+def megapixels(width: Column, height: Column) -> Column:
+    """Millions of pixels to one place; null unless both are above 0."""
+    return F.when((width > 0) & (height > 0), rounded(width.cast("double") * height / 1_000_000))
+
+
 def classify_video(percent: Column, threshold: float, same_duration: Column) -> Column:
     return F.when((percent >= 98.0) & same_duration, "same_content_likely").when(percent >= (threshold + 100.0) / 2.0, "very_similar").when(percent >= threshold, "similar").otherwise("different")
 

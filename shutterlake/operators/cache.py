@@ -29,6 +29,27 @@ def prune(cache: DataFrame, existing: DataFrame, key: str = "path") -> DataFrame
     return cache.join(existing.select(key).distinct(), key, "left_semi")
 
 
+def pruned_count(cache: DataFrame, existing: DataFrame, key: str = "path") -> int:
+    """How many cached rows :func:`prune` takes out."""
+    return cache.join(existing.select(key).distinct(), key, "left_anti").count()
+
+
+def clear(cache: DataFrame) -> DataFrame:
+    """The cache with nothing in it."""
+    return cache.limit(0)
+
+
+def needs_work(files: DataFrame, done: str, kind: str | None = None) -> DataFrame:
+    """The files (``done`` column, error, kind) that a step has still to do: its result is missing and nothing failed before."""
+    left = files.where(F.col(done).isNull() & F.col("error").isNull())
+    return left if kind is None else left.where(F.col("kind") == kind)
+
+
+def append_operations(entries: DataFrame, store: str) -> None:
+    """Add entries (path, action, result, detail, size) to the log of operations, stamped with the time at which they are written."""
+    entries.withColumn("ts", F.current_timestamp()).write.mode("append").parquet(store)
+
+
 def recent(log: DataFrame, stamp: str, ident: str, limit: int = 500) -> DataFrame:
     """The newest operations; a top-k, never a full sort."""
     return log.orderBy(F.desc(stamp), F.desc(ident)).limit(limit)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.digests import digest, hash64
 from shutterlake.functions.geo import with_iso6709
-from shutterlake.functions.media import EXACT, base_name, category_rank, color_bins, color_similarity, confidence, extension, folder, frame_values, human_duration, human_size, kind_of, similarity_percent, wide_hash
+from shutterlake.functions.media import EXACT, base_name, category_rank, classify_threshold, color_bins, color_similarity, confidence, extension, folder, frame_values, human_duration, human_size, kind_of, megapixels, similarity_percent, wide_hash
 from shutterlake.operators import cache, grouping, placement, recommend
 from shutterlake.operators.geocode import countries_of
 from shutterlake.operators.numbering import numbered
 from shutterlake.operators.records import current_records
+from shutterlake.operators.review import label
 from shutterlake.operators.skew import salted_join
 from shutterlake.plans.found import located_files
 from shutterlake.sources.tables import materialize, table
@@ -206,7 +207,9 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _plans(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "import_plans").where("plan_id is not null").drop("duplicate_of").dropDuplicates(["plan_id"])
+    p = table(spark, d, "import_plans").where("plan_id is not null").drop("duplicate_of")
+    kept = [c for c in p.columns if c != "plan_id"]
+    p = p.groupBy("plan_id").agg(F.max(F.struct(*kept)).alias("r")).select("plan_id", "r.*")
     return p.withColumns({"sha": digest(F.col("sha256")), "pixels": digest(F.col("pixel_digest"))})
 
 
@@ -331,11 +334,35 @@ def category_review(spark: SparkSession, d: str) -> DataFrame:
 
 
 def export_rows(spark: SparkSession, d: str) -> DataFrame:
-    """One flat row for each member of each exact group, as a CSV export has it."""
+    """One flat row for each member of each exact group, as a CSV export has it; decisions are those of the older run."""
     f, members = _layers(spark, d)
     g = grouping.numbered_groups(members, f).select("key", "group_id")
-    rows = members.join(g, "key").join(f.select("file_id", "path", "size", "sha", "pixels", "phash", "width", "height"), "file_id")
-    return rows.select("group_id", "category", "path", "size", human_size(F.col("size")).alias("size_label"), F.coalesce("sha", F.lit("")).alias("sha256"), F.when(F.col("phash").isNull(), "").otherwise(F.lpad(F.lower(F.hex("phash")), 16, "0")).alias("phash"), F.col("category").isin(*EXACT).alias("exact"))
+    made = table(spark, d, "group_members").where("file_id is not null").groupBy("file_id").agg(F.max(F.struct("added_at", "decision")).alias("r")).select("file_id", "r.decision")
+    rows = members.join(g, "key").join(f.select("file_id", "path", "size", "sha", "pixels", "phash", "width", "height"), "file_id").join(made, "file_id", "left")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    size = F.when(F.col("width").isNotNull() & F.col("height").isNotNull(), F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string")))
+    return rows.select(
+        "group_id", "category", label(F.col("category")).alias("category_label"), F.lit("").alias("similarity_percent"), F.coalesce("decision", F.lit("undecided")).alias("decision"), F.lit("no").alias("deleted"), base_name(F.col("path")).alias("name"),
+        "path", "size", human_size(F.col("size")).alias("size_label"), blank(size).alias("resolution"), blank(F.col("sha")).alias("sha256"), blank(F.col("pixels")).alias("pixel_digest"),
+        F.when(F.col("phash").isNull(), "").otherwise(F.lpad(F.lower(F.hex("phash")), 16, "0")).alias("phash"), F.col("category").isin(*EXACT).alias("exact"),
+    )
+
+
+def export_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The head of a JSON export: what was scanned and what the exact groups hold."""
+    f, members = _layers(spark, d)
+    scanned = f.agg(F.count(F.lit(1)).alias("files_found"), F.count_if(F.col("kind") == "image").alias("images"), F.count_if(F.col("kind") == "video").alias("videos"), F.count_distinct(folder(F.col("path"))).alias("folders"), F.sum("size").alias("total_bytes"))
+    g = grouping.numbered_groups(members, f)
+    held = g.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("category") == "file_identical").alias("file_identical_groups"), F.count_if(F.col("category") == "pixel_identical").alias("pixel_identical_groups"), F.sum(F.col("files") - 1).alias("redundant_copies"), F.sum("reclaimable").alias("reclaimable_bytes"))
+    parts = scanned.unionByName(held, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
+
+
+def threshold_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of the older comparison by one threshold of 85 %, and the pixels of their left file."""
+    m = table(spark, d, "match_pairs").where("score is not null and not isnan(score)").select("left_path", "right_path", "score").distinct()
+    f = files(spark, d).select(F.col("path").alias("left_path"), megapixels(F.col("width"), F.col("height")).alias("megapixels"))
+    return m.join(f, "left_path", "left").select("left_path", "right_path", "score", classify_threshold(F.col("score"), 85.0).alias("category"), "megapixels")
 
 
 def export_json(spark: SparkSession, d: str) -> DataFrame:
@@ -364,6 +391,6 @@ QUERIES = {
     for f in (
         scan_stats, scan_selection, size_candidates, dimension_candidates, exact_groups, layered_groups, layered_members, rough_counters, dashboard, group_browser, hamming_pairs, hamming_members, similar_pairs, similar_clusters,
         embedding_votes, color_matches, duration_candidates, video_pairs, nearest_videos, video_groups, keep_scores, keep_recommendation, file_traits, labels, import_status, plan_summary, import_names, capture_dates, geocode,
-        folder_reuse, iso6709, cache_lookup, cache_upsert, cache_prune, history_recent, history_summary, decisions, deletion_preview, category_review, export_rows, export_json, undo_plan, phash_compare,
+        folder_reuse, iso6709, cache_lookup, cache_upsert, cache_prune, history_recent, history_summary, decisions, deletion_preview, category_review, export_rows, export_summary, export_json, threshold_categories, undo_plan, phash_compare,
     )
 }

@@ -205,10 +205,13 @@ def _fold(c: str) -> str:
 
 EXPORT = f"""
 {LAYERS},
-flat AS (SELECT group_id, m.category, path, f.size, {_human('f.size')} AS size_label, coalesce(sha, '') AS sha256, CASE WHEN phash IS NULL THEN '' ELSE lower(lpad(to_hex(phash), 16, '0')) END AS phash, true AS exact
-  FROM members m JOIN groups g ON g.key = m.key JOIN files f USING (file_id))
+made AS (SELECT file_id, arg_max(decision, (added_at, decision)) AS decision FROM group_members WHERE file_id IS NOT NULL GROUP BY file_id),
+flat AS (SELECT group_id, m.category, CASE m.category WHEN 'file_identical' THEN 'Identical file' ELSE 'Identical pixels' END AS category_label, '' AS similarity_percent, coalesce(decision, 'undecided') AS decision, 'no' AS deleted, {NAME} AS name,
+    path, f.size, {_human('f.size')} AS size_label, coalesce(width || 'x' || height, '') AS resolution, coalesce(sha, '') AS sha256, coalesce(pixels, '') AS pixel_digest, CASE WHEN phash IS NULL THEN '' ELSE lower(lpad(to_hex(phash), 16, '0')) END AS phash, true AS exact
+  FROM members m JOIN groups g ON g.key = m.key JOIN files f ON f.file_id = m.file_id LEFT JOIN made d ON d.file_id = m.file_id)
 """
 
+
 def vector(c: str) -> str:
     """A hex text of little-endian half floats as a list of doubles; null if malformed or not finite."""
     half = f"(('0x' || substr({c}, 4 * i + 3, 2) || substr({c}, 4 * i + 1, 2))::INT)"
@@ -223,6 +226,8 @@ def _cosine(a: str, b: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "export_summary": f"WITH {LAYERS} SELECT (SELECT count(*) FROM files) AS files_found, (SELECT count(*) FROM files WHERE kind = 'image') AS images, (SELECT count(*) FROM files WHERE kind = 'video') AS videos, (SELECT count(DISTINCT {FOLDER}) FROM files) AS folders, (SELECT sum(size)::BIGINT FROM files) AS total_bytes, count(*) AS groups, count_if(category = 'file_identical') AS file_identical_groups, count_if(category = 'pixel_identical') AS pixel_identical_groups, sum(files - 1)::BIGINT AS redundant_copies, sum(reclaimable)::BIGINT AS reclaimable_bytes FROM groups",
+    "threshold_categories": f"WITH {FILES} SELECT m.*, CASE WHEN score >= 100 THEN 'visually_identical' WHEN score >= 92.5 THEN 'very_similar' WHEN score >= 85 THEN 'similar' ELSE 'different' END AS category, CASE WHEN width > 0 AND height > 0 THEN format('{{:.1f}}', width::DOUBLE * height / 1000000)::DOUBLE END AS megapixels FROM (SELECT DISTINCT left_path, right_path, score FROM match_pairs WHERE score IS NOT NULL AND NOT isnan(score)) m LEFT JOIN files f ON f.path = m.left_path",
     "embedding_votes": f"""WITH {PAIRS},
 kept AS (SELECT a, b, score FROM scored WHERE coalesce(s_bhash, 100) >= 55),
 vectors AS (SELECT file_id, v FROM (SELECT file_id, {vector('embedding')} AS v FROM current WHERE file_id IN (SELECT a FROM kept UNION SELECT b FROM kept)) WHERE list_sum(list_transform(v, lambda x: x * x)) > 1e-18),

@@ -10,12 +10,14 @@ from shutterlake.operators.cache import still_valid
 from shutterlake.operators.records import current_records
 
 
-def ingest(stream: DataFrame, store: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def ingest(stream: DataFrame, store: str, checkpoint: str, available_now: bool = True, most_sent: int = 200_000) -> StreamingQuery:
     """Append each batch's analyses (path, size, mtime, analyzed_at, ...) that the store doesn't hold yet.
 
     A row whose path is stored with the same size and mtime is skipped. Each
     batch writes its own folder and replaces it when run again, so a restarted
-    query repeats nothing. Only the batch is shuffled to the store's keys.
+    query repeats nothing. Only what the store holds of the batch's paths is
+    compared: the paths of a batch of up to ``most_sent`` rows, counted, are sent
+    to the store's scan; those of a larger one meet the store by a shuffle.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -23,7 +25,9 @@ def ingest(stream: DataFrame, store: str, checkpoint: str, available_now: bool =
         latest = current_records(batch, "path", "analyzed_at", [c for c in batch.columns if c != "path"]).select(*batch.columns)
         old = _others(spark, store, number)
         if old is not None:
-            held = current_records(old, "path", "analyzed_at", ["size", "mtime"]).select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
+            paths = latest.select("path")
+            known = old.join(F.broadcast(paths) if latest.count() <= most_sent else paths, "path", "left_semi")
+            held = current_records(known, "path", "analyzed_at", ["size", "mtime"]).select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
             same = F.coalesce(still_valid(F.col("size"), F.col("mtime"), F.col("_size"), F.col("_mtime")), F.lit(False))
             latest = latest.join(held, "path", "left").where(~same).select(*batch.columns)
         latest.write.mode("overwrite").parquet(f"{store}/batch={number}")
