@@ -189,10 +189,10 @@ def image_signatures(spark: SparkSession, root: str) -> DataFrame:
             out = []
             for path, orientation, w, h, n, data in zip(frame["path"], frame["orientation"], frame["width"], frame["height"], frame["nChannels"], frame["data"]):
                 if w <= 0 or h <= 0:
-                    out.append({"path": path, "error": "unreadable"})
+                    out.append({**dict.fromkeys(columns), "path": path, "error": "unreadable"})
                     continue
                 picture = upright(_rgba(data, int(h), int(w), int(n)), int(orientation) if pd.notna(orientation) else 1)
-                out.append({"path": path, "width": picture.shape[1], "height": picture.shape[0], **all_signatures(picture)})
+                out.append({"error": None, "path": path, "width": picture.shape[1], "height": picture.shape[0], **all_signatures(picture)})
             yield pd.DataFrame(out, columns=columns, dtype=object)
 
     decoded = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)

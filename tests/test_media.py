@@ -122,8 +122,8 @@ def test_probes(spark):
 
 def test_crops_are_found_grouped_and_left_to_other_layers(spark):
     rng = np.random.default_rng(5)
-    big = images.shrunk(np.kron(rng.integers(0, 256, (16, 16)), np.ones((20, 20))), 32, 32)
-    part = images.shrunk(big[4:20, 2:26], 32, 32)
+    whole = np.kron(rng.integers(0, 256, (16, 16)), np.ones((20, 20)))
+    big, part = images.shrunk(whole, 32, 32), images.shrunk(whole[40:200, 20:260], 32, 32)
     grid = lambda g: [float(x) for x in g.ravel()]
     other = images.shrunk(rng.integers(0, 256, (64, 64)).astype(float), 32, 32)
     grids = spark.createDataFrame([(1, 3200, 3200, grid(big)), (2, 2400, 1600, grid(part)), (3, 900, 900, grid(other)), (4, 10, 10, None)], "file_id bigint, width int, height int, grid array<double>")
