@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions.digests import digest, hash64
@@ -17,20 +17,24 @@ from shutterlake.operators.skew import salted_join
 from shutterlake.plans.found import located_files
 from shutterlake.sources.tables import materialize, table
 
-RAW = ["path", "size", "mtime", "sha256", "pixel_digest", "phash", "dhash", "ahash", "bhash", "color_sig", "width", "height", "img_format", "orientation", "has_exif", "camera_make", "camera_model", "date_taken", "decode_error", "video_duration", "video_bitrate", "frame_hashes"]
+def _decoded() -> dict[str, tuple[str, Column]]:
+    """What a file has, by name: the stored column it comes from, and how it is read."""
+    c = F.col
+    known = {n: (n, c(n)) for n in ("path", "size", "mtime", "img_format", "orientation", "has_exif", "date_taken")}
+    return {
+        **known, "kind": ("path", kind_of(c("path"))), "sha": ("sha256", digest(c("sha256"))), "pixels": ("pixel_digest", digest(c("pixel_digest"))), **{h: (h, hash64(c(h))) for h in ("phash", "dhash", "ahash")},
+        "bhash": ("bhash", wide_hash(c("bhash"))), "color": ("color_sig", color_bins(c("color_sig"))), "width": ("width", F.when(c("width") > 0, c("width"))), "height": ("height", F.when(c("height") > 0, c("height"))),
+        "make": ("camera_make", c("camera_make")), "model": ("camera_model", c("camera_model")), "error": ("decode_error", c("decode_error")), "duration": ("video_duration", F.when(~F.isnan("video_duration"), c("video_duration"))),
+        "bitrate": ("video_bitrate", c("video_bitrate")), "frames": ("frame_hashes", frame_values(c("frame_hashes"))),
+    }
 
 
-def files(spark: SparkSession, d: str) -> DataFrame:
-    """Every current file with its digests and signatures decoded; unused columns are pruned from the scan."""
-    rows = current_records(table(spark, d, "file_cache"), "file_id", "analyzed_at", RAW)
-    c = F.col
-    return rows.select(
-        "file_id", "path", "size", "mtime", kind_of(c("path")).alias("kind"), digest(c("sha256")).alias("sha"), digest(c("pixel_digest")).alias("pixels"),
-        *[hash64(c(h)).alias(h) for h in ("phash", "dhash", "ahash")], wide_hash(c("bhash")).alias("bhash"), color_bins(c("color_sig")).alias("color"),
-        F.when(c("width") > 0, c("width")).alias("width"), F.when(c("height") > 0, c("height")).alias("height"), "img_format", "orientation", "has_exif",
-        c("camera_make").alias("make"), c("camera_model").alias("model"), "date_taken", c("decode_error").alias("error"),
-        F.when(~F.isnan("video_duration"), c("video_duration")).alias("duration"), c("video_bitrate").alias("bitrate"), frame_values(c("frame_hashes")).alias("frames"),
-    )
+def files(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """Every current file with its digests and signatures decoded: all of them, or file_id and the ``names`` alone, so that nothing else is read or shuffled."""
+    known = _decoded()
+    kept = {n: known[n] for n in (names or known) if n != "file_id"}
+    rows = current_records(table(spark, d, "file_cache"), "file_id", "analyzed_at", list(dict.fromkeys(raw for raw, _ in kept.values())))
+    return rows.select("file_id", *[value.alias(n) for n, (_, value) in kept.items()])
 
 
 def scan_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -54,21 +58,22 @@ def _sharing(f: DataFrame, keys: list[str]) -> DataFrame:
 
 def size_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Files worth a digest: their size occurs more than once."""
-    return _sharing(files(spark, d).select("file_id", "size"), ["size"]).select("file_id", "size")
+    return _sharing(files(spark, d, "size"), ["size"]).select("file_id", "size")
 
 
 def dimension_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Images worth decoding: their dimensions occur more than once."""
-    return _sharing(files(spark, d).where("kind = 'image' and error is null").select("file_id", "width", "height"), ["width", "height"]).select("file_id", "width", "height")
+    return _sharing(files(spark, d, "kind", "error", "width", "height").where("kind = 'image' and error is null").select("file_id", "width", "height"), ["width", "height"]).select("file_id", "width", "height")
 
 
 def exact_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of byte-identical files, most reclaimable bytes first."""
-    return grouping.exact_groups(files(spark, d).select("path", "size", "sha"))
+    return grouping.exact_groups(files(spark, d, "path", "size", "sha"))
 
 
-def _layers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = files(spark, d)
+def _layers(spark: SparkSession, d: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """The files (path, size, digests and ``more``), written once, and the members of their exact groups."""
+    f = materialize(files(spark, d, "path", "size", "kind", "sha", "pixels", *more), "files")
     return f, materialize(grouping.exact_layers(f.select("file_id", "sha", "pixels")), "layers")
 
 
@@ -86,7 +91,7 @@ def layered_members(spark: SparkSession, d: str) -> DataFrame:
 
 def rough_counters(spark: SparkSession, d: str) -> DataFrame:
     """How many digests occur more than once, and how many files were hashed, decoded and described."""
-    f = files(spark, d)
+    f = files(spark, d, "sha", "pixels", "phash", "frames")
     more = lambda k: f.where(f"{k} is not null").groupBy(k).count().where("count > 1").agg(F.count(F.lit(1)).alias(f"{k}_groups"))
     run = f.agg(F.count("sha").alias("hashed"), F.count("pixels").alias("decoded"), F.count("phash").alias("described"), F.count("frames").alias("sampled"))
     parts = run.unionByName(more("sha"), allowMissingColumns=True).unionByName(more("pixels"), allowMissingColumns=True)
@@ -114,13 +119,13 @@ def group_browser(spark: SparkSession, d: str) -> DataFrame:
 
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pictures with different phashes at most 15 bits apart, a row a pair of distinct hashes, named by their smallest files; ``hamming_members`` has the others."""
-    f = files(spark, d).where("phash is not null").groupBy("phash").agg(F.min("file_id").alias("file_id"))
+    f = files(spark, d, "phash").where("phash is not null").groupBy("phash").agg(F.min("file_id").alias("file_id"))
     return grouping.close_pairs(f, 15)
 
 
 def hamming_members(spark: SparkSession, d: str) -> DataFrame:
     """Every file with a phash, and the file that names its hash in ``hamming_pairs``; files of one representative are 0 bits apart."""
-    rows = materialize(files(spark, d).where("phash is not null and file_id is not null").select("file_id", "phash"), "hashes")
+    rows = materialize(files(spark, d, "phash").where("phash is not null and file_id is not null").select("file_id", "phash"), "hashes")
     names = rows.groupBy("phash").agg(F.min("file_id").alias("representative"))
     return salted_join(names, rows, ["phash"]).select("file_id", "representative")
 
@@ -151,14 +156,14 @@ def embedding_votes(spark: SparkSession, d: str) -> DataFrame:
 
 def color_matches(spark: SparkSession, d: str) -> DataFrame:
     """Colour similarity of each member of an exact group with the group's first file."""
-    f, members = _layers(spark, d)
+    f, members = _layers(spark, d, "color")
     rows = members.join(f.select("file_id", "color"), "file_id")
     first = rows.groupBy("key").agg(F.min("file_id").alias("first")).join(f.select(F.col("file_id").alias("first"), F.col("color").alias("first_color")), "first")
     return rows.join(first, "key").where("file_id <> first").select("file_id", "first", color_similarity(F.col("color"), F.col("first_color")).alias("similarity"))
 
 
 def _videos(spark: SparkSession, d: str) -> DataFrame:
-    return files(spark, d).where("kind = 'video'").select("file_id", "sha", "duration", "frames")
+    return files(spark, d, "kind", "sha", "duration", "frames").where("kind = 'video'").select("file_id", "sha", "duration", "frames")
 
 
 def duration_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -184,13 +189,13 @@ def video_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def keep_scores(spark: SparkSession, d: str) -> DataFrame:
     """The points of every member of an exact group, in thousandths."""
-    f, members = _layers(spark, d)
+    f, members = _layers(spark, d, "mtime", "error", "img_format", "has_exif", "make", "model", "date_taken", "width", "height", "bitrate")
     return recommend.keep_scores(members, f).select("file_id", F.round(F.col("score") * 1000).cast("bigint").alias("score_milli"), "decisive")
 
 
 def keep_recommendation(spark: SparkSession, d: str) -> DataFrame:
     """The file to keep of every exact group, and how sure that is."""
-    f, members = _layers(spark, d)
+    f, members = _layers(spark, d, "mtime", "error", "img_format", "has_exif", "make", "model", "date_taken", "width", "height", "bitrate")
     return recommend.recommendations(materialize(recommend.keep_scores(members, f), "scores")).select("category", "keep", "confidence")
 
 
@@ -203,7 +208,7 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
     """Sizes and durations as people read them, and upright dimensions."""
     turned = F.coalesce(F.col("orientation").isin(5, 6, 7, 8), F.lit(False))
     upright = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a))
-    return files(spark, d).select("file_id", human_size(F.col("size")).alias("size_label"), human_duration(F.col("duration")).alias("duration_label"), upright("width", "height").alias("upright_width"), upright("height", "width").alias("upright_height"), F.size("frames").alias("frame_count"))
+    return files(spark, d, "size", "duration", "orientation", "width", "height", "frames").select("file_id", human_size(F.col("size")).alias("size_label"), human_duration(F.col("duration")).alias("duration_label"), upright("width", "height").alias("upright_width"), upright("height", "width").alias("upright_height"), F.size("frames").alias("frame_count"))
 
 
 def _plans(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +221,7 @@ def _plans(spark: SparkSession, d: str) -> DataFrame:
 def import_status(spark: SparkSession, d: str) -> DataFrame:
     """Whether each incoming file is new, a copy of a library file, or of an earlier one of all batches together."""
     batch = _plans(spark, d).select(F.col("plan_id").alias("seq"), F.col("source_path").alias("name"), "kind", "size", "sha", "pixels", "width", "height", "error")
-    return placement.import_status(batch, files(spark, d).select("path", "size", "sha", "pixels", "width", "height")).withColumnRenamed("seq", "plan_id")
+    return placement.import_status(batch, files(spark, d, "path", "size", "sha", "pixels", "width", "height")).withColumnRenamed("seq", "plan_id")
 
 
 def plan_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -228,13 +233,13 @@ def import_names(spark: SparkSession, d: str) -> DataFrame:
     """Destination names of all plans, made unique in their folders beside the files already there."""
     p = _plans(spark, d).where("dest_dir is not null and dest_name is not null")
     plans = p.select(F.col("plan_id").alias("seq"), "dest_dir", "dest_name", F.col("plan_ts").alias("stamp"), F.col("source_path").alias("source"))
-    there = files(spark, d).select(folder(F.col("path")).alias("dest_dir"), base_name(F.col("path")).alias("name"))
+    there = files(spark, d, "path").select(folder(F.col("path")).alias("dest_dir"), base_name(F.col("path")).alias("name"))
     return placement.unique_names(plans, there).select(F.col("seq").alias("plan_id"), "dest_name", "suffixed")
 
 
 def _dated(spark: SparkSession, d: str) -> DataFrame:
     probes = current_records(table(spark, d, "video_info"), "file_id", "probed_at", ["creation_time"])
-    f = files(spark, d).select("file_id", "path", "kind", "mtime", "date_taken").join(probes, "file_id", "left")
+    f = files(spark, d, "path", "kind", "mtime", "date_taken").join(probes, "file_id", "left")
     return f.select("file_id", "path").join(placement.capture_dates(f), "file_id")
 
 
@@ -335,7 +340,7 @@ def category_review(spark: SparkSession, d: str) -> DataFrame:
 
 def export_rows(spark: SparkSession, d: str) -> DataFrame:
     """One flat row for each member of each exact group, as a CSV export has it; decisions are those of the older run."""
-    f, members = _layers(spark, d)
+    f, members = _layers(spark, d, "phash", "width", "height")
     g = grouping.numbered_groups(members, f).select("key", "group_id")
     made = table(spark, d, "group_members").where("file_id is not null").groupBy("file_id").agg(F.max(F.struct("added_at", "decision")).alias("r")).select("file_id", "r.decision")
     rows = members.join(g, "key").join(f.select("file_id", "path", "size", "sha", "pixels", "phash", "width", "height"), "file_id").join(made, "file_id", "left")
@@ -361,7 +366,7 @@ def export_summary(spark: SparkSession, d: str) -> DataFrame:
 def threshold_categories(spark: SparkSession, d: str) -> DataFrame:
     """Matches of the older comparison by one threshold of 85 %, and the pixels of their left file."""
     m = table(spark, d, "match_pairs").where("score is not null and not isnan(score)").select("left_path", "right_path", "score").distinct()
-    f = files(spark, d).select(F.col("path").alias("left_path"), megapixels(F.col("width"), F.col("height")).alias("megapixels"))
+    f = files(spark, d, "path", "width", "height").select(F.col("path").alias("left_path"), megapixels(F.col("width"), F.col("height")).alias("megapixels"))
     return m.join(f, "left_path", "left").select("left_path", "right_path", "score", classify_threshold(F.col("score"), 85.0).alias("category"), "megapixels")
 
 
@@ -380,7 +385,7 @@ def undo_plan(spark: SparkSession, d: str) -> DataFrame:
 
 def phash_compare(spark: SparkSession, d: str) -> DataFrame:
     """phash of every two successive members of an older group, compared."""
-    m = table(spark, d, "group_members").where("group_id is not null").select("group_id", "file_id").distinct().join(files(spark, d).select("file_id", "phash").where("phash is not null"), "file_id")
+    m = table(spark, d, "group_members").where("group_id is not null").select("group_id", "file_id").distinct().join(files(spark, d, "phash").where("phash is not null"), "file_id")
     other = F.lead("phash").over(Window.partitionBy("group_id").orderBy("file_id"))
     apart = F.bit_count(F.col("phash").bitwiseXOR(F.col("other")))
     return m.withColumn("other", other).where("other is not null").select("group_id", "file_id", apart.cast("bigint").alias("distance"), similarity_percent(apart).alias("similarity"))
