@@ -161,8 +161,8 @@ def scored(pairs: DataFrame, profile: Profile) -> DataFrame:
     return named.withColumn("resized", resized)
 
 
-def similar_pairs(files: DataFrame, profile: Profile = PROFILES["medium"], recall: float | None = None) -> DataFrame:
-    """(a, b, score, resized, category, reasons): pairs within the search radius whose composition agrees and whose score reaches the similar band.
+def similar_pairs(files: DataFrame, profile: Profile = PROFILES["medium"], recall: float | None = None, with_reasons: bool = False) -> DataFrame:
+    """(a, b, score, resized, category, and reasons if wanted): pairs within the search radius whose composition agrees and whose score reaches the similar band.
 
     ``files`` has the signals as columns. Pairs whose block hash is less than 55 % similar are dropped; a missing one passes.
     All pairs are compared, unless ``recall`` asks for the sampled index (:func:`sampled_pairs`).
@@ -171,7 +171,7 @@ def similar_pairs(files: DataFrame, profile: Profile = PROFILES["medium"], recal
     close = (close_pairs(files, radius) if recall is None else sampled_pairs(files, radius, profile, recall)).select("a", "b").alias("p")
     near = close.join(files.alias("a"), F.col("p.a") == F.col("a.file_id")).join(files.alias("b"), F.col("p.b") == F.col("b.file_id"))
     rated = scored(near, profile).where((F.coalesce("bhash", F.lit(100.0)) >= 55) & (F.col("score") >= profile.bands.similar))
-    return rated.select(F.col("a_file_id").alias("a"), F.col("b_file_id").alias("b"), "score", "resized", classify(F.col("score"), profile.bands).alias("category"), reasons().alias("reasons"))
+    return rated.select(F.col("a_file_id").alias("a"), F.col("b_file_id").alias("b"), "score", "resized", classify(F.col("score"), profile.bands).alias("category"), *([reasons().alias("reasons")] if with_reasons else []))
 
 
 #: From what similarity a signal counts as a reason (fixed values), in this order.

@@ -20,7 +20,7 @@ def _rest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     f, rest = library._unassigned(spark, d)
     rest = materialize(rest, "pictures")
     exact = materialize(grouping.exact_layers(f.select("file_id", "kind", "sha", "pixels"), skip_videos=True), "exact")
-    return f, exact, rest, materialize(grouping.similar_pairs(rest), "similar")
+    return f, exact, rest, materialize(grouping.similar_pairs(rest, with_reasons=True), "similar")
 
 
 def similar_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +36,7 @@ def cluster_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 def similar_strict(spark: SparkSession, d: str) -> DataFrame:
     """Similar pairs of the strict profile."""
-    return grouping.similar_pairs(library._unassigned(spark, d)[1], PROFILES["low"]).drop("reasons")
+    return grouping.similar_pairs(library._unassigned(spark, d)[1], PROFILES["low"])
 
 
 def sampled_recall(spark: SparkSession, d: str) -> DataFrame:
