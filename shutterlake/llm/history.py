@@ -87,17 +87,17 @@ class HistoryStore:
     append left behind is seen by no reader and by no later batch, and is
     replaced when the batch is appended again. A batch that is accepted already
     is not accepted again. ``expected_rows`` fixes the number of buckets when
-    the store is made (some 10,000 records a bucket, 24 buckets at least); the
+    the store is made (some 10,000 records a bucket, ``least_buckets`` at least); the
     result doesn't depend on it.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, most_bits: int = 4, expected_rows: int = 0) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, most_bits: int = 4, expected_rows: int = 0, least_buckets: int = 24) -> None:
         self.spark, self.path, self.most = spark, path or scratch_path(spark, "history"), most_bits
         tag = hashlib.sha1(self.path.encode()).hexdigest()[:16]
         self.names = {kind: f"history_{kind}_{tag}" for kind in SHELVES}
         made = [re.fullmatch(r"buckets-(\d+)", n) for n in self._list("")]
         known = [int(m.group(1)) for m in made if m]
-        self.buckets = known[0] if known else max(24, math.ceil(expected_rows / 10_000))
+        self.buckets = known[0] if known else max(least_buckets, math.ceil(expected_rows / 10_000))
         if not known:
             self._touch(f"buckets-{self.buckets}")
         for kind, (columns, key) in SHELVES.items():

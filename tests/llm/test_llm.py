@@ -68,11 +68,11 @@ def test_batches_one_by_one_equal_replay_and_brute_force(spark):
     old, new = _records(rng, 120), _records(rng, 90, 1000)
     sign = lambda data, order: signatures(spark.createDataFrame(data, RECORD), "id", order, "name")
     want = _brute(old + new, lambda i: i if i >= 1000 else -1)
-    replay = HistoryStore(spark)
+    replay = HistoryStore(spark, least_buckets=3)
     replay.append(sign(old, F.lit(-1)))
     replay.append(sign(new, F.col("id")))
     assert rows(replay.match(sign(new, F.col("id")))) == want
-    single, got = HistoryStore(spark), set()
+    single, got = HistoryStore(spark, least_buckets=3), set()
     single.append(sign(old, F.lit(-1)))
     for start in range(0, 90, 30):
         batch = sign(new[start : start + 30], F.col("id"))
@@ -99,7 +99,7 @@ def test_block_keys_miss_nothing(spark):
 
 def test_history_of_nothing(spark):
     none = signatures(spark.createDataFrame([], RECORD), "id", F.lit(-1), "name")
-    store = HistoryStore(spark)
+    store = HistoryStore(spark, least_buckets=3)
     assert store.match(none).count() == 0
     store.append(none)
     assert store.match(none).count() == 0
@@ -109,7 +109,7 @@ def test_a_repeated_append_counts_once(spark):
     rng = random.Random(9)
     sign = lambda data, order: signatures(spark.createDataFrame(data, RECORD), "id", order, "name")
     old, new = _records(rng, 60), _records(rng, 30, 1000)
-    store = HistoryStore(spark)
+    store = HistoryStore(spark, least_buckets=3)
     for _ in range(2):
         store.append(sign(old, F.lit(-1)), "first")
     again = HistoryStore(spark, store.path)
@@ -122,7 +122,7 @@ def test_an_interrupted_append_loses_no_link(spark, monkeypatch):
     sign = lambda data, order: signatures(spark.createDataFrame(data, RECORD), "id", order, "name")
     record = lambda k, p, sha: (k, f"f{k}", f"{sha:064x}", None, f"{p:x}", "ff", "x")
     one, two, late = [record(1, 1023, 7)], [record(2, 1023, 8)], [record(1003, 1022, 9)]
-    store = HistoryStore(spark)
+    store = HistoryStore(spark, least_buckets=3)
     put = HistoryStore._put
     for broken in ("prints", "equal", "members"):
 
@@ -151,7 +151,7 @@ def test_hot_contents_are_dealt_over_buckets(spark, monkeypatch):
     old = [(k, f"f{k}", f"{rng.randrange(1, 3):064x}", None, f"{1 << rng.randrange(6):x}", "ff", "x") for k in range(300)]
     new = [(1000 + k, f"f{1000 + k}", f"{rng.randrange(2, 5):064x}", None, f"{3 << rng.randrange(40):x}", "fe", "x") for k in range(30)]
     sign = lambda data, order: signatures(spark.createDataFrame(data, RECORD), "id", order, "name")
-    store = HistoryStore(spark, expected_rows=300)
+    store = HistoryStore(spark, expected_rows=300, least_buckets=3)
     store.append(sign(old, F.lit(-1)))
     store.append(sign(new, F.col("id")))
     assert store._shelf("members").agg(F.max("salt")).first()[0] > 0
