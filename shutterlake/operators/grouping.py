@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.barrier import sealed
 from shutterlake.functions.digests import bits_apart
 from shutterlake.functions.media import PROFILES, Profile, category_rank, classify, classify_video, color_similarity, frame_similarity, rounded, search_radius, similarity_percent, wide_distance
+from shutterlake.operators import comparing
+from shutterlake.operators.blocks import met
 from shutterlake.operators.graph import connected
 from shutterlake.operators.numbering import numbered
 from shutterlake.operators.skew import salted_join
 from shutterlake.sources.tables import materialize
 
+#: Least similarity of block hashes in percent, where both are there.
+LEAST_BLOCKS = 55.0
+
 
 def exact_groups(files: DataFrame) -> DataFrame:
     """(group_id, sha, files, unit_size, reclaimable): digests with two files or more, most bytes of copies first."""
@@ -156,9 +162,36 @@ def scored(pairs: DataFrame, profile: Profile) -> DataFrame:
     """``pairs`` (aliased a and b) with the score of each signal, the combined score, and whether it is one picture in two sizes."""
     named = pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("file_id", "width", "height")], *[sealed(v).alias(k) for k, v in signals("a", "b").items()])
     named = named.withColumn("score", sealed(weighted_score(profile, {k: F.col(k) for k in ("phash", "dhash", "ahash", "bhash", "color")})))
+    return named.withColumn("resized", _resized())
+
+
+def _resized() -> Column:
     wide = F.abs(F.col("a_width") - F.col("b_width")) / F.greatest("a_width", "b_width") >= 0.10
-    resized = (F.col("score") >= 96.0) & aspect_close(F.col("a_width"), F.col("a_height"), F.col("b_width"), F.col("b_height")) & F.coalesce(wide, F.lit(False))
-    return named.withColumn("resized", resized)
+    return (F.col("score") >= 96.0) & aspect_close(F.col("a_width"), F.col("a_height"), F.col("b_width"), F.col("b_height")) & F.coalesce(wide, F.lit(False))
+
+
+def close_scored(files: DataFrame, profile: Profile, radius: int) -> DataFrame:
+    """The rows of :func:`scored` of all pairs within ``radius`` bits of phash that may reach the similar band, and of no pair that can't.
+
+    Pairs are scored where their blocks meet, so what is written and shuffled follows the rows and what is found, not the pairs within the radius.
+    """
+    rows = files.where("phash is not null and file_id is not null").select("file_id", "phash", "dhash", "ahash", "bhash", "color", "width", "height")
+
+    def compare(left: comparing.Pictures, right: comparing.Pictures, one: bool) -> Iterator[pa.RecordBatch]:
+        for x, y in comparing.within_radius(left, right, one, radius):
+            room = comparing.may_reach(left, right, x, y, profile, profile.bands.similar)
+            of = comparing.signals_of(left, right, x := x[room], y := y[room])
+            score = comparing.score_of(profile, of)
+            keep = ~(of["bhash"] < LEAST_BLOCKS) & (score >= profile.bands.similar)
+            yield comparing.batch(left, right, x[keep], y[keep], {k: v[keep] for k, v in (of | {"score": score}).items()})
+
+    found = met(rows, "signals", comparing.Pictures, compare, _scored_schema(rows))
+    return found.withColumn("resized", _resized())
+
+
+def _scored_schema(rows: DataFrame) -> str:
+    kinds = dict(rows.dtypes)
+    return ", ".join([f"{s}_{c} {kinds[c]}" for s in "ab" for c in ("file_id", "width", "height")] + [f"{k} double" for k in (*comparing.SIGNALS, "score")])
 
 
 def similar_pairs(files: DataFrame, profile: Profile = PROFILES["medium"], recall: float | None = None, with_reasons: bool = False) -> DataFrame:
@@ -168,9 +201,12 @@ def similar_pairs(files: DataFrame, profile: Profile = PROFILES["medium"], recal
     All pairs are compared, unless ``recall`` asks for the sampled index (:func:`sampled_pairs`).
     """
     radius = search_radius(profile)
-    close = (close_pairs(files, radius) if recall is None else sampled_pairs(files, radius, profile, recall)).select("a", "b").alias("p")
-    near = close.join(files.alias("a"), F.col("p.a") == F.col("a.file_id")).join(files.alias("b"), F.col("p.b") == F.col("b.file_id"))
-    rated = scored(near, profile).where((F.coalesce("bhash", F.lit(100.0)) >= 55) & (F.col("score") >= profile.bands.similar))
+    if recall is None:
+        rated = close_scored(files, profile, radius)
+    else:
+        close = sampled_pairs(files, radius, profile, recall).alias("p")
+        rated = scored(close.join(files.alias("a"), F.col("p.a") == F.col("a.file_id")).join(files.alias("b"), F.col("p.b") == F.col("b.file_id")), profile)
+        rated = rated.where((F.coalesce("bhash", F.lit(100.0)) >= LEAST_BLOCKS) & (F.col("score") >= profile.bands.similar))
     return rated.select(F.col("a_file_id").alias("a"), F.col("b_file_id").alias("b"), "score", "resized", classify(F.col("score"), profile.bands).alias("category"), *([reasons().alias("reasons")] if with_reasons else []))
 
 

@@ -33,15 +33,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None, most_rows: int | None = None) -> DataFrame:
     """Cut the lineage: write the rows once to the shared folder and read them back.
 
     Unlike ``DataFrame.checkpoint`` this runs the plan once and leaves columns
-    that later scans can prune.
+    that later scans can prune. No file gets more than ``most_rows`` rows.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     writer = df.write.mode("overwrite")
+    if most_rows:
+        writer = writer.option("maxRecordsPerFile", most_rows)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
