@@ -146,3 +146,55 @@ def batch(left: Pictures, right: Pictures, x: np.ndarray, y: np.ndarray, values:
         out[f"b_{c}"] = pc.if_else(first, theirs[c], mine[c])
     out |= {k: pa.array(v, mask=np.isnan(v)) for k, v in values.items()}
     return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+
+class Videos:
+    """A block's videos in order of duration, with their frames as a matrix; places that a video lacks aren't valid."""
+
+    def __init__(self, table: pa.Table) -> None:
+        table = table.sort_by("duration").combine_chunks()
+        self.ids, self.durations = table["file_id"].to_numpy(), table["duration"].to_numpy().astype(float)
+        sizes = pc.list_value_length(table["frames"]).to_numpy().astype(np.int64)
+        flat = pc.list_flatten(table["frames"])
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.frames, self.valid = np.zeros((sizes.max(initial=0), len(sizes)), np.int64), np.zeros((sizes.max(initial=0), len(sizes)), bool)
+        self.frames[place, row], self.valid[place, row] = pc.fill_null(flat, 0).to_numpy(), flat.is_valid().to_numpy()
+        self.frames, self.whole = self.frames.view(np.uint64), self.valid.all(1)
+
+
+def alike_frames(left: Videos, right: Videos, one: bool, within: float, rows: int = 16) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row of left, of right, matrix): about how alike the frames of videos of like duration are, in percent, not rounded (``frame_percent`` is at most 0.1 away); -1 for other pairs and those with fewer than two frames. Of one block each two once."""
+    places = min(len(left.frames), len(right.frames))
+    for start in range(0, len(left.ids), rows):
+        stop = min(start + rows, len(left.ids))
+        low = max(int(np.searchsorted(right.durations, left.durations[start] - within - 1e-3)), start + 1 if one else 0)
+        high = int(np.searchsorted(right.durations, left.durations[stop - 1] + within + 1e-3, "right"))
+        if low >= high:
+            continue
+        bits, shared = np.zeros((stop - start, high - low), np.int32), np.zeros((stop - start, high - low), np.int32)
+        for k in range(places):
+            apart = np.bitwise_count(left.frames[k, start:stop, None] ^ right.frames[k, None, low:high])
+            if left.whole[k] and right.whole[k]:
+                shared += 1
+            else:
+                both = left.valid[k, start:stop, None] & right.valid[k, None, low:high]
+                apart *= both
+                shared += both
+            bits += apart
+        with np.errstate(invalid="ignore"):
+            near = np.abs(left.durations[start:stop, None] - right.durations[None, low:high]) <= within
+        near &= shared >= 2
+        if one:
+            near &= np.arange(low, high)[None, :] > np.arange(start, stop)[:, None]
+        yield start, low, np.where(near, 100.0 - bits * (100 / 64) / np.maximum(shared, 1), -1.0)
+
+
+def frame_percent(left: Videos, right: Videos, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``media.frame_similarity`` of pairs with two shared frames or more: terms are added in the same order."""
+    total, shared = np.zeros(len(x)), np.zeros(len(x))
+    for k in range(min(len(left.frames), len(right.frames))):
+        both = left.valid[k, x] & right.valid[k, y]
+        total += np.where(both, SIXTY_FOUR[np.bitwise_count(left.frames[k, x] ^ right.frames[k, y])], 0.0)
+        shared += both
+    return to_tenths(total / shared)

@@ -286,19 +286,52 @@ def duration_pairs(videos: DataFrame, within: float = 2.0) -> DataFrame:
     return pairs.where((F.col("a") < F.col("b")) & (F.abs(F.col("a_duration") - F.col("b_duration")) <= within)).select("a", "b")
 
 
+def _framed(videos: DataFrame) -> DataFrame:
+    return videos.where("frames is not null and duration > 0 and not isnan(duration) and file_id is not null").select("file_id", "duration", "frames")
+
+
 def video_pairs(videos: DataFrame, threshold: float = 84.0, within: float = 2.0) -> DataFrame:
-    """(a, b, percent): videos of like duration whose sampled frames are alike; ``videos`` has file_id, duration, frames."""
-    framed = videos.where("frames is not null")
-    near = duration_pairs(framed, within)
-    of = lambda s: framed.select(F.col("file_id").alias(s), F.col("frames").alias(f"f{s}"))
-    scored = near.join(of("a"), "a").join(of("b"), "b").withColumn("percent", sealed(frame_similarity(F.col("fa"), F.col("fb"))))
-    return scored.where(F.col("percent") >= threshold).select("a", "b", "percent")
+    """(a, b, percent): videos of like duration whose sampled frames are alike; ``videos`` has file_id, duration, frames.
+
+    Videos are put in blocks by duration, and pairs are compared where their blocks meet, so only alike ones leave a task.
+    """
+
+    def compare(left: comparing.Videos, right: comparing.Videos, one: bool) -> Iterator[pa.RecordBatch]:
+        for start, low, about in comparing.alike_frames(left, right, one, within):
+            x, y = np.nonzero((about >= threshold - comparing.MARGIN) & (about >= 0))
+            percent = comparing.frame_percent(left, right, x := x + start, y := y + low)
+            keep = percent >= threshold
+            a, b = left.ids[x[keep]], right.ids[y[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(percent[keep])], names=["a", "b", "percent"])
+
+    return met(_framed(videos), "framed", comparing.Videos, compare, "a bigint, b bigint, percent double", 4096, "duration", within)
 
 
 def nearest_videos(videos: DataFrame, within: float = 2.0) -> DataFrame:
-    """(file_id, other, percent): for each video the one of like duration whose frames are most alike, the smaller id on ties."""
-    pairs = video_pairs(videos, 0.0, within)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "percent"))
+    """(file_id, other, percent): for each video the one of like duration whose frames are most alike, the smaller id on ties.
+
+    Each two blocks give at most one row for each of their videos.
+    """
+
+    def compare(left: comparing.Videos, right: comparing.Videos, one: bool) -> Iterator[pa.RecordBatch]:
+        found, best = [], np.zeros(len(right.ids))
+        for start, low, about in comparing.alike_frames(left, right, one, within):
+            # the best of a row or column are within twice the rounding of its most alike, as far as seen
+            column = best[low : low + about.shape[1]]
+            np.maximum(column, about.max(0), out=column)
+            x, y = np.nonzero((about >= 0) & (about >= np.minimum(about.max(1)[:, None], column[None, :]) - 2 * comparing.MARGIN))
+            found.append((x + start, y + low))
+        if not found:
+            return
+        x, y = (np.concatenate(p) for p in zip(*found))
+        percent = np.tile(comparing.frame_percent(left, right, x, y), 2)
+        a, b = left.ids[x], right.ids[y]
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.lexsort((b, -percent, a))
+        first = order[np.diff(a[order], prepend=a[order[:1]] - 1) != 0]
+        yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(percent[first])], names=["a", "b", "percent"])
+
+    both = met(_framed(videos), "framed", comparing.Videos, compare, "a bigint, b bigint, percent double", 4096, "duration", within)
     best = both.groupBy("a").agg(F.max(F.struct("percent", (-F.col("b")).alias("b"))).alias("r"))
     return best.select(F.col("a").alias("file_id"), (-F.col("r.b")).alias("other"), F.col("r.percent").alias("percent"))
 

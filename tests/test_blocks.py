@@ -74,3 +74,34 @@ def test_tenths_round_as_spark_does(spark):
     values = [0.05, 0.15, 0.25, 2.675, 83.95, 83.949999999999, 99.95, 1 / 3, 100.0, 61.25, 61.35] + [k / 64 for k in range(0, 6400, 37)]
     got = comparing.to_tenths(np.array(values)).tolist()
     assert got == [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(rounded(F.col("x"))).collect()]
+
+
+def videos(spark):
+    rng = random.Random(9)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    out = []
+    for k in range(150):
+        if k % 5 == 0:
+            base = [rng.getrandbits(64) for _ in range(rng.choice((1, 5, 8)))]
+        frames = [None if rng.random() < 0.1 else signed(f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 12)))) for f in base]
+        out.append(((k * 7919) % 10_007, rng.choice((0.0, 1.5, 3.0, 3.0, 5.0, 6.999, 40.0, float("nan"), None)), rng.choice((frames, frames, frames, frames[:3], None))))
+    return spark.createDataFrame(out, "file_id bigint, duration double, frames array<bigint>").repartition(3)
+
+
+@pytest.mark.parametrize("threshold", [0.0, 55.0, 84.0])
+def test_videos_compared_in_blocks_equal_joined_pairs(spark, threshold):
+    from shutterlake.functions.media import frame_similarity
+
+    v = videos(spark)
+    both = v.alias("a").join(v.alias("b"), F.expr("a.file_id < b.file_id and a.duration > 0 and b.duration > 0 and not isnan(a.duration) and not isnan(b.duration) and abs(a.duration - b.duration) <= 2"))
+    want = rows(both.select(F.col("a.file_id"), F.col("b.file_id"), frame_similarity(F.col("a.frames"), F.col("b.frames")).alias("p")).where(F.col("p") >= threshold))
+    got = grouping.video_pairs(v, threshold)
+    assert rows(got) == want and want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    if threshold == 0.0:
+        best = {}
+        for a, b, p in want:
+            for x, y in ((a, b), (b, a)):
+                best[x] = max(best.get(x, (-1.0, 0)), (p, -y))
+        assert rows(grouping.nearest_videos(v)) == {(x, -y, p) for x, (p, y) in best.items()}
