@@ -105,7 +105,7 @@ def close_pairs(files: DataFrame, radius: int, block_rows: int = 8192) -> DataFr
 
 
 def sampled_pairs(files: DataFrame, radius: int, profile: Profile, recall: float = 0.95, rows_per_key: int = 64) -> DataFrame:
-    """(a, b): pairs within ``radius`` bits of phash, found where sampled bits of the hashes agree.
+    """(a, b): pairs within ``radius`` bits of phash, found where sampled bits of the hashes agree, but those whose three hashes leave no room for the similar band.
 
     A table's key is some ``log2(rows / rows_per_key)`` bits, each of a hash
     drawn by its weight, so two pictures of weighted similarity s agree in a bit
@@ -128,9 +128,14 @@ def sampled_pairs(files: DataFrame, radius: int, profile: Profile, recall: float
             mask[h] |= 1 << int(rng.integers(64))
         signed = {h: m - (1 << 64) if m >> 63 else m for h, m in mask.items()}
         keys.append(F.xxhash64(F.lit(t), *[F.col(h).bitwiseAND(F.lit(m)) for h, m in signed.items()]))
-    posted = materialize(rows.select("file_id", "phash", F.explode(F.array(*keys)).alias("key")), "posted")
-    other = posted.select("key", F.col("file_id").alias("b"), F.col("phash").alias("q"))
-    pairs = salted_join(posted.withColumnRenamed("file_id", "a"), other, ["key"]).where((F.col("a") < F.col("b")) & (bits_apart(F.col("phash"), F.col("q")) <= radius))
+    posted = materialize(rows.select("file_id", "phash", "dhash", "ahash", F.explode(F.array(*keys)).alias("key")), "posted")
+    other = posted.select("key", F.col("file_id").alias("b"), *[F.col(h).alias(f"{h}_b") for h in ("phash", "dhash", "ahash")])
+    apart = {h: bits_apart(F.col(h), F.col(f"{h}_b")) for h in ("phash", "dhash", "ahash")}
+    # what the three hashes take off a score of 100 is more than the other signals can give back
+    share = profile.normalised()
+    lost = sum((apart[h] * (share[h] * 100 / 64) for h in apart), F.lit(0.0))
+    room = (lost <= 100 - profile.bands.similar + comparing.MARGIN) if share["phash"] > 0 else F.lit(True)
+    pairs = salted_join(posted.withColumnRenamed("file_id", "a"), other, ["key"]).where((F.col("a") < F.col("b")) & (apart["phash"] <= radius) & room)
     return pairs.select("a", "b").distinct()
 
 

@@ -105,3 +105,18 @@ def test_videos_compared_in_blocks_equal_joined_pairs(spark, threshold):
             for x, y in ((a, b), (b, a)):
                 best[x] = max(best.get(x, (-1.0, 0)), (p, -y))
         assert rows(grouping.nearest_videos(v)) == {(x, -y, p) for x, (p, y) in best.items()}
+
+
+def test_sampled_pairs_leave_out_what_cannot_be_similar(spark):
+    rng = random.Random(2)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    flip = lambda v, bits: v ^ sum(1 << b for b in rng.sample(range(64), bits))
+    out = []
+    for k in range(40):
+        p, d, a = (rng.getrandbits(64) for _ in range(3))
+        # every other pair has like phashes, but other hashes from which no palette can bring it to the band
+        out += [(2 * k, p, d, a), (2 * k + 1, flip(p, 2), flip(d, 40 if k % 2 else 2), flip(a, 30 if k % 2 else 2))]
+    files = spark.createDataFrame([(i, *map(signed, h)) for i, *h in out], "file_id bigint, phash bigint, dhash bigint, ahash bigint")
+    got = rows(grouping.sampled_pairs(files, 20, PROFILES["medium"]))
+    want = {(2 * k, 2 * k + 1) for k in range(0, 40, 2)}
+    assert got <= want and len(got) >= 0.9 * len(want)
