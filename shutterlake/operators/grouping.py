@@ -396,11 +396,40 @@ def voted_pairs(files: DataFrame, embeddings: DataFrame, profile: Profile = PROF
 
     A vote below 55 drops the pair; one of 90 or more lifts a lower score to the similar band; without a vote the score alone counts.
     """
-    close = close_pairs(files, search_radius(profile)).select("a", "b").alias("p")
-    near = close.join(files.alias("a"), F.col("p.a") == F.col("a.file_id")).join(files.alias("b"), F.col("p.b") == F.col("b.file_id"))
-    rated = scored(near, profile).where(F.coalesce("bhash", F.lit(100.0)) >= 55).select("a_file_id", "b_file_id", "score")
-    of = lambda s: embeddings.select(F.col("file_id").alias(f"{s}_file_id"), F.col("embedding").alias(f"{s}_e"))
-    voted = rated.join(of("a"), "a_file_id", "left").join(of("b"), "b_file_id", "left").withColumn("vote", embedding_percent(F.col("a_e"), F.col("b_e")))
-    lifted = F.when(F.col("vote") >= 90, F.greatest("score", F.lit(profile.bands.similar))).otherwise(F.col("score"))
-    kept = voted.where("vote is null or vote >= 55").withColumn("score", lifted).where(F.col("score") >= profile.bands.similar)
-    return kept.select(F.col("a_file_id").alias("a"), F.col("b_file_id").alias("b"), "score", "vote", classify(F.col("score"), profile.bands).alias("category"))
+    rows = files.where("phash is not null and file_id is not null").select("file_id", "phash", "dhash", "ahash", "bhash", "color", "width", "height")
+    rows = rows.join(embeddings.select("file_id", "embedding"), "file_id", "left")
+    radius, least = search_radius(profile), profile.bands.similar
+
+    def compare(left: comparing.Pictures, right: comparing.Pictures, one: bool) -> Iterator[pa.RecordBatch]:
+        for x, y in comparing.within_radius(left, right, one, radius):
+            alike = ~(comparing.hash_percent(left, right, x, y, "bhash") < LEAST_BLOCKS)
+            x, y = x[alike], y[alike]
+            vote = _vote(left, right, x, y)
+            # the vote is rounded later: keep what may drop or lift by it
+            keep = (~(vote < 54.9) & comparing.may_reach(left, right, x, y, profile, least)) | (vote >= 89.9)
+            x, y, vote = x[keep], y[keep], vote[keep]
+            vote = np.array([round(float(v), 1) for v in vote])
+            score = comparing.score_of(profile, comparing.signals_of(left, right, x, y))
+            score = np.where(vote >= 90, np.maximum(score, least), score)
+            keep = ~(vote < 55) & (score >= least)
+            yield comparing.batch(left, right, x[keep], y[keep], {"score": score[keep], "vote": vote[keep]}, ("file_id",))
+
+    found = met(rows, "voters", _Voters, compare, "a bigint, b bigint, score double, vote double")
+    return found.select("a", "b", "score", "vote", classify(F.col("score"), profile.bands).alias("category"))
+
+
+class _Voters(comparing.Pictures):
+    def __init__(self, table: pa.Table) -> None:
+        super().__init__(table)
+        self.length, self.vectors = _halves(self.table["embedding"].to_pandas())
+        self.norms = (self.vectors * self.vectors).sum(1)
+
+
+def _vote(left: _Voters, right: _Voters, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of pairs in percent, not rounded; NaN without two usable vectors of one length."""
+    wide = min(left.vectors.shape[1], right.vectors.shape[1])
+    usable = (left.length[x] > 0) & (left.length[x] == right.length[y])
+    vote = np.full(len(x), np.nan)
+    x, y = x[usable], y[usable]
+    vote[usable] = 100.0 * np.clip((left.vectors[x, :wide] * right.vectors[y, :wide]).sum(1) / np.sqrt(left.norms[x] * right.norms[y]), 0.0, 1.0)
+    return vote

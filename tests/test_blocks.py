@@ -120,3 +120,20 @@ def test_sampled_pairs_leave_out_what_cannot_be_similar(spark):
     got = rows(grouping.sampled_pairs(files, 20, PROFILES["medium"]))
     want = {(2 * k, 2 * k + 1) for k in range(0, 40, 2)}
     assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_voted_pairs_equal_joined_votes_without_a_join_of_pairs(spark):
+    rng, profile = np.random.default_rng(3), PROFILES["medium"]
+    files = pictures(spark)
+    ids = [r[0] for r in files.select("file_id").orderBy("file_id").collect()]
+    bases = [rng.standard_normal(8) for _ in range(3)]
+    texts = [None if k % 11 == 0 else "zz" if k % 13 == 0 else np.asarray(bases[k % 3] + 0.6 * rng.standard_normal(8), "<f2").tobytes().hex() for k in range(len(ids))]
+    embeddings = spark.createDataFrame(list(zip(ids, texts)), "file_id bigint, embedding string")
+    of = lambda s: embeddings.select(F.col("file_id").alias(f"{s}_file_id"), F.col("embedding").alias(f"{s}_e"))
+    rated = all_scored(files, profile, CLOSE.format(search_radius(profile))).where(F.coalesce("bhash", F.lit(100.0)) >= 55)
+    voted = rated.join(of("a"), "a_file_id", "left").join(of("b"), "b_file_id", "left").withColumn("vote", grouping.embedding_percent(F.col("a_e"), F.col("b_e")))
+    lifted = F.when(F.col("vote") >= 90, F.greatest("score", F.lit(84.0))).otherwise(F.col("score"))
+    want = rows(voted.where("vote is null or vote >= 55").withColumn("score", lifted).where("score >= 84").select("a_file_id", "b_file_id", "score", "vote"))
+    got = grouping.voted_pairs(files, embeddings)
+    assert rows(got.select("a", "b", "score", "vote")) == want and want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
