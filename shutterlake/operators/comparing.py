@@ -148,6 +148,42 @@ def batch(left: Pictures, right: Pictures, x: np.ndarray, y: np.ndarray, values:
     return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
 
+class Palettes(Pictures):
+    """A block's pictures with all of them in order of their palettes' sums; every row has a palette."""
+
+    def __init__(self, table: pa.Table) -> None:
+        super().__init__(table)
+        self.order = np.argsort(self.sums, kind="stable")
+        self.counts = self.bits["color"][self.order].astype(np.float32)
+        self.roots = np.sqrt(np.maximum(self.counts, 0))
+        self.totals = self.sums[self.order]
+
+
+def sharing(left: Palettes, right: Palettes, one: bool, percent: float, rows: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y): all pairs whose palettes may share ``percent`` of the smaller sum, and some that share a little less; of one block each two once.
+
+    The smaller of two counts is at most the root of their product, so a product of matrices tells most pairs from which nothing can come.
+    """
+    least = (percent - 0.06) / 100
+    ones = np.ones(left.counts.shape[1], np.float32)
+    for i in range(0, len(left.ids), rows):
+        for j in range(0, len(right.ids), rows):
+            a, b = slice(i, i + rows), slice(j, j + rows)
+            bound = left.roots[a] @ right.roots[b].T
+            # sums are in order, so those of a square are nearly alike
+            hit = (bound >= np.float32(least * min(left.totals[i], right.totals[j]) * (1 - 1e-4))).ravel()
+            at = np.flatnonzero(hit)
+            x, y = i + at // bound.shape[1], j + at % bound.shape[1]
+            for k in range(0, len(at), FLUSH):
+                m, n = x[k : k + FLUSH], y[k : k + FLUSH]
+                shared = np.minimum(left.counts[m], right.counts[n]) @ ones
+                good = shared >= least * np.minimum(left.totals[m], right.totals[n]) * (1 - 1e-4)
+                m, n = left.order[m[good]], right.order[n[good]]
+                if one:
+                    m, n = m[m < n], n[m < n]
+                yield m, n
+
+
 class Videos:
     """A block's videos in order of duration, with their frames as a matrix; places that a video lacks aren't valid."""
 

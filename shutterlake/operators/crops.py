@@ -6,36 +6,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.media import PROFILES, Profile
 from shutterlake.functions.pixels import best_crop
-from shutterlake.operators.grouping import met_in_blocks, scored
+from shutterlake.operators import comparing
+from shutterlake.operators.blocks import met
 
 
-def crop_candidates(files: DataFrame, profile: Profile = PROFILES["medium"], block_rows: int = 4096) -> DataFrame:
+def crop_candidates(files: DataFrame, profile: Profile = PROFILES["medium"], block_rows: int = 8192) -> DataFrame:
     """(a, b, score, color): pictures, a < b, of which one may be a crop of the other.
 
     Neither bytes nor pixels are equal, the palettes share 50 % or more, the
     score is 30 or more but below very similar, and either the aspects differ by
     5 % or more or the score is 10 below similar. Pictures without dimensions,
-    phash or palette take no part. Palettes are compared in blocks, each two
-    blocks in one task, so all pairs are looked at, with bounded memory.
+    phash or palette take no part. Pictures are compared and scored where their
+    blocks meet (see :func:`blocks.met`), so all pairs are looked at, and only
+    candidates leave a task.
     """
-    usable = files.where("kind = 'image' and error is null and phash is not null and color is not null and width is not null and height is not null")
-
-    def alike(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-        one, two = (np.stack(f["color"].to_numpy()).astype(np.int32) for f in (left, right))
-        shared = np.zeros((len(one), len(two)), np.int32)
-        for k in range(one.shape[1]):
-            shared += np.minimum(one[:, k, None], two[None, :, k])
-        return 1000 * shared >= 499 * np.minimum(one.sum(1)[:, None], two.sum(1)[None, :])
-
-    near = met_in_blocks(usable.select("file_id", "color"), alike, block_rows).alias("p")
-    joined = near.join(usable.alias("a"), F.col("p.a") == F.col("a.file_id")).join(usable.alias("b"), F.col("p.b") == F.col("b.file_id"))
-    other = F.coalesce(F.col("a.sha") != F.col("b.sha"), F.lit(True)) & F.coalesce(F.col("a.pixels") != F.col("b.pixels"), F.lit(True))
-    rated = scored(joined.where(other), profile).where((F.col("color") >= 50) & (F.col("score") >= 30) & (F.col("score") < profile.bands.very_similar))
+    usable = files.where("kind = 'image' and error is null and phash is not null and color is not null and width is not null and height is not null and file_id is not null")
+    rows = usable.select("file_id", "phash", "dhash", "ahash", "bhash", "color", "width", "height", "sha", "pixels")
+
+    def compare(left: comparing.Palettes, right: comparing.Palettes, one: bool) -> Iterator[pa.RecordBatch]:
+        for x, y in comparing.sharing(left, right, one, 50.0):
+            of = comparing.signals_of(left, right, x, y)
+            score = comparing.score_of(profile, of)
+            keep = (of["color"] >= 50) & (score >= 30) & (score < profile.bands.very_similar)
+            yield comparing.batch(left, right, x[keep], y[keep], {"score": score[keep], "color": of["color"][keep]}, ("file_id", "width", "height", "sha", "pixels"))
+
+    kinds = dict(rows.dtypes)
+    shape = ", ".join([f"{s}_{c} {kinds[c]}" for s in "ab" for c in ("file_id", "width", "height", "sha", "pixels")] + ["score double", "color double"])
+    rated = met(rows, "palettes", comparing.Palettes, compare, shape, block_rows)
+    rated = rated.where(F.coalesce(F.col("a_sha") != F.col("b_sha"), F.lit(True)) & F.coalesce(F.col("a_pixels") != F.col("b_pixels"), F.lit(True)))
     wide = lambda s: F.col(f"{s}_width") / F.col(f"{s}_height")
     apart = F.abs(wide("a") - wide("b")) / F.greatest(wide("a"), wide("b")) >= 0.05
     return rated.where(apart | (F.col("score") < profile.bands.similar - 10)).select(F.col("a_file_id").alias("a"), F.col("b_file_id").alias("b"), "score", "color")

@@ -49,7 +49,7 @@ def sampled_recall(spark: SparkSession, d: str) -> DataFrame:
 
 def crop_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pictures of which one may be a crop of the other."""
-    return crops.crop_candidates(materialize(library.files(spark, d), "files"))
+    return crops.crop_candidates(library.files(spark, d, "kind", "error", "sha", "pixels", "phash", "dhash", "ahash", "bhash", "color", "width", "height"))
 
 
 def _crop_edges(spark: SparkSession, d: str, files: DataFrame) -> DataFrame:

@@ -107,19 +107,18 @@ def test_videos_compared_in_blocks_equal_joined_pairs(spark, threshold):
         assert rows(grouping.nearest_videos(v)) == {(x, -y, p) for x, (p, y) in best.items()}
 
 
-def test_sampled_pairs_leave_out_what_cannot_be_similar(spark):
-    rng = random.Random(2)
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    flip = lambda v, bits: v ^ sum(1 << b for b in rng.sample(range(64), bits))
-    out = []
-    for k in range(40):
-        p, d, a = (rng.getrandbits(64) for _ in range(3))
-        # every other pair has like phashes, but other hashes from which no palette can bring it to the band
-        out += [(2 * k, p, d, a), (2 * k + 1, flip(p, 2), flip(d, 40 if k % 2 else 2), flip(a, 30 if k % 2 else 2))]
-    files = spark.createDataFrame([(i, *map(signed, h)) for i, *h in out], "file_id bigint, phash bigint, dhash bigint, ahash bigint")
-    got = rows(grouping.sampled_pairs(files, 20, PROFILES["medium"]))
-    want = {(2 * k, 2 * k + 1) for k in range(0, 40, 2)}
-    assert got <= want and len(got) >= 0.9 * len(want)
+def test_crop_candidates_equal_scored_pairs_without_a_join(spark):
+    from shutterlake.operators.crops import crop_candidates
+
+    profile, files = PROFILES["medium"], pictures(spark)
+    other = "coalesce(a.sha <> b.sha, true) and coalesce(a.pixels <> b.pixels, true)"
+    usable = files.where("phash is not null and color is not null and width is not null and height is not null")
+    apart = F.expr("abs(a_width / a_height - b_width / b_height) / greatest(a_width / a_height, b_width / b_height) >= 0.05 or score < 74")
+    want = rows(all_scored(usable, profile, other).where("color >= 50 and score >= 30 and score < 92").where(apart).select("a_file_id", "b_file_id", "score", "color"))
+    got = crop_candidates(files)
+    assert rows(got) == want == rows(crop_candidates(files, block_rows=30)) and want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
 
 
 def test_voted_pairs_equal_joined_votes_without_a_join_of_pairs(spark):
@@ -137,3 +136,18 @@ def test_voted_pairs_equal_joined_votes_without_a_join_of_pairs(spark):
     got = grouping.voted_pairs(files, embeddings)
     assert rows(got.select("a", "b", "score", "vote")) == want and want
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sampled_pairs_leave_out_what_cannot_be_similar(spark):
+    rng = random.Random(2)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    flip = lambda v, bits: v ^ sum(1 << b for b in rng.sample(range(64), bits))
+    out = []
+    for k in range(40):
+        p, d, a = (rng.getrandbits(64) for _ in range(3))
+        # every other pair has like phashes, but other hashes from which no palette can bring it to the band
+        out += [(2 * k, p, d, a), (2 * k + 1, flip(p, 2), flip(d, 40 if k % 2 else 2), flip(a, 30 if k % 2 else 2))]
+    files = spark.createDataFrame([(i, *map(signed, h)) for i, *h in out], "file_id bigint, phash bigint, dhash bigint, ahash bigint")
+    got = rows(grouping.sampled_pairs(files, 20, PROFILES["medium"]))
+    want = {(2 * k, 2 * k + 1) for k in range(0, 40, 2)}
+    assert got <= want and len(got) >= 0.9 * len(want)
