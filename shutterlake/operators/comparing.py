@@ -234,3 +234,31 @@ def frame_percent(left: Videos, right: Videos, x: np.ndarray, y: np.ndarray) ->
         total += np.where(both, SIXTY_FOUR[np.bitwise_count(left.frames[k, x] ^ right.frames[k, y])], 0.0)
         shared += both
     return to_tenths(total / shared)
+
+
+class Stars:
+    """Rows of two blocks linked by pairs that come some at a time: what is held follows the rows, not the pairs."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids, self.root, self.least = ids, np.arange(len(ids)), np.full(len(ids), np.inf)
+
+    def add(self, u: np.ndarray, v: np.ndarray, value: np.ndarray) -> None:
+        np.minimum.at(self.least, u, value)
+        while True:
+            u, v = self.root[u], self.root[v]
+            apart = u != v
+            if not apart.any():
+                return
+            u, v = u[apart], v[apart]
+            # every root follows the least root that it meets
+            np.minimum.at(self.root, np.maximum(u, v), np.minimum(u, v))
+            while not np.array_equal(further := self.root[self.root], self.root):
+                self.root = further
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, value): each linked row with one row of its group, and the least value of the group's pairs."""
+        least = np.full(len(self.ids), np.inf)
+        np.minimum.at(least, self.root, self.least)
+        v = np.flatnonzero(self.root != np.arange(len(self.ids)))
+        u = self.root[v]
+        return np.minimum(self.ids[u], self.ids[v]), np.maximum(self.ids[u], self.ids[v]), least[u]

@@ -34,5 +34,9 @@ def connected(edges: DataFrame) -> DataFrame:
     for lead in reversed(maps[:-1]):
         later = final.select(F.col("node").alias("next"), F.col("root").alias("later"))
         final = lead.join(later, "next", "left").select("node", F.coalesce("later", "next").alias("root"))
+    # both uses read the rows, instead of each joining the maps of all rounds
+    final = materialize(final, "roots")
+    for lead in maps:
+        discard(lead)
     names = final.groupBy("root").agg(F.min("node").alias("name"))
     return final.join(names, "root").select("node", F.col("name").alias("root"))

@@ -295,6 +295,15 @@ def _framed(videos: DataFrame) -> DataFrame:
     return videos.where("frames is not null and duration > 0 and not isnan(duration) and file_id is not null").select("file_id", "duration", "frames")
 
 
+def _alike(left: comparing.Videos, right: comparing.Videos, one: bool, threshold: float, within: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, percent): rows of both blocks whose frames are alike, some many at once."""
+    for start, low, about in comparing.alike_frames(left, right, one, within):
+        x, y = np.nonzero((about >= threshold - comparing.MARGIN) & (about >= 0))
+        percent = comparing.frame_percent(left, right, x := x + start, y := y + low)
+        keep = percent >= threshold
+        yield x[keep], y[keep], percent[keep]
+
+
 def video_pairs(videos: DataFrame, threshold: float = 84.0, within: float = 2.0) -> DataFrame:
     """(a, b, percent): videos of like duration whose sampled frames are alike; ``videos`` has file_id, duration, frames.
 
@@ -302,12 +311,24 @@ def video_pairs(videos: DataFrame, threshold: float = 84.0, within: float = 2.0)
     """
 
     def compare(left: comparing.Videos, right: comparing.Videos, one: bool) -> Iterator[pa.RecordBatch]:
-        for start, low, about in comparing.alike_frames(left, right, one, within):
-            x, y = np.nonzero((about >= threshold - comparing.MARGIN) & (about >= 0))
-            percent = comparing.frame_percent(left, right, x := x + start, y := y + low)
-            keep = percent >= threshold
-            a, b = left.ids[x[keep]], right.ids[y[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(percent[keep])], names=["a", "b", "percent"])
+        for x, y, percent in _alike(left, right, one, threshold, within):
+            a, b = left.ids[x], right.ids[y]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(percent)], names=["a", "b", "percent"])
+
+    return met(_framed(videos), "framed", comparing.Videos, compare, "a bigint, b bigint, percent double", 4096, "duration", within)
+
+
+def video_stars(videos: DataFrame, threshold: float = 84.0, within: float = 2.0) -> DataFrame:
+    """(a, b, percent): links that group videos as all of :func:`video_pairs` do, each with the least percent of the pairs that it stands for.
+
+    Two blocks give fewer rows than they have videos, however many pairs are alike; a link's ends need not be such a pair.
+    """
+
+    def compare(left: comparing.Videos, right: comparing.Videos, one: bool) -> Iterator[pa.RecordBatch]:
+        stars = comparing.Stars(left.ids if one else np.concatenate([left.ids, right.ids]))
+        for x, y, percent in _alike(left, right, one, threshold, within):
+            stars.add(x, y if one else y + len(left.ids), percent)
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in stars.edges()], names=["a", "b", "percent"])
 
     return met(_framed(videos), "framed", comparing.Videos, compare, "a bigint, b bigint, percent double", 4096, "duration", within)
 
@@ -342,7 +363,7 @@ def nearest_videos(videos: DataFrame, within: float = 2.0) -> DataFrame:
 
 
 def video_links(videos: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, root) of videos linked by equal bytes or by pairs of alike frames."""
+    """(node, root) of videos linked by equal bytes or by pairs of alike frames (:func:`video_pairs` or :func:`video_stars`)."""
     shas = videos.where("sha is not null").groupBy("sha").agg(F.min("file_id").alias("u"))
     equal = videos.join(shas, "sha").where("u <> file_id").select("u", F.col("file_id").alias("v"))
     return connected(equal.unionByName(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))))
@@ -351,10 +372,11 @@ def video_links(videos: DataFrame, pairs: DataFrame) -> DataFrame:
 def video_groups(videos: DataFrame, pairs: DataFrame, threshold: float = 84.0, member: DataFrame | None = None) -> DataFrame:
     """(root, files, percent, category): videos linked by equal bytes or alike frames.
 
-    ``percent`` is the least of the linked pairs, the threshold if there is
-    none; one digest throughout makes the group file_identical.
+    ``pairs`` are :func:`video_pairs` or :func:`video_stars`; ``percent`` is the
+    least of them, the threshold if there is none; one digest throughout makes
+    the group file_identical.
     """
-    member = video_links(videos, pairs) if member is None else member
+    member = materialize(video_links(videos, pairs), "video-links") if member is None else member
     rows = member.join(videos, member["node"] == videos["file_id"])
     length = F.coalesce(F.when(~F.isnan("duration"), F.col("duration")), F.lit(0.0))
     held = rows.groupBy("root").agg(F.count(F.lit(1)).alias("files"), (F.max(length) - F.min(length) <= 0.75).alias("same"), ((F.count("sha") == F.count(F.lit(1))) & (F.min("sha") == F.max("sha"))).alias("one"))

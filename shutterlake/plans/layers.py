@@ -106,7 +106,7 @@ def video_pairs_low(spark: SparkSession, d: str) -> DataFrame:
 def video_groups_low(spark: SparkSession, d: str) -> DataFrame:
     """Videos linked by bytes or by frames 55 % alike."""
     v = materialize(library._videos(spark, d), "videos")
-    return grouping.video_groups(v, materialize(grouping.video_pairs(v, LOW), "video-pairs"), LOW)
+    return grouping.video_groups(v, materialize(grouping.video_stars(v, LOW), "video-stars"), LOW)
 
 
 def video_compare(spark: SparkSession, d: str) -> DataFrame:

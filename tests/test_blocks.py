@@ -107,6 +107,48 @@ def test_videos_compared_in_blocks_equal_joined_pairs(spark, threshold):
         assert rows(grouping.nearest_videos(v)) == {(x, -y, p) for x, (p, y) in best.items()}
 
 
+@pytest.mark.parametrize("threshold", [0.0, 55.0, 84.0])
+def test_video_stars_group_as_all_pairs_do_with_fewer_rows_than_videos(spark, threshold):
+    v = videos(spark).withColumn("sha", F.expr("case when file_id % 9 < 2 then concat('s', file_id % 20) end"))
+    pairs, stars = grouping.video_pairs(v, threshold), grouping.video_stars(v, threshold)
+    # 150 videos are one block
+    assert stars.count() < 150 and (threshold > 55 or stars.count() < pairs.count())
+    want = rows(grouping.video_groups(v, pairs, threshold))
+    assert rows(grouping.video_groups(v, stars, threshold)) == want and want
+
+
+def test_stars_over_several_blocks_and_steps_link_and_keep_the_least(spark):
+    rng = random.Random(4)
+    for n in (2, 30, 200):
+        links = [(rng.randrange(n), rng.randrange(n), float(rng.randint(0, 99))) for _ in range(n * 2 // 3)]
+        ids = np.array(rng.sample(range(1000, 9000), n))
+        stars = comparing.Stars(ids)
+        for k in range(0, len(links), 7):
+            u, v, value = (np.array(c) for c in zip(*links[k : k + 7]))
+            stars.add(u, v, value)
+        groups, least = {i: {i} for i in range(n)}, {}
+        for u, v, _ in links:
+            both = groups[u] | groups[v]
+            for i in both:
+                groups[i] = both
+        for u, _, value in links:
+            for i in groups[u]:
+                least[i] = min(least.get(i, value), value)
+        of = {int(f): i for i, f in enumerate(ids)}
+        a, b, value = stars.edges()
+        assert len(a) == n - len({frozenset(g) for g in groups.values()})
+        assert all(of[int(p)] in groups[of[int(q)]] and p < q and least[of[int(p)]] == w for p, q, w in zip(a, b, value))
+
+
+def test_components_are_read_not_joined_again_from_all_rounds(spark):
+    from shutterlake.operators.graph import connected
+
+    found = connected(spark.range(0, 3000, 1, 4).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")))
+    assert found.count() == 3001 and found.where("root <> 0").isEmpty()
+    # each use joins rows with names once, however many rounds there were
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_crop_candidates_equal_scored_pairs_without_a_join(spark):
     from shutterlake.operators.crops import crop_candidates
 
