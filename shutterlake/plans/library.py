@@ -184,7 +184,7 @@ def nearest_videos(spark: SparkSession, d: str) -> DataFrame:
 def video_groups(spark: SparkSession, d: str) -> DataFrame:
     """Videos linked by bytes or frames."""
     v = materialize(_videos(spark, d), "videos")
-    return grouping.video_groups(v, materialize(grouping.video_pairs(v), "video-pairs"))
+    return grouping.video_groups(v, materialize(grouping.video_stars(v), "video-stars"))
 
 
 def keep_scores(spark: SparkSession, d: str) -> DataFrame:
