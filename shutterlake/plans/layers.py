@@ -78,7 +78,7 @@ def _all_members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     held = exact.select("file_id").unionByName(similar.select("file_id"))
     cropped = crops.crop_groups(materialize(_crop_edges(spark, d, f), "crops"), held).select(F.concat(F.lit("r"), F.col("big").cast("string")).alias("key"), F.lit("cropped_similar").alias("category"), "file_id")
     v = materialize(f.where("kind = 'video'").select("file_id", "sha", "duration", "frames"), "videos")
-    vpairs = materialize(grouping.video_pairs(v, LOW), "video-pairs")
+    vpairs = materialize(grouping.video_stars(v, LOW), "video-stars")
     vlinks = materialize(grouping.video_links(v, vpairs), "video-links")
     vgroups = grouping.video_groups(v, vpairs, LOW, vlinks).where("category <> 'different'").select("root", "category")
     videos = vlinks.join(vgroups, "root").select(F.concat(F.lit("v"), F.col("root").cast("string")).alias("key"), "category", F.col("node").alias("file_id"))

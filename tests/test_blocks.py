@@ -117,6 +117,15 @@ def test_video_stars_group_as_all_pairs_do_with_fewer_rows_than_videos(spark, th
     assert rows(grouping.video_groups(v, stars, threshold)) == want and want
 
 
+@pytest.mark.parametrize("query", ["all_dashboard", "all_groups"])
+def test_all_layers_need_no_table_of_alike_videos(spark, monkeypatch, query):
+    from shutterlake.plans import layers
+    from tests.helpers import DATA
+
+    monkeypatch.setattr(grouping, "video_pairs", lambda *a: pytest.fail("all alike pairs are asked for"))
+    assert layers.QUERIES[query](spark, str(DATA)).count() > 0
+
+
 def test_stars_over_several_blocks_and_steps_link_and_keep_the_least(spark):
     rng = random.Random(4)
     for n in (2, 30, 200):
