@@ -247,7 +247,7 @@ def similar_clusters(files: DataFrame, pairs: DataFrame, profile: Profile = PROF
     duplicate if a pair of it is, its sizes differ and its weakest score is
     nearly identical; else the best score names it. ``member`` (node, root) may be given.
     """
-    member = linked(pairs) if member is None else member
+    member = materialize(linked(pairs), "linked") if member is None else member
     rows = member.join(files, member["node"] == files["file_id"]).drop("node")
     pixels = F.coalesce(F.col("width").cast("bigint") * F.col("height"), F.lit(0))
     anchor = rows.groupBy("root").agg(F.max_by("file_id", F.struct("size", pixels, -F.col("mtime"), -F.col("file_id"))).alias("anchor"))

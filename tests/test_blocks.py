@@ -158,6 +158,12 @@ def test_components_are_read_not_joined_again_from_all_rounds(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
 
+def test_clusters_read_their_members_instead_of_linking_them_for_each_use(spark):
+    files = pictures(spark).withColumns({"size": F.col("file_id"), "mtime": F.lit(1.0)})
+    found = grouping.similar_clusters(files, grouping.similar_pairs(files))
+    assert found.count() > 0 and "/leads-" not in str(found.inputFiles()) and "/roots-" not in str(found.inputFiles())
+
+
 def test_crop_candidates_equal_scored_pairs_without_a_join(spark):
     from shutterlake.operators.crops import crop_candidates
 
