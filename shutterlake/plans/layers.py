@@ -23,6 +23,12 @@ def _rest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     return f, exact, rest, materialize(grouping.similar_pairs(rest, with_reasons=True), "similar")
 
 
+def _reasoned(spark: SparkSession, d: str) -> DataFrame:
+    """Similar pairs with their reasons, from the columns that they depend on alone."""
+    rest = library._unassigned(spark, d, "kind", "error", "sha", "pixels", "phash", "dhash", "ahash", "bhash", "color", "width", "height")[1]
+    return materialize(grouping.similar_pairs(rest, with_reasons=True), "similar")
+
+
 def similar_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Similar pairs and why they are alike."""
     return _rest(spark, d)[3].select("a", "b", "score", F.array_join("reasons", ", ").alias("reasons"))
@@ -30,7 +36,7 @@ def similar_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 def cluster_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Up to six reasons of each similar cluster."""
-    pairs = _rest(spark, d)[3]
+    pairs = _reasoned(spark, d)
     return grouping.cluster_reasons(pairs, materialize(grouping.linked(pairs), "linked")).select("root", F.array_join("reasons", ", ").alias("reasons"))
 
 

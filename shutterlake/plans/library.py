@@ -130,9 +130,9 @@ def hamming_members(spark: SparkSession, d: str) -> DataFrame:
     return salted_join(names, rows, ["phash"]).select("file_id", "representative")
 
 
-def _unassigned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """All files, and the pictures that no exact layer holds."""
-    f = materialize(files(spark, d), "files")
+def _unassigned(spark: SparkSession, d: str, *names: str) -> tuple[DataFrame, DataFrame]:
+    """All files, and the pictures that no exact layer holds; with all columns, or those of ``names`` (kind, error, sha and pixels among them)."""
+    f = materialize(files(spark, d, *names), "files")
     members = grouping.exact_layers(f.select("file_id", "sha", "pixels"))
     return f, f.where("kind = 'image' and error is null").join(members.select("file_id"), "file_id", "left_anti")
 

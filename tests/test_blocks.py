@@ -126,6 +126,18 @@ def test_all_layers_need_no_table_of_alike_videos(spark, monkeypatch, query):
     assert layers.QUERIES[query](spark, str(DATA)).count() > 0
 
 
+@pytest.mark.parametrize("query", ["cluster_reasons"])
+def test_reasons_read_only_what_they_depend_on(spark, monkeypatch, query):
+    from shutterlake.plans import layers, library
+    from tests.helpers import DATA
+
+    asked, files, exact = [], library.files, grouping.exact_layers
+    monkeypatch.setattr(library, "files", lambda s, d, *names: asked.append(names) or files(s, d, *names))
+    monkeypatch.setattr(grouping, "exact_layers", lambda f, skip_videos=False: pytest.fail("a layer that isn't asked for") if skip_videos else exact(f))
+    assert layers.QUERIES[query](spark, str(DATA)).count() > 0
+    assert len(asked) == 1 and asked[0] and not {"path", "frames", "date_taken"} & set(asked[0])
+
+
 def test_stars_over_several_blocks_and_steps_link_and_keep_the_least(spark):
     rng = random.Random(4)
     for n in (2, 30, 200):
