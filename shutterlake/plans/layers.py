@@ -31,7 +31,7 @@ def _reasoned(spark: SparkSession, d: str) -> DataFrame:
 
 def similar_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Similar pairs and why they are alike."""
-    return _rest(spark, d)[3].select("a", "b", "score", F.array_join("reasons", ", ").alias("reasons"))
+    return _reasoned(spark, d).select("a", "b", "score", F.array_join("reasons", ", ").alias("reasons"))
 
 
 def cluster_reasons(spark: SparkSession, d: str) -> DataFrame:

@@ -126,7 +126,7 @@ def test_all_layers_need_no_table_of_alike_videos(spark, monkeypatch, query):
     assert layers.QUERIES[query](spark, str(DATA)).count() > 0
 
 
-@pytest.mark.parametrize("query", ["cluster_reasons"])
+@pytest.mark.parametrize("query", ["similar_reasons", "cluster_reasons"])
 def test_reasons_read_only_what_they_depend_on(spark, monkeypatch, query):
     from shutterlake.plans import layers, library
     from tests.helpers import DATA
