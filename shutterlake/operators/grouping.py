@@ -248,16 +248,18 @@ def similar_clusters(files: DataFrame, pairs: DataFrame, profile: Profile = PROF
     nearly identical; else the best score names it. ``member`` (node, root) may be given.
     """
     member = materialize(linked(pairs), "linked") if member is None else member
+    scores = ("file_id", "phash", "dhash", "ahash", "bhash", "color", "width", "height")
     rows = member.join(files, member["node"] == files["file_id"]).drop("node")
     pixels = F.coalesce(F.col("width").cast("bigint") * F.col("height"), F.lit(0))
-    anchor = rows.groupBy("root").agg(F.max_by("file_id", F.struct("size", pixels, -F.col("mtime"), -F.col("file_id"))).alias("anchor"))
-    anchored = anchor.join(files, anchor["anchor"] == files["file_id"]).drop("file_id").withColumnRenamed("anchor", "file_id").alias("a")
-    held = anchored.join(rows.alias("b"), F.col("a.root") == F.col("b.root"))
+    shape = F.when(F.col("width").isNotNull() & F.col("height").isNotNull(), F.struct("width", "height"))
+    best = F.max_by(F.struct(*scores), F.struct("size", pixels, -F.col("mtime"), -F.col("file_id"))).alias("a")
+    # written, as each use would join and aggregate the members anew
+    anchors = materialize(rows.groupBy("root").agg(best, F.count(F.lit(1)).alias("files"), F.coalesce(F.min(shape) != F.max(shape), F.lit(False)).alias("sized")), "anchors")
+    held = anchors.select("root", "a.*").alias("a").join(rows.select("root", *scores).alias("b"), F.col("a.root") == F.col("b.root"))
     others = scored(held.where("a.file_id <> b.file_id"), profile).groupBy(F.col("a_file_id").alias("anchor")).agg(F.max("score").alias("headline"), F.min("score").alias("weakest"))
-    sizes = rows.groupBy("root").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("width", "height").alias("sizes"))
     upgraded = pairs.join(member, pairs["a"] == member["node"]).groupBy("root").agg(F.bool_or("resized").alias("resized"))
-    all_of = anchor.join(others, "anchor").join(sizes, "root").join(upgraded, "root")
-    category = F.when(F.col("resized") & (F.col("sizes") > 1) & (F.col("weakest") >= profile.bands.visually_identical), "resized_duplicate").when(F.col("headline") == 0, "visually_identical").otherwise(classify(F.col("headline"), profile.bands))
+    all_of = anchors.select("root", F.col("a.file_id").alias("anchor"), "files", "sized").join(others, "anchor").join(upgraded, "root")
+    category = F.when(F.col("resized") & F.col("sized") & (F.col("weakest") >= profile.bands.visually_identical), "resized_duplicate").when(F.col("headline") == 0, "visually_identical").otherwise(classify(F.col("headline"), profile.bands))
     return all_of.select("root", "anchor", "files", F.nullif("headline", F.lit(0.0)).alias("headline"), "weakest", category.alias("category"))
 
 

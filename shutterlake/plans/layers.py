@@ -88,7 +88,8 @@ def _all_members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     vlinks = materialize(grouping.video_links(v, vpairs), "video-links")
     vgroups = grouping.video_groups(v, vpairs, LOW, vlinks).where("category <> 'different'").select("root", "category")
     videos = vlinks.join(vgroups, "root").select(F.concat(F.lit("v"), F.col("root").cast("string")).alias("key"), "category", F.col("node").alias("file_id"))
-    return f, materialize(exact.unionByName(similar).unionByName(cropped).unionByName(videos), "all-members")
+    # each layer is a plan of its own: a plan of all is told to the driver again with each of its stages
+    return f, exact.unionByName(similar).unionByName(materialize(cropped, "crop-members")).unionByName(materialize(videos, "video-members"))
 
 
 def all_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -170,6 +170,23 @@ def test_components_are_read_not_joined_again_from_all_rounds(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
 
+def test_components_of_few_links_take_no_rounds_and_no_plan_grows_with_rounds(spark, monkeypatch):
+    from shutterlake.operators import graph
+
+    written, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: written.append((label, df._jdf.queryExecution().optimizedPlan().toString().count("Join"))) or write(df, label))
+    at = lambda k: (k * 7919) % 10_007 - 5000
+    chains = [(at(k), at(k + 1)) for k in range(600) if k % 200 != 199]
+    links = spark.createDataFrame(chains + [(v, u) for u, v in chains[::3]] + [(9000, 9000), (None, 9001)], "u bigint, v bigint").repartition(3)
+    want = {(at(k), min(at(m) for m in range(k // 200 * 200, k // 200 * 200 + 200))) for k in range(600)}
+    assert rows(graph.connected(links)) == want and [label for label, _ in written] == ["links", "roots"]
+    # with rounds: until one task takes the rest, and until nothing is left
+    for one_task in (20, 0):
+        written.clear()
+        assert rows(graph.connected(links, one_task)) == want
+        assert sum(label.startswith("leads") for label, _ in written) > 2 and max(joins for _, joins in written) <= 2
+
+
 def test_clusters_read_their_members_instead_of_linking_them_for_each_use(spark):
     files = pictures(spark).withColumns({"size": F.col("file_id"), "mtime": F.lit(1.0)})
     found = grouping.similar_clusters(files, grouping.similar_pairs(files))
